@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, repetition
+from . import bpe, decontaminate, interpolation, language, repetition
 from .tables import table
 
 
@@ -24,14 +25,32 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _fold(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = interpolation.score(table(spark, sf_dir, "documents"), train=_fold(7) != 2, develop=_fold(7) == 5)
+    return scored.select("doc_id", F.coalesce(_fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_fold(4) != 2))
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op2_decontaminate": op2_decontaminate,
+    "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

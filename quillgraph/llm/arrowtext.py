@@ -161,10 +161,10 @@ def shingle_sets(words: Words, k: int = 5) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(h[where[i] : where[i + 1]]))
         elif b > a:
-            whole = _U(b - a)
+            whole = np.array([b - a], _U)
             for w in word[a:b]:
-                whole = mix(np.array([whole * _FACTORS[0] + w], _U))[0]
-            out.append(np.array([whole], _U))
+                whole = mix(whole * _FACTORS[0] + w)
+            out.append(whole)
         else:
             out.append(np.zeros(0, _U))
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, interpolation, language, repetition
+from . import bpe, decontaminate, interpolation, jaccard, language, repetition
 from .tables import table
 
 
@@ -25,6 +25,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def _fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
@@ -48,6 +52,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op2_decontaminate": op2_decontaminate,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
     "op8_language_id": op8_language_id,

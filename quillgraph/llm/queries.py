@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, interpolation, jaccard, language, repetition
+from . import bpe, decontaminate, html_main, interpolation, jaccard, language, lines, repetition, sharding, urls
 from .tables import table
 
 
@@ -25,6 +25,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(*urls.sample_history(table(spark, sf_dir, "pages")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(_fold(4) != 2))
@@ -49,13 +57,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, drop_emptied=False, count_cols=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_main_text": op3_html_main_text,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
+    "op7_url_filters": op7_url_filters,
     "op8_language_id": op8_language_id,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_url_filters": urls.SQL, "op10_sharding": sharding.sql()}

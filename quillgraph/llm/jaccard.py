@@ -167,7 +167,7 @@ def _deal(batches, k: int, light: int, n_parts: int):
 
 
 def _meet(table: pa.Table, light: int) -> pa.Table:
-    """Candidate pairs of short ids from light keys, and for each short id its number of heavy keys here."""
+    """Pairs of short ids with their number of equal light keys, and for each short id its number of heavy keys here."""
     keys, ids, other_id, other_n = [], [], [], []
     for a, b in zip(table.column("keys").to_pylist(), table.column("ids").to_pylist()):
         if b[:1] == b"\0":
@@ -187,7 +187,7 @@ def _meet(table: pa.Table, light: int) -> pa.Table:
     found, where = np.unique(all_id, return_inverse=True)
     n = np.bincount(where, all_n, len(found)).astype(np.int64)
     left, right = [], []
-    key, who = key[~heavy], who[~heavy] >> _U(1)
+    key, who = key[~heavy], who[~heavy]
     for step in range(1, light):
         same = key[step:] == key[:-step]
         if not same.any():
@@ -199,12 +199,11 @@ def _meet(table: pa.Table, light: int) -> pa.Table:
     a, b = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    new &= a != b
-    a, b = a[new].astype(np.int64), b[new].astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    shared = np.diff(np.concatenate([start, [len(a)]]))
+    a, b = a[start].astype(np.int64), b[start].astype(np.int64)
     rows = len(a) + len(found)
-    return pa.table({"pair": pa.array(np.arange(rows) < len(a)), "a": pa.array(np.concatenate([a, found.astype(np.int64)])), "b": pa.array(np.concatenate([b, n]))})
+    return pa.table({"pair": pa.array(np.arange(rows) < len(a)), "a": pa.array(np.concatenate([a, found.astype(np.int64)])), "b": pa.array(np.concatenate([b, np.zeros(len(found), np.int64)])), "many": pa.array(np.concatenate([shared, n]))})
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
@@ -251,27 +250,22 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     )
     met = settled(
         docs.where("doc_id is not null").mapInArrow(lambda batches: _deal(batches, k, light, n_parts), "part int, keys binary, ids binary")
-        .groupBy("part").applyInArrow(lambda t: _meet(t, light), "pair boolean, a long, b long")
+        .groupBy("part").applyInArrow(lambda t: _meet(t, light), "pair boolean, a long, b long, many long")
     )
 
-    node = classes.select("short", "id", "n")
-    candidates = (
-        met.where("pair").select("a", "b").distinct()
-        .join(node.toDF("a", "ida", "na"), "a").join(node.toDF("b", "idb", "nb"), "b")
-        .where("ida <> idb and 100 * least(na, nb) >= %d * greatest(na, nb)" % threshold)
+    # A set in a band: its light blocks, and the most of its blocks that may differ from a similar set's.
+    heavy = met.where("not pair").groupBy(F.col("a").alias("who")).agg(F.sum("many").alias("heavy"))
+    member = classes.select("id", "n", F.inline(F.array(*[F.struct((F.shiftleft("short", 1) + f).alias("who"), F.col(f"filled{f}").alias("filled"), F.col(f"bound{f}").alias("bound")) for f in (0, 1)]))).where("filled > 0")
+    member = settled(member.join(heavy, "who", "left").select("who", "id", "n", "bound", (F.col("filled") - F.coalesce("heavy", F.lit(0))).alias("light")))
+    # Similar sets share all their light blocks but those that may differ.
+    candidates = settled(
+        met.where("pair").groupBy("a", "b").agg(F.sum("many").alias("many"))
+        .join(member.select(F.col("who").alias("a"), F.col("id").alias("ida"), F.col("n").alias("na"), F.col("light").alias("la")), "a")
+        .join(member.select(F.col("who").alias("b"), F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("light").alias("lb")), "b")
+        .where("ida <> idb and 100 * least(na, nb) >= %d * greatest(na, nb) and many >= greatest(la, lb) - floor((na + nb) / 7)" % threshold)
         .select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     )
-    candidates = settled(candidates)
-
-    # Sets with too few light blocks left in some band.
-    heavy = met.where("not pair").groupBy(F.col("a").alias("who")).agg(F.sum("b").alias("heavy"))
-    open_sets = (
-        classes.join(heavy.where("who % 2 = 0").select(F.shiftright("who", 1).alias("short"), F.col("heavy").alias("h0")), "short", "left")
-        .join(heavy.where("who % 2 = 1").select(F.shiftright("who", 1).alias("short"), F.col("heavy").alias("h1")), "short", "left")
-        .where("filled0 - coalesce(h0, 0) <= bound0 or filled1 > 0 and filled1 - coalesce(h1, 0) <= bound1")
-        .select("id").distinct()
-    )
-    open_sets = settled(open_sets)
+    open_sets = settled(member.where("light <= bound").select("id").distinct())
 
     wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(open_sets).distinct()
     shingles = _with_shingles(docs, settled(wanted), k)

@@ -1,27 +1,56 @@
-"""A training corpus from raw documents, stage by stage; each stage's result is written and read again by the next."""
+"""A training corpus from raw documents, stage by stage; each stage's result is written and read again by the next.
+
+language: documents whose language is rejected go. lines: repeated lines go, and documents that have no words left by
+that. near_duplicates: of each group of linked documents the one with the smallest id stays. decontamination: spans of
+benchmark items go, and documents that are mostly such spans. bpe: the tokens of what is left, as digests.
+All stages but the last return the columns of documents; where a text changes, n_chars follows it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, decontaminate
+from quillgraph.llm import bpe, decontaminate, jaccard, language, lines
 from quillgraph.llm.queries import word_bpe
-from quillgraph.llm.tables import settled, table
+from quillgraph.llm.tables import settled, small, table
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(columns) if "n_chars" in columns else docs.select(columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.fit(docs)
+    return language.predict(docs, model).where("not rejected").select(docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(lines.dedup(docs), docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = settled(jaccard.linked(docs).where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(small(others, jaccard.BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
 
 
-def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, word_bpe())
 
 
 STAGES = [
-    ("decontamination", clean_benchmark),
-    ("bpe", encode),
+    ("language", known_language),
+    ("lines", without_repeated_lines),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("bpe", encoded),
 ]
 
+#: No stage but sharding and URL filters has an equivalent in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

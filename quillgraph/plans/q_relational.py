@@ -24,7 +24,7 @@ both("filter_contains_ci", lambda d: "SELECT uri FROM elements WHERE contains(lo
 both("filter_regex_ci", lambda d: f"SELECT uri, label FROM kg_nodes WHERE {d.rx('lower(label)', 'asia|europe|supplier#0*1')}")
 both("filter_in_list", lambda d: "SELECT uri, type, label FROM kg_nodes WHERE uri IN ('nation/1', 'nation/2', 'region/0', 'part/77', 'nobody/1')")
 both("filter_strlen", lambda d: "SELECT uri, chars FROM elements WHERE chars > 1000")
-both("filter_strstarts", lambda d: "SELECT uri FROM kg_nodes WHERE uri LIKE 'supplier/%' AND NOT (label LIKE 'Supplier#0000%')")
+both("filter_strstarts", lambda d: "SELECT uri FROM kg_nodes WHERE uri LIKE 'supplier/%' AND NOT (label LIKE '%1')")
 both("filter_bound", lambda d: "SELECT uri, modified FROM elements WHERE modified IS NOT NULL AND (access_count IS NULL OR access_count > 30)")
 both("filter_num_threshold", lambda d: "SELECT uri, freq, score FROM kg_nodes WHERE freq >= 10 AND score >= 0.4")
 both("filter_temporal", lambda d: "SELECT uri, created FROM elements WHERE created >= TIMESTAMP '2024-02-01 00:00:00' AND created <= TIMESTAMP '2024-03-31 23:59:59'")
@@ -54,7 +54,7 @@ both("filter_mem_relevance", lambda d: "SELECT id, importance FROM memories WHER
 both("filter_mem_domain_hierarchy", lambda d: "WITH parents AS (SELECT 'project:1' AS child, 'user:0' AS parent UNION ALL SELECT 'project:2', 'user:0' UNION ALL SELECT 'session:0', 'project:1'), RANKED AS (SELECT child FROM parents WHERE parent = 'user:0' UNION SELECT p2.child FROM parents p1 JOIN parents p2 ON p2.parent = p1.child WHERE p1.parent = 'user:0' UNION SELECT 'user:0') " + f"SELECT DISTINCT m.id FROM memories m JOIN RANKED r ON {d.has('m.domains', 'r.child')}")
 both("filter_mem_temporal_fading", lambda d: f"SELECT id FROM memories WHERE exp(-greatest({d.seconds(NOW)} - {d.seconds('last_accessed')}, 0) / 2592000.0) > 0.01")
 both("filter_mem_cross_domain", lambda d: f"SELECT id, CAST(1.2 AS DOUBLE) AS boost FROM memories WHERE {d.size(d.distinct(d.map('domains', 'x', _DOMAIN_TYPE)))} > 1")
-both("filter_nav_exclusion", lambda d: "SELECT n.uri FROM kg_nodes n WHERE n.type = 'Nation' AND NOT EXISTS (SELECT 1 FROM nav_views v WHERE v.corpuscle = n.uri AND v.tilt = 'error')")
+both("filter_nav_exclusion", lambda d: "SELECT n.uri FROM kg_nodes n WHERE n.type = 'Nation' AND NOT EXISTS (SELECT 1 FROM nav_views v WHERE v.corpuscle = n.uri AND v.tilt = 'error' AND v.view % 7 = 0 AND v.score > 90)")
 both("filter_concept_any", lambda d: "SELECT DISTINCT item FROM concepts WHERE concept IN ('Brand#11', 'Brand#22', 'Brand#33')")
 both("filter_concept_all", lambda d: "SELECT item FROM concepts WHERE concept IN ('Brand#11', 'Brand#22') GROUP BY item HAVING count(DISTINCT concept) = 2")
 both("filter_system_rows", lambda d: "SELECT id FROM interactions WHERE NOT contains(prompt, 'System:') AND NOT contains(prompt, 'ZPT State Change:')")
@@ -70,7 +70,7 @@ both("join_bgp_inner", lambda d: "SELECT c.label AS customer, n.label AS nation,
 both("join_optional_left", lambda d: "SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 both("join_optional_nested", lambda d: "SELECT n.uri, e.src AS supplier, s.label FROM kg_nodes n LEFT JOIN (kg_edges e JOIN kg_nodes s ON s.uri = e.src AND s.score > 0.5) ON e.dst = n.uri AND e.type = 'basedIn' WHERE n.type = 'Nation'")
 both("join_anti_not_exists", lambda d: "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-both("join_minus", lambda d: "SELECT uri FROM kg_nodes n LEFT ANTI JOIN kg_edges e ON n.uri = e.dst WHERE n.type = 'Nation'" if d.name == "spark" else "SELECT uri FROM kg_nodes n ANTI JOIN kg_edges e ON n.uri = e.dst WHERE n.type = 'Nation'")
+both("join_minus", lambda d: "SELECT uri FROM kg_nodes n LEFT ANTI JOIN mentions e ON n.uri = e.entity WHERE n.type <> 'Part'" if d.name == "spark" else "SELECT uri FROM kg_nodes n ANTI JOIN mentions e ON n.uri = e.entity WHERE n.type <> 'Part'")
 both("join_semi_exists", lambda d: "SELECT CAST(count(*) AS BIGINT) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 both("join_cross_graph", lambda d: "SELECT e.uri, e.label, i.item_id FROM elements e JOIN benchmark i ON e.doc_id = i.item_id")
 both("join_self_neq", lambda d: "SELECT a.entity AS one, b.entity AS other, CAST(count(*) AS BIGINT) AS n FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.entity <> b.entity GROUP BY a.entity, b.entity")
@@ -162,15 +162,15 @@ both("dml_forget", lambda d: f"SELECT id, CASE WHEN {d.has('domains', "'project:
 both("dml_switch_domain", lambda d: "SELECT session, view, pan AS old_pan, CASE WHEN pan = 'domain:1' THEN 'domain:3' ELSE pan END AS new_pan, pan = 'domain:1' AS faded FROM nav_views WHERE zoom = 'entity'")
 
 # External-knowledge shapes, over the derived graph.
-both("wd_concept_discovery", lambda d: "SELECT uri, max(match) AS match FROM (SELECT uri, 3 AS match FROM kg_nodes WHERE lower(label) LIKE '%ind%' UNION ALL SELECT e.src, 2 FROM kg_edges e JOIN kg_nodes n ON e.dst = n.uri WHERE lower(n.label) LIKE '%ind%' UNION ALL SELECT uri, 1 FROM kg_nodes WHERE lower(type) LIKE '%reg%') m GROUP BY uri")
+both("wd_concept_discovery", lambda d: "SELECT uri, max(match) AS match FROM (SELECT uri, 3 AS match FROM kg_nodes WHERE lower(label) LIKE '%nation_1%' UNION ALL SELECT e.src, 2 FROM kg_edges e JOIN kg_nodes n ON e.dst = n.uri WHERE lower(n.label) LIKE '%asia%' UNION ALL SELECT uri, 1 FROM kg_nodes WHERE lower(type) LIKE '%reg%') m GROUP BY uri")
 both("wd_entity_properties", lambda d: "SELECT t.p AS property, t.o AS value, CASE WHEN n.uri IS NULL THEN 'literal' ELSE 'uri' END AS value_type, n.label AS value_label FROM kg_triples t LEFT JOIN kg_nodes n ON n.uri = t.o WHERE t.s = 'supplier/3'")
 both("wd_entity_relationships", lambda d: "SELECT 'outgoing' AS direction, type, dst AS related FROM kg_edges WHERE src = 'supplier/3' UNION ALL SELECT 'incoming', type, src FROM kg_edges WHERE dst = 'supplier/3'")
-both("wd_entity_search", lambda d: "SELECT uri, label, CASE WHEN lower(label) = 'china' THEN 1.0 WHEN lower(label) LIKE 'c%' THEN 0.7 ELSE 0.4 END * 1e0 AS score FROM kg_nodes WHERE type IN ('Nation', 'Region') AND contains(lower(label), 'i')")
+both("wd_entity_search", lambda d: "SELECT uri, label, CASE WHEN lower(label) = 'asia' THEN 1.0 WHEN lower(label) LIKE 'a%' THEN 0.7 ELSE 0.4 END * 1e0 AS score FROM kg_nodes WHERE type IN ('Nation', 'Region') AND contains(lower(label), 'i')")
 both("wd_geospatial", lambda d: "SELECT uri AS entity, lat, lon, 'own' AS location_type FROM places UNION ALL SELECT e.src, p.lat, p.lon, 'container' FROM kg_edges e JOIN places p ON e.dst = p.uri WHERE e.type = 'basedIn' UNION ALL SELECT p.admin, p.lat, p.lon, 'contained' FROM places p")
 both("wd_hierarchy", lambda d: "WITH RECURSIVE up(start, uri, level) AS (SELECT src AS start, dst AS uri, 1 AS level FROM kg_core UNION ALL SELECT u.start, e.dst, u.level + 1 FROM up u JOIN kg_core e ON e.src = u.uri WHERE u.level < 5) SELECT DISTINCT start, uri, level FROM up UNION ALL SELECT DISTINCT dst, src, -1 FROM kg_core")
 both("wd_semantic_similarity", lambda d: "SELECT b.s AS similar, count(DISTINCT a.p) AS shared FROM kg_triples a JOIN kg_triples b ON a.p = b.p AND a.o = b.o AND a.s <> b.s WHERE a.s = 'supplier/3' AND b.s LIKE 'supplier/%' GROUP BY b.s")
 both("wd_temporal", lambda d: "SELECT uri AS entity, 'created' AS property, created AS at FROM elements WHERE doc_id < 100 UNION ALL SELECT uri, 'modified', modified FROM elements WHERE doc_id < 100 AND modified IS NOT NULL")
-both("wd_wikipedia_mapping", lambda d: "SELECT uri, label, concat('wiki/', replace(label, ' ', '_')) AS title FROM kg_nodes WHERE contains(label, 'UNITED')")
+both("wd_wikipedia_mapping", lambda d: "SELECT uri, label, concat('wiki/', replace(label, ' ', '_')) AS title FROM kg_nodes WHERE contains(label, '_2')")
 both("wd_entity_details", lambda d: "SELECT v.uri, n.label, n.type FROM (SELECT 'nation/1' AS uri UNION ALL SELECT 'region/2' UNION ALL SELECT 'ghost/1') v LEFT JOIN kg_nodes n ON n.uri = v.uri")
 both("wd_instance_hierarchy", lambda d: "WITH RECURSIVE below(uri, depth) AS (SELECT 'region/2' AS uri, 0 AS depth UNION ALL SELECT e.src, b.depth + 1 FROM below b JOIN kg_core e ON e.dst = b.uri WHERE b.depth < 5) SELECT n.uri, n.label FROM kg_nodes n WHERE n.uri IN (SELECT uri FROM below) AND n.type = 'Supplier'")
 

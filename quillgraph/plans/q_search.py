@@ -32,9 +32,9 @@ both("win_topk_by_type_knn", lambda d: f"SELECT label, vec_id, round(s, 5) AS si
 both("sim_threshold_search", lambda d: f"SELECT vec_id, label, round(s, 5) AS similarity FROM (SELECT vec_id, label, {cosine(d)} AS s FROM vectors, {_Q}) t WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 10")
 both("sim_session_cache", lambda d: f"SELECT vec_id, round(s, 5) AS similarity FROM (SELECT vec_id, {cosine(d)} AS s FROM vectors, {_Q} WHERE vec_id % 5 = 0) t WHERE s >= 0.5")
 both("sim_safe_search", lambda d: "SELECT uri, round(max(score / CASE WHEN most > 1 THEN most ELSE 1 END), 6) AS score FROM results, (SELECT max(score) AS most FROM results) m WHERE NOT contains(content, 'System:') GROUP BY uri")
-both("search_dual", lambda d: f"WITH exact AS (SELECT uri, 1.0 * CASE WHEN lower(label) = 'china' THEN 1.0 ELSE 0.8 END AS s FROM kg_nodes WHERE contains(lower(label), 'in') AND type IN ('Nation', 'Region')), near AS (SELECT concat('nation/', vec_id % 25) AS uri, max({cosine(d)}) AS s FROM vectors, {_Q} GROUP BY concat('nation/', vec_id % 25)), linked AS (SELECT dst AS uri, 0.5 AS s FROM kg_core WHERE type = 'inRegion' GROUP BY dst) SELECT uri, round(sum(CAST(s AS DOUBLE)), 5) AS score, {d.words_joined('src', ',')} AS sources FROM (SELECT uri, s * 1.0 AS s, 'exact' AS src FROM exact UNION ALL SELECT uri, s * 0.7, 'vector' FROM near UNION ALL SELECT uri, s * 0.5, 'graph' FROM linked) u GROUP BY uri")
+both("search_dual", lambda d: f"WITH exact AS (SELECT uri, 1.0 * CASE WHEN lower(label) = 'nation_7' THEN 1.0 ELSE 0.8 END AS s FROM kg_nodes WHERE contains(lower(label), 'ion') AND type IN ('Nation', 'Region')), near AS (SELECT concat('nation/', vec_id % 25) AS uri, max({cosine(d)}) AS s FROM vectors, {_Q} GROUP BY concat('nation/', vec_id % 25)), linked AS (SELECT dst AS uri, 0.5 AS s FROM kg_core WHERE type = 'inRegion' GROUP BY dst) SELECT uri, round(sum(CAST(s AS DOUBLE)), 5) AS score, {d.words_joined('src', ',')} AS sources FROM (SELECT uri, s * 1.0 AS s, 'exact' AS src FROM exact UNION ALL SELECT uri, s * 0.7, 'vector' FROM near UNION ALL SELECT uri, s * 0.5, 'graph' FROM linked) u GROUP BY uri")
 both("search_query_confidence", lambda d: f"SELECT item_id, round(CAST(0.4 * least(n / 3.0, 1) + 0.3 + CASE WHEN n > 4 THEN 0.3 ELSE 0 END AS DOUBLE), 6) AS confidence FROM (SELECT item_id, {d.size(d.rx_all('text', '[A-Z][a-z]+'))} AS n FROM benchmark) t")
-both("search_resolve_entities", lambda d: "SELECT q.name, min(n.uri) AS uri FROM (SELECT 'china' AS name UNION ALL SELECT 'france' UNION ALL SELECT 'nowhere') q LEFT JOIN kg_nodes n ON lower(n.label) = q.name GROUP BY q.name")
+both("search_resolve_entities", lambda d: "SELECT q.name, min(n.uri) AS uri FROM (SELECT 'nation_7' AS name UNION ALL SELECT 'asia' UNION ALL SELECT 'nowhere') q LEFT JOIN kg_nodes n ON lower(n.label) = q.name GROUP BY q.name")
 _weight = "CASE type WHEN 'Entity' THEN 1.0 WHEN 'Unit' THEN 0.9 WHEN 'TextElement' THEN 0.8 WHEN 'CommunityElement' THEN 0.7 WHEN 'Attribute' THEN 0.6 ELSE 0.5 END"
 both("search_filter_pipeline", lambda d: f"WITH kept AS (SELECT uri, type, max(score) AS score FROM results WHERE score >= 0.3 AND type IN ('Entity', 'Unit', 'TextElement') GROUP BY uri, type), top AS (SELECT uri, type, score, score * {_weight} AS weighted FROM kept ORDER BY score * {_weight} DESC, uri LIMIT 50) SELECT uri, type, round(weighted, 6) AS weighted, round((score - a) / nullif(b - a, 0), 6) AS normal FROM top, (SELECT min(score) AS a, max(score) AS b FROM top) r")
 both("rank_weighted", lambda d: f"SELECT uri, origin, round(score * {_weight}, 6) AS weighted FROM results ORDER BY score * {_weight} DESC, uri, origin LIMIT 50")
@@ -53,8 +53,8 @@ both("search_locations", lambda d: "SELECT e.uri, e.source, m.entity, l.quality
 both("search_enhancement_semantic", lambda d: "SELECT origin, id FROM (SELECT 'hyde' AS origin, concat('bench/', item_id) AS id, text FROM benchmark UNION ALL SELECT 'wikipedia', concat('doc/', doc_id), text FROM documents UNION ALL SELECT 'wikidata', uri, label FROM kg_nodes WHERE type = 'Nation') t WHERE contains(lower(text), 'an')")
 both("search_unified", lambda d: "SELECT uri, origin, round(CAST(score * CASE origin WHEN 'exact' THEN 1.3 WHEN 'vector' THEN 1.2 ELSE 1.1 END * CASE type WHEN 'Entity' THEN 1.4 WHEN 'Unit' THEN 1.15 ELSE 1.0 END AS DOUBLE), 6) AS final FROM results ORDER BY CAST(score * CASE origin WHEN 'exact' THEN 1.3 WHEN 'vector' THEN 1.2 ELSE 1.1 END * CASE type WHEN 'Entity' THEN 1.4 WHEN 'Unit' THEN 1.15 ELSE 1.0 END AS DOUBLE) DESC, uri, origin LIMIT 50")
 both("search_query_routing", lambda d: f"SELECT item_id, CASE WHEN {d.rx('lower(text)', '(^| )(who|where|when) ')} THEN 'entity' WHEN {d.rx('lower(text)', '(^| )(how|why) ')} THEN 'text' WHEN {d.rx('text', '[0-9]')} THEN 'graph' ELSE 'semantic' END AS service FROM benchmark")
-both("search_resources_text", lambda d: "SELECT DISTINCT t.s, l.label FROM kg_triples t LEFT JOIN kg_nodes l ON l.uri = t.s WHERE contains(lower(t.o), 'ira') OR contains(lower(t.s), 'region/3')")
-both("score_wikidata", lambda d: "SELECT uri, CASE WHEN lower(label) = 'india' THEN 1.0 WHEN lower(label) LIKE 'ind%' THEN 0.8 WHEN contains(lower(label), 'ind') THEN 0.6 WHEN contains(lower(type), 'nat') THEN 0.3 ELSE 0.1 END * 1e0 AS relevance FROM kg_nodes WHERE type IN ('Nation', 'Region')")
+both("search_resources_text", lambda d: "SELECT DISTINCT t.s, l.label FROM kg_triples t LEFT JOIN kg_nodes l ON l.uri = t.s WHERE contains(lower(t.o), 'nation_2') OR contains(lower(t.s), 'region/3')")
+both("score_wikidata", lambda d: "SELECT uri, CASE WHEN lower(label) = 'nation_1' THEN 1.0 WHEN lower(label) LIKE 'nation_1%' THEN 0.8 WHEN contains(lower(label), '1') THEN 0.6 WHEN contains(lower(type), 'nat') THEN 0.3 ELSE 0.1 END * 1e0 AS relevance FROM kg_nodes WHERE type IN ('Nation', 'Region')")
 both("score_wikipedia", lambda d: "SELECT uri, round(CAST(CASE WHEN contains(lower(label), 'the') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(content), 'the') THEN 0.3 ELSE 0 END + least(0.2, chars / 10000.0) AS DOUBLE), 6) AS relevance FROM elements")
 both("score_web", lambda d: f"SELECT uri, round(CAST(s AS DOUBLE), 6) AS relevance FROM (SELECT uri, {' + '.join(f'CASE WHEN contains(lower(label), {chr(39)}{w}{chr(39)}) THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(content), {chr(39)}{w}{chr(39)}) THEN 0.1 ELSE 0 END' for w in ('the', 'and', 'tion'))} AS s FROM elements) t WHERE s > 0.1")
 both("score_concept_confidence", lambda d: f"SELECT doc_id, round(CAST(least(0.8, 0.2 * n) + CASE WHEN place > 0 AND place < 0.3 * chars THEN 0.2 ELSE 0 END AS DOUBLE), 6) AS confidence FROM (SELECT doc_id, {d.rx_count('lower(text)', 'tion')} AS n, {d.strpos('lower(text)', "'tion'")} AS place, {d.length('text')} AS chars FROM documents) t")
@@ -76,7 +76,7 @@ both("mem_fade", lambda d: "SELECT id, CASE WHEN id % 10 = 0 THEN importance * 0
 both("mem_context_build", lambda d: f"SELECT topic, CAST(count(*) AS BIGINT) AS n, {d.words_joined('id', ',')} AS examples FROM (SELECT {d.at('concepts', '1')} AS topic, id, row_number() OVER (PARTITION BY {d.at('concepts', '1')} ORDER BY ts DESC, id) AS r FROM interactions) t WHERE r <= 5 GROUP BY topic")
 both("rag_context_combine", lambda d: f"SELECT {d.words_joined('piece', ' | ', False, 'section, r')} AS context FROM (SELECT 1 AS section, r, concat('P:', substring(prompt, 1, 40)) AS piece FROM (SELECT prompt, row_number() OVER (PARTITION BY turn ORDER BY ts DESC, id) AS r, turn FROM interactions WHERE turn = 0) a WHERE r <= 3 UNION ALL SELECT 2, r, concat('D:', substring(content, 1, 40)) FROM (SELECT content, row_number() OVER (PARTITION BY type ORDER BY similarity DESC, uri) AS r, type FROM elements WHERE type = 'Unit') b WHERE r <= 3) p")
 both("score_community_cohesion", lambda d: "SELECT c.dst AS community, CAST(count(*) AS BIGINT) AS members, CAST(count(DISTINCT m.doc_id) AS BIGINT) AS documents FROM kg_core c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn' GROUP BY c.dst")
-both("score_community_link", lambda d: "WITH members AS (SELECT c.dst AS community, m.doc_id FROM kg_core c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn'), sizes AS (SELECT community, count(DISTINCT doc_id) AS n FROM members GROUP BY community) SELECT one, other, round(shared * 1.0 / least(na, nb), 6) AS strength FROM (SELECT a.community AS one, b.community AS other, count(DISTINCT a.doc_id) AS shared, max(x.n) AS na, max(y.n) AS nb FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.community < b.community JOIN sizes x ON x.community = a.community JOIN sizes y ON y.community = b.community GROUP BY a.community, b.community) t WHERE shared * 1.0 / least(na, nb) > 0.1".replace("round(shared * 1.0 / least(na, nb), 6)", "round(CAST(shared AS DOUBLE) / least(na, nb), 6)"))
+both("score_community_link", lambda d: "WITH members AS (SELECT c.dst AS community, m.doc_id FROM kg_core c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn'), sizes AS (SELECT community, count(DISTINCT doc_id) AS n FROM members GROUP BY community) SELECT one, other, round(shared * 1.0 / least(na, nb), 6) AS strength FROM (SELECT a.community AS one, b.community AS other, count(DISTINCT a.doc_id) AS shared, max(x.n) AS na, max(y.n) AS nb FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.community < b.community JOIN sizes x ON x.community = a.community JOIN sizes y ON y.community = b.community GROUP BY a.community, b.community) t WHERE shared * 1.0 / least(na, nb) > 0.01".replace("round(shared * 1.0 / least(na, nb), 6)", "round(CAST(shared AS DOUBLE) / least(na, nb), 6)"))
 both("zpt_keyword_ranking", lambda d: f"SELECT uri, {d.rx_count('lower(content)', 'tion|the')} AS hits FROM elements ORDER BY {d.rx_count('lower(content)', 'tion|the')} DESC, uri LIMIT 50")
 both("zpt_graph_ranking", lambda d: "SELECT uri, degree FROM (SELECT a AS uri, CAST(count(*) AS BIGINT) AS degree FROM kg_adj GROUP BY a) g ORDER BY degree DESC, uri LIMIT 50")
 both("zpt_similarity_ranking", lambda d: "SELECT uri, similarity FROM elements ORDER BY similarity DESC, uri LIMIT 50")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .lineage import settled
 
 
@@ -102,6 +103,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
     if pairs.count() > 2 * LOCAL_EDGES:
         raise ValueError("exact betweenness is meant for graphs of at most LOCAL_EDGES edges")
     spark = edges.sparkSession
+    ship(spark)
     adjacency: dict = {}
     for r in pairs.collect():
         adjacency.setdefault(r.a, []).append(r.b)

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 
 @dataclass
 class Grid:
@@ -65,6 +67,7 @@ def start(grid: Grid, dims: int, seed: int = 7) -> np.ndarray:
 def train(vectors: DataFrame, grid: Grid, *, epochs: int = 10, final_radius: float = 0.5, rate: float = 1.0, vector_col: str = "v", tolerance: float = 1e-4) -> tuple[np.ndarray, list[float]]:
     """Weights (a row per cell) and the mean quantisation error of each epoch. Nulls are left out."""
     spark = vectors.sparkSession
+    ship(spark)
     dims = len(vectors.where(f"{vector_col} is not null").select(vector_col).first()[0])
     data = vectors.where(f"{vector_col} is not null and size({vector_col}) = {dims}").select(vector_col)
     weights, distance, errors = start(grid, dims), grid.distances(), []
@@ -101,6 +104,7 @@ def train(vectors: DataFrame, grid: Grid, *, epochs: int = 10, final_radius: flo
 
 def assign(vectors: DataFrame, weights: np.ndarray, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
     """id, best cell, distance to it, second-best cell."""
+    ship(vectors.sparkSession)
     shared = vectors.sparkSession.sparkContext.broadcast(weights)
 
     def near(frames):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunking
+from ..shipping import ship
 
 STRATEGIES: dict[str, Callable[..., list[tuple[int, int]]]] = {
     "fixed": chunking.fixed, "semantic": chunking.semantic, "adaptive": chunking.adaptive, "hierarchical": chunking.hierarchical, "token_aware": chunking.token_aware, "windows": chunking.windows,
@@ -19,6 +20,8 @@ STRATEGIES: dict[str, Callable[..., list[tuple[int, int]]]] = {
 def chunk(docs: DataFrame, strategy: str = "semantic", *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """id, chunk, start, size, hash, content for every chunk; ``auto`` picks a strategy by each text. Nulls have none."""
 
+    ship(docs.sparkSession)
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
@@ -34,6 +37,8 @@ def chunk(docs: DataFrame, strategy: str = "semantic", *, id_col: str = "doc_id"
 def dedup_content(results: DataFrame, *, group_col: str, key_col: str, text_col: str, order_col: str, threshold: float = 0.8) -> DataFrame:
     """Per group, rows in order, each dropped if its words' Jaccard similarity with a kept one is ``threshold`` or more."""
 
+    ship(results.sparkSession)
+
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
         kept, out = [], []
         for i, text in frame.sort_values([order_col, key_col])[text_col].items():
@@ -50,6 +55,8 @@ def dedup_content(results: DataFrame, *, group_col: str, key_col: str, text_col:
 def pack_tokens(items: DataFrame, budget: int, *, group_col: str, key_col: str, priority_col: str, tokens_col: str, by: str = "priority") -> DataFrame:
     """Per group the keys that a greedy choice under a token budget takes."""
 
+    ship(items.sparkSession)
+
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         chosen = chunking.knapsack(list(zip(frame[key_col], frame[priority_col], frame[tokens_col])), budget, by)
         return frame[frame[key_col].isin(chosen)][[group_col, key_col]]
@@ -59,6 +66,8 @@ def pack_tokens(items: DataFrame, budget: int, *, group_col: str, key_col: str,
 
 
 def hash_embeddings(docs: DataFrame, dims: int = 64, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ship(docs.sparkSession)
+
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"id": frame.iloc[:, 0], "v": [chunking.hash_embedding(t or "", dims) for t in frame.iloc[:, 1]]})

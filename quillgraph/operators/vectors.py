@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -37,6 +39,7 @@ def links(vectors: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col
     Vectors are dealt to blocks; each pair of blocks is one matrix product that keeps k per row, merged afterwards. Work
     is quadratic, as exact nearest neighbours of all are; memory is two blocks.
     """
+    ship(vectors.sparkSession)
     n = vectors.count()
     blocks = max(1, -(-n // BLOCK))
     data = vectors.where(f"{vector_col} is not null").select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))

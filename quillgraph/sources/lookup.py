@@ -51,4 +51,7 @@ class LookupSource(DataSource):
 
 
 def register(spark) -> None:
+    from ..shipping import ship
+
+    ship(spark)
     spark.dataSource.register(LookupSource)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES, CHUNK_BYTES = 2_000_000, 1_000_000
 _U = np.uint64
 _rng = np.random.default_rng(0x51A7)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -22,7 +22,7 @@ _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, CHUNK_BYTES + 1000)
         for k, base in ((0, _P), (1, _P_INV)):
             steps = np.full(size, base, _U)
             steps[0] = 1
@@ -82,14 +82,15 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows with about ``most`` bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of at most ``rows`` rows and about ``most`` bytes of text (one row at least)."""
     if not batch.num_rows:
         return
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        end = min(end, at + rows)
         yield batch.slice(at, end - at)
         at = end
 
@@ -124,14 +125,21 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; equal bytes give equal hashes anywhere."""
-    if not len(start):
-        return np.zeros(0, _U)
-    power, inverse = _up_to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * inverse[start]
-    return mix(h + (end - start).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
+    """A 64-bit hash of each span's bytes; equal bytes give equal hashes anywhere. Spans ascend and do not overlap.
+
+    About ``CHUNK_BYTES`` are worked on at a time, so that memory doesn't follow the length of a text.
+    """
+    out, i = np.empty(len(start), _U), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK_BYTES)))
+        lo, hi = int(start[i]), int(end[j - 1])
+        power, inverse = _up_to(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, _U)
+        np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=sums[1:])
+        a, b = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
+        i = j
+    return out
 
 
 _FACTORS = [_U(x) for x in (0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB, 0xA0761D6478BD642F, 0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5, 0xC5A308D313198A2F, 0xB5026F5AA96619E9)]

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .arrowtext import SPACED_LOWER, Words, buffers, mix
 from .blobs import counted, pack, ranges, unpack
-from .tables import parts, settled
+from .tables import parts, release, settled
 
-ORDER, BATCH_BYTES = 2, 16_000_000
+ORDER, BATCH_BYTES = 2, 8_000_000
 _U = np.uint64
 END, BEGIN = _U(0x1F83D9ABFB41BD6B), _U(0x5BE0CD19137E2179)
 #: Context-frequency buckets per order (0, 1, 2, 3-4, 5-8, ...), and octaves of estimates over the uniform share.
@@ -182,6 +183,7 @@ def score(docs: DataFrame, train: Column, develop: Column, *, id_col: str = "doc
     ``train``: whether a row is learned from; ``develop``: which of those teach the weights.
     """
     spark = docs.sparkSession
+    ship(spark)
     learned = F.coalesce(train, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), learned.alias("train"), (learned & F.coalesce(develop, F.lit(False))).alias("dev"))
     size = rows.groupBy("dev").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
@@ -190,6 +192,7 @@ def score(docs: DataFrame, train: Column, develop: Column, *, id_col: str = "doc
     n_parts = parts(spark)
     asked = texts.groupBy("batch", "dev").applyInArrow(lambda key, t: _request(key, t, order, n_parts), "part int, batch long, dev boolean, blobs array<binary>")
     answered = settled(asked.groupBy("part").applyInArrow(lambda key, t: _answer(key, t, order), "batch long, part int, answers array<binary>, total long, types long, main long"))
+    release(spark)
     total, types, main = (x or 0 for x in answered.agg(F.sum("total"), F.sum("types"), F.sum("main")).first())
 
     def histogram(key, texts, answers):
@@ -199,6 +202,7 @@ def score(docs: DataFrame, train: Column, develop: Column, *, id_col: str = "doc
         return pa.table({"cell": pa.array(got, pa.int64()), "n": pa.array(n, pa.int64())})
 
     seen = texts.where("dev").groupBy("batch").cogroup(answered.where("batch % 2 = 1").groupBy("batch")).applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    release(spark)
     cells, n = np.array([r.cell for r in seen], np.int64), np.array([r.n for r in seen], float)
     model = Mixture(total, types, learn_weights(_decode(cells, order) if len(n) else cells, n, order))
 

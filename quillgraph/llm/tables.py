@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,14 @@ def settled(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets shuffle files of finished jobs go: they stay until the driver has collected what refers to them, in two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number to deal keyed blobs to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

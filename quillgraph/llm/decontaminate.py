@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .arrowtext import ALNUM_LOWER, Words, buffers, slices
 from .tables import settled
 
@@ -173,6 +174,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
 def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with columns hit_n_words, hit_spans (flat word positions: first, one past the last, ...) and hit_items."""
     spark = docs.sparkSession
+    ship(spark)
     own = ("hit_n_words", "hit_spans", "hit_items")
     out = docs.drop(*own).select("*", F.lit(0).cast("long").alias(own[0]), F.array().cast("array<int>").alias(own[1]), F.array().cast("array<string>").alias(own[2]))
     schema = out.schema

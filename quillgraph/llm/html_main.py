@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .arrowtext import slices
 from .dom import Page, blocks
 from .trees import Boosted, fit
@@ -303,6 +304,7 @@ def extractor() -> Extractor:
 
 def extract(pages: DataFrame, model: Extractor | None = None, *, html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars (code points), which replace columns of these names."""
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or extractor())
     kept = [c for c in pages.columns if c not in ("text", "n_chars") or c == html_col]
     source = pages.select(*kept)

@@ -20,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .arrowtext import buffers, slices
 
 FEATURES, CLUSTERS, SAMPLE_ROWS, MAX_LANGUAGES, MIN_COSINE = 4096, 4, 4000, 400, 0.05
+#: Texts whose counts are held at once.
+ROWS = 500
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -117,6 +120,7 @@ def fit_counts(counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS)
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, sample_rows: int = SAMPLE_ROWS) -> Centroids | None:
     """Centroids from a bounded sample of the rows with text and language."""
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("k is not null and text is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
@@ -128,7 +132,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def features(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", rows=ROWS):
                 keep = lettered(batch.column(1))
                 counts = gram_counts(batch.column(1))
                 packed = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts]
@@ -141,6 +145,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def predict(docs: DataFrame, model: Centroids | None, *, text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
     """``docs`` with columns lang_pred, score (the cosine, 0 to 1) and rejected, which replace any of these names."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = docs.select("*", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
     shared = spark.sparkContext.broadcast(model)
@@ -148,7 +153,7 @@ def predict(docs: DataFrame, model: Centroids | None, *, text_col: str = "text",
     def run(batches):
         model = shared.value
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, rows=ROWS):
                 column = batch.column(batch.schema.names.index(text_col))
                 ok = lettered(column)
                 if model is None:

@@ -8,10 +8,11 @@ every set that has more filled blocks than that bound shares one with each simil
 candidates are verified on the shingles.
 
 Blocks that more than ``light`` different sets share ("heavy") pair nothing. A set is still found by all its partners
-while its light blocks outnumber the bound; the few sets that this leaves uncovered (members of large groups of near
-copies, texts made of very common passages) are joined among themselves by the finest blocks, single shingles, of which
-a prefix in hash order suffices: first each with one leader, then only across the components that remain. So no bucket
-is ever expanded into all its pairs, and no link between different texts is lost as far as components go.
+while its light blocks outnumber the bound. Sets that this leaves open, as passages that many texts share do, meet again
+by the finest blocks, single shingles, where the bound is lower. What is open even then (members of large groups of near
+copies) is joined by the rarest shingles of each set, of which a quarter and one suffice: first each set with one leader, then only across the components
+that remain. So no bucket is ever expanded into all its pairs, and no link between different texts is lost as far as
+components go.
 
 Texts with equal sets are one class from the start. Texts without words are linked with nothing. Rows with a null id
 get the class's component; equal ids with different texts count as one document. Extra columns do no harm.
@@ -23,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..shipping import ship
 from .arrowtext import SPACED_LOWER, Words, buffers, mix, shingle_sets, slices
 from .blobs import pack, ranges, unpack
 from .components import components
-from .tables import parts, settled, small
+from .tables import parts, release, settled, small
 
 K, LIGHT, FLUSH = 5, 8, 3_000_000
 BROADCAST_ROWS = 200_000
@@ -89,6 +92,12 @@ def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(out_key), e[owner, 0], e[owner, 1]
 
 
+def finest_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As sketch_keys, with a block for every shingle and no bands: then only shingles of one's own change one's blocks."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return mix(np.concatenate([*sets, np.zeros(0, _U)]) ^ _U(0x510E527FADE682D1)), owner, np.zeros(len(owner), np.int64)
+
+
 def set_hash(s: np.ndarray) -> int:
     """A signed 64-bit hash of a sorted set; 0 for the empty one."""
     if not len(s):
@@ -133,7 +142,7 @@ def _group(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key, who, np.repeat(start, length), np.repeat(length, length)
 
 
-def _deal(batches, k: int, light: int, n_parts: int):
+def _deal(batches, k: int, light: int, n_parts: int, sketch):
     """Requests: keys and short ids by key range. A key that is heavy within a flush travels once, marked."""
     keys, ids, held = [], [], 0
 
@@ -154,7 +163,7 @@ def _deal(batches, k: int, light: int, n_parts: int):
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = _sets(batch, k)
-            key, owner, flag = sketch_keys(sets)
+            key, owner, flag = sketch(sets)
             g = _short(np.array([set_hash(s) for s in sets], np.int64))
             keys.append(key >> _U(8) << _U(8))
             ids.append(g[owner] << _U(1) | flag.astype(_U))
@@ -206,6 +215,33 @@ def _meet(table: pa.Table, light: int) -> pa.Table:
     return pa.table({"pair": pa.array(np.arange(rows) < len(a)), "a": pa.array(np.concatenate([a, found.astype(np.int64)])), "b": pa.array(np.concatenate([b, np.zeros(len(found), np.int64)])), "many": pa.array(np.concatenate([shared, n]))})
 
 
+def _round(docs: DataFrame, member: DataFrame, sketch, k: int, threshold: int, light: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) by equal blocks, and the ids of sets that may have partners which no light block shows.
+
+    ``member``: a set in a band with its filled blocks and the most of them that may differ from a similar set's.
+    """
+    spark = docs.sparkSession
+    n_parts = parts(spark)
+    met = settled(
+        docs.mapInArrow(lambda batches: _deal(batches, k, light, n_parts, sketch), "part int, keys binary, ids binary")
+        .groupBy("part").applyInArrow(lambda t: _meet(t, light), "pair boolean, a long, b long, many long")
+    )
+    release(spark)
+    heavy = met.where("not pair").groupBy(F.col("a").alias("who")).agg(F.sum("many").alias("heavy"))
+    member = member.withColumn("who", F.shiftleft("short", 1) + F.col("flag"))
+    member = settled(member.join(heavy, "who", "left").select("who", "id", "n", "bound", (F.col("filled") - F.coalesce("heavy", F.lit(0))).alias("light")))
+    # Similar sets share all their light blocks but those that may differ.
+    a = member.select(F.col("who").alias("a"), F.col("id").alias("ida"), F.col("n").alias("na"), F.col("light").alias("la"), F.col("bound").alias("ba"))
+    b = member.select(F.col("who").alias("b"), F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("light").alias("lb"), F.col("bound").alias("bb"))
+    most = "least({0}, floor((na + nb) / 7))"
+    pairs = (
+        met.where("pair").groupBy("a", "b").agg(F.sum("many").alias("many")).join(a, "a").join(b, "b")
+        .where(f"ida <> idb and 100 * least(na, nb) >= {threshold} * greatest(na, nb) and many >= la - {most.format('ba')} and many >= lb - {most.format('bb')}")
+        .select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    )
+    return settled(pairs), settled(member.where("light <= bound").select("id").distinct())
+
+
 def _verified(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets intersect in ``threshold`` per cent of their union or more."""
 
@@ -239,47 +275,41 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     """Per row: doc_id, n_shingles and component_id, the smallest id that links reach."""
     if threshold < 75:
         raise ValueError("the bounds on symmetric differences here hold from 75 per cent on")
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_parts = parts(spark)
     signature = settled(signatures(docs, k))
     short = F.least(F.shiftrightunsigned("g", 64 - (ID_BITS - 1)), F.lit((1 << (ID_BITS - 1)) - 2))
     classes = settled(
         signature.where("n > 0 and doc_id is not null").groupBy("g").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "filled0", "filled1", "bound0", "bound1")))
         .withColumn("short", short)
     )
-    met = settled(
-        docs.where("doc_id is not null").mapInArrow(lambda batches: _deal(batches, k, light, n_parts), "part int, keys binary, ids binary")
-        .groupBy("part").applyInArrow(lambda t: _meet(t, light), "pair boolean, a long, b long, many long")
-    )
-
-    # A set in a band: its light blocks, and the most of its blocks that may differ from a similar set's.
-    heavy = met.where("not pair").groupBy(F.col("a").alias("who")).agg(F.sum("many").alias("heavy"))
-    member = classes.select("id", "n", F.inline(F.array(*[F.struct((F.shiftleft("short", 1) + f).alias("who"), F.col(f"filled{f}").alias("filled"), F.col(f"bound{f}").alias("bound")) for f in (0, 1)]))).where("filled > 0")
-    member = settled(member.join(heavy, "who", "left").select("who", "id", "n", "bound", (F.col("filled") - F.coalesce("heavy", F.lit(0))).alias("light")))
-    # Similar sets share all their light blocks but those that may differ.
-    candidates = settled(
-        met.where("pair").groupBy("a", "b").agg(F.sum("many").alias("many"))
-        .join(member.select(F.col("who").alias("a"), F.col("id").alias("ida"), F.col("n").alias("na"), F.col("light").alias("la")), "a")
-        .join(member.select(F.col("who").alias("b"), F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("light").alias("lb")), "b")
-        .where("ida <> idb and 100 * least(na, nb) >= %d * greatest(na, nb) and many >= greatest(la, lb) - floor((na + nb) / 7)" % threshold)
-        .select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-    )
-    open_sets = settled(member.where("light <= bound").select("id").distinct())
+    member = classes.select("short", "id", "n", F.inline(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f"filled{f}").alias("filled"), F.col(f"bound{f}").alias("bound")) for f in (0, 1)]))).where("filled > 0")
+    first, open_sets = _round(docs.where("doc_id is not null"), member, sketch_keys, k, threshold, light)
+    # What passages that many texts share leave open, by the finest blocks.
+    fine = classes.join(small(open_sets, BROADCAST_ROWS), "id", "left_semi").select("short", "id", "n", F.lit(0).alias("flag"), F.col("n").alias("filled"), F.expr("n - ceil(n * %d / 100)" % threshold).alias("bound"))
+    some = docs.join(small(open_sets.withColumnRenamed("id", "doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
+    second, open_sets = _round(some, fine, finest_keys, k, threshold, light)
+    candidates = settled(first.union(second).distinct())
 
     wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(open_sets).distinct()
     shingles = _with_shingles(docs, settled(wanted), k)
 
+    release(docs.sparkSession)
     links, label = _grown(None, candidates.groupBy("b").agg(F.min("a").alias("a")), shingles, threshold)  # each set with its smallest partner
     links, label = _grown((links, label), candidates, shingles, threshold)
 
-    entries = settled(shingles.join(small(open_sets, BROADCAST_ROWS), "id", "left_semi").mapInArrow(lambda batches: _prefixes(batches, threshold), "key long, id long, n long"))
+    # The rarest shingles of each open set, so many that similar sets share one: what is common in all of them is left out.
+    every = settled(shingles.join(small(open_sets, BROADCAST_ROWS), "id", "left_semi").mapInArrow(lambda batches: _shingle_rows(batches, threshold), "key long, id long, n long, enough long"))
+    seen_in = every.groupBy("key").agg(F.count("*").alias("seen_in"))
+    rarest = Window.partitionBy("id").orderBy("seen_in", "key")
+    entries = settled(every.join(seen_in, "key").withColumn("place", F.row_number().over(rarest)).where("place <= enough and seen_in > 1").select("key", "id", "n"))
+    release(docs.sparkSession)
     leaders = entries.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("many")).where("many > 1").select("key", "a")
     votes = entries.join(leaders, "key").where("id <> a").groupBy(F.col("id").alias("b"), "a").count()
     links, label = _grown((links, label), votes.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")), shingles, threshold)
-    marked = entries.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    marked = entries.join(small(label, BROADCAST_ROWS), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    mixed = settled(marked.join(mixed, "key"))
+    mixed = settled(marked.join(small(settled(mixed), BROADCAST_ROWS), "key"))
     x, y = mixed.toDF("key", "a", "na", "ca"), mixed.toDF("key", "b", "nb", "cb")
     residue = x.join(y, "key").where("ca < cb and 100 * least(na, nb) >= %d * greatest(na, nb)" % threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links, label = _grown((links, label), residue, shingles, threshold)
@@ -290,6 +320,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
 
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends are not connected yet."""
+    label = small(label, BROADCAST_ROWS)
     a = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     b = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
@@ -305,14 +336,11 @@ def _grown(known, pairs: DataFrame, shingles: DataFrame, threshold: int) -> tupl
     return links, components(links)
 
 
-def _prefixes(batches, threshold: int):
-    """The smallest hashes of each set, so many that similar sets share one of them."""
+def _shingle_rows(batches, threshold: int):
+    """A row per shingle of each set, with the set's size and how many of its shingles any similar set must meet."""
     for batch in batches:
-        ids, keys, sizes = [], [], []
-        for i, packed in zip(batch.column("id").to_pylist(), batch.column("sh").to_pylist()):
-            s = unpack(packed, _U, True)
-            keys.append(s[: len(s) - -(-threshold * len(s) // 100) + 1])
-            ids.append(np.full(len(keys[-1]), i, np.int64))
-            sizes.append(np.full(len(keys[-1]), len(s), np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["key", "id", "n"])
+        sets = [unpack(packed, _U, True) for packed in batch.column("sh").to_pylist()]
+        size = np.array([len(s) for s in sets], np.int64)
+        if len(size):
+            columns = [np.concatenate(sets).view(np.int64), np.repeat(batch.column("id").to_numpy(), size), np.repeat(size, size), np.repeat(size - -(-threshold * size // 100) + 1, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "enough"])

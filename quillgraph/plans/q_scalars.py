@@ -52,7 +52,7 @@ both("date_bucket", lambda d: f"SELECT event_id, {d.date_text('ts', 'yyyy', '%Y'
 both("date_bucket_range", lambda d: "SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS first_day, last_day(CAST(o_orderdate AS DATE)) AS final_day FROM orders")
 both("date_duration_days", lambda d: f"SELECT uri, CAST(ceil(({d.seconds(NOW)} - {d.seconds('created')}) / 86400.0) AS BIGINT) AS days FROM elements")
 both("date_relative_parse", lambda d: f"SELECT e.event_id, u.span FROM events e JOIN (SELECT '7d' AS span, 7 * 86400 AS s UNION ALL SELECT '3h', 3 * 3600 UNION ALL SELECT '30m', 30 * 60) u ON {d.seconds('e.ts')} >= {d.seconds('(SELECT max(ts) FROM events)')} - u.s")
-both("date_event_frequency", lambda d: f"SELECT user_id, round(CAST(count(*) AS DOUBLE) / ((max({d.seconds('ts')}) - min({d.seconds('ts')})) / 86400.0) + 1e-9, 6) AS per_day FROM events GROUP BY user_id HAVING max({d.seconds('ts')}) > min({d.seconds('ts')})")
+both("date_event_frequency", lambda d: f"SELECT user_id, round(CAST(count(*) AS DOUBLE) / ((max({d.seconds('ts')}) - min({d.seconds('ts')})) / 86400.0), 4) AS per_day FROM events GROUP BY user_id HAVING max({d.seconds('ts')}) > min({d.seconds('ts')})")
 
 # Arrays and vectors, against the vector with the smallest id.
 _Q = "(SELECT v AS q FROM vectors WHERE vec_id = 0) q0"

@@ -10,9 +10,9 @@ candidates are verified on the shingles.
 Blocks that more than ``light`` different sets share ("heavy") pair nothing. A set is still found by all its partners
 while its light blocks outnumber the bound. Sets that this leaves open, as passages that many texts share do, meet again
 by the finest blocks, single shingles, where the bound is lower. What is open even then (members of large groups of near
-copies) is joined by the rarest shingles of each set, of which a quarter and one suffice: first each set with one leader, then only across the components
-that remain. So no bucket is ever expanded into all its pairs, and no link between different texts is lost as far as
-components go.
+copies) is joined by the rarest shingles of each set, of which a quarter and one suffice: first each set with one
+leader, then pair by pair across the components that remain. So groups of near copies are not expanded into all their
+pairs, and no link between different texts is lost as far as components go.
 
 Texts with equal sets are one class from the start. Texts without words are linked with nothing. Rows with a null id
 get the class's component; equal ids with different texts count as one document. Extra columns do no harm.

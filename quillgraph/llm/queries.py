@@ -59,7 +59,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup(docs, drop_emptied=False, count_cols=True).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.dedup(docs, max_bits=lines.NEAR_BITS, drop_emptied=False, count_cols=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

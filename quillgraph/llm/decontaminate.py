@@ -90,9 +90,8 @@ class ItemIndex:
                 v = a.step[v][w]
                 if i + 1 >= window:
                     self.windows[self.at_window[v]].add(key)
-            if len(words) < window:
-                short[v][len(words)].add(key)
-        # Whole short items that end wherever a state is reached, by length.
+            short[v][len(words)].add(key)
+        # Whole items that end wherever a state is reached, by length.
         self.short: dict[int, list[tuple[int, set[str]]]] = {}
         for v in sorted(range(len(a.step)), key=a.length.__getitem__):
             own = [*short[v].items()] if v in short else []
@@ -114,8 +113,8 @@ class ItemIndex:
             out[at] = self.vocabulary[near] == word[at]
         return out
 
-    def search(self, words: list[int], at: int, spans: list[list[int]], found: set[str]) -> None:
-        """Streams a stretch of words; adds spans of word positions (first, one past the last) and items."""
+    def search(self, words: list[int], at: int, spans: list[list[int]], found: set[str], whole: list[list[int]]) -> None:
+        """Streams a stretch of words; adds spans of word positions (first, one past the last), items, and spans of whole items."""
         a, window = self.a, self.window
         step, link, length, at_window = a.step, a.link, a.length, self.at_window
         v = n = 0
@@ -131,10 +130,14 @@ class ItemIndex:
             hit = n if n >= window else 0
             if hit:
                 found |= self.windows[at_window[v]]
+            longest = 0
             for k, keys in self.short.get(v, ()):
                 if k <= n:
                     found |= keys
-                    hit = max(hit, k)
+                    longest = max(longest, k)
+            if longest:
+                whole.append([i - longest, i])
+                hit = max(hit, longest)
             if hit:
                 if spans and i - hit <= spans[-1][1]:
                     while spans and i - hit <= spans[-1][0]:
@@ -172,11 +175,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with columns hit_n_words, hit_spans (flat word positions: first, one past the last, ...) and hit_items."""
+    """``docs`` with columns hit_n_words, hit_spans (flat word positions: first, one past the last, ...), hit_items and hit_whole (as hit_spans, but of whole items)."""
     spark = docs.sparkSession
     ship(spark)
-    own = ("hit_n_words", "hit_spans", "hit_items")
-    out = docs.drop(*own).select("*", F.lit(0).cast("long").alias(own[0]), F.array().cast("array<int>").alias(own[1]), F.array().cast("array<string>").alias(own[2]))
+    own = ("hit_n_words", "hit_spans", "hit_items", "hit_whole")
+    out = docs.drop(*own).select("*", F.lit(0).cast("long").alias(own[0]), F.array().cast("array<int>").alias(own[1]), F.array().cast("array<string>").alias(own[2]), F.array().cast("array<int>").alias(own[3]))
     schema = out.schema
     for k, items in enumerate(_blocks(benchmark, item_id, item_text, block_chars)):
         shared = spark.sparkContext.broadcast(items)
@@ -192,6 +195,17 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     return out
 
 
+def _merged(spans) -> list[int]:
+    """Spans as flat positions, those that touch as one."""
+    merged: list[int] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1]:
+            merged[-1] = max(merged[-1], b)
+        else:
+            merged += [a, b]
+    return merged
+
+
 def _mark_batch(index: ItemIndex, batch: pa.RecordBatch, text_col: str) -> pa.RecordBatch:
     names = batch.schema.names
     words = Words(*buffers(batch.column(names.index(text_col))), ALNUM_LOWER)
@@ -206,24 +220,15 @@ def _mark_batch(index: ItemIndex, batch: pa.RecordBatch, text_col: str) -> pa.Re
     long = end - start >= index.least
     start, end = start[long], end[long]
     row = np.searchsorted(words.first, start, "right") - 1
-    spans = [[list(p) for p in zip(s[::2], s[1::2])] for s in batch.column(names.index("hit_spans")).to_pylist()]
+    spans, whole = ([[list(p) for p in zip(s[::2], s[1::2])] for s in batch.column(names.index(c)).to_pylist()] for c in ("hit_spans", "hit_whole"))
     found = [set(x) for x in batch.column(names.index("hit_items")).to_pylist()]
     for r, a, b in zip(row.tolist(), start.tolist(), end.tolist()):
         base, own = int(words.first[r]), []
-        index.search(h[a:b].tolist(), a - base, own, found[r])
+        index.search(h[a:b].tolist(), a - base, own, found[r], whole[r])
         spans[r] += own
-    flat = []
-    for s in spans:
-        merged: list[int] = []
-        for a, b in sorted(s):
-            if merged and a <= merged[-1]:
-                merged[-1] = max(merged[-1], b)
-            else:
-                merged += [a, b]
-        flat.append(merged)
     columns = list(batch.columns)
     columns[names.index("hit_n_words")] = pa.array(np.diff(words.first), pa.int64())
-    for name, values in (("hit_spans", flat), ("hit_items", [sorted(x) for x in found])):
+    for name, values in (("hit_spans", [_merged(s) for s in spans]), ("hit_items", [sorted(x) for x in found]), ("hit_whole", [_merged(s) for s in whole])):
         columns[names.index(name)] = pa.array(values, batch.schema.field(name).type)
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
@@ -242,9 +247,9 @@ def report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_span: int = WINDOW, max_coverage: float = 0.8, **how) -> DataFrame:
-    """``docs`` without hit spans of ``max_span`` words or more, and without rows of which more than ``max_coverage`` of the words is hit.
+    """``docs`` without hit spans of ``max_span`` words or more and without whole items of any length, and without rows of which more than ``max_coverage`` of the words is hit.
 
-    Shorter hits (whole short items) go too if they make up the whole text's excess. Rows that nothing hits stay as they are, byte for byte.
+    Rows that nothing hits stay as they are, byte for byte.
     """
     schema = docs.schema
     marked = mark(docs, benchmark, text_col=text_col, **how)
@@ -255,7 +260,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max
                 names = batch.schema.names
                 column = batch.column(names.index(text_col))
                 total = batch.column(names.index("hit_n_words")).to_pylist()
-                spans = batch.column(names.index("hit_spans")).to_pylist()
+                spans, whole_items = (batch.column(names.index(c)).to_pylist() for c in ("hit_spans", "hit_whole"))
                 touched = [i for i, s in enumerate(spans) if s]
                 keep, texts = np.ones(batch.num_rows, bool), None
                 if touched:
@@ -270,10 +275,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max
                             keep[i] = False
                             continue
                         out, at = [], int(offsets[k])
-                        for a, b in zip(s[::2], s[1::2]):
-                            if b - a >= max_span:
-                                out.append(raw[at : int(words.start[f + a])])
-                                at = int(words.end[f + b - 1])
+                        w = whole_items[i]
+                        gone = _merged([(a, b) for a, b in zip(s[::2], s[1::2]) if b - a >= max_span] + [*zip(w[::2], w[1::2])])
+                        for a, b in zip(gone[::2], gone[1::2]):
+                            out.append(raw[at : int(words.start[f + a])])
+                            at = int(words.end[f + b - 1])
                         out.append(raw[at : int(offsets[k + 1])])
                         texts[i] = b"".join(out).decode()
                 columns = [pa.array(texts, f.type) if texts is not None and f.name == text_col else batch.column(names.index(f.name)) for f in batch.schema if f.name in wanted]

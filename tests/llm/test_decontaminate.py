@@ -48,3 +48,14 @@ def test_removes_spans_and_keeps_clean_rows(spark):
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
     out = {r.doc_id: r.text for r in decontaminate.remove(docs, bench).collect()}
     assert out == {1: "Intro words come first here. ! And then the story goes on and on.", 2: clean, 4: None}
+
+
+def test_removes_whole_short_items_from_long_documents(spark):
+    before, after = " ".join(f"b{k}" for k in range(40)), " ".join(f"a{k}" for k in range(40))
+    items = ["red green blue", "what is the capital of france", "i1 i2 i3 i4 i5 i6 i7 i8 i9"]
+    rows = [(i, f"{before} {item} {after}") for i, item in enumerate(items)] + [(9, f"{before} i1 i2 i3 i4 i5 i6 {after}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for how in ({}, {"window": 4}):
+        out = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, **how).collect()}
+        assert out == {**{i: f"{before}  {after}" for i in range(len(items))}, 9: rows[3][1]}

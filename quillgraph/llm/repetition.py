@@ -4,7 +4,8 @@ One suffix array over the words of a whole run of texts is built by prefix doubl
 nothing repeats across texts. From the longest common prefixes of neighbours the longest repeat that begins at each
 word follows: it is the depth of the deepest common-prefix interval that holds the suffix, and the spans of those of
 at least ``min_repeat`` words together are the spans of all maximal repeated substrings. A text fails if too large a
-fraction of its words is covered or its longest repeat is too long.
+fraction of its words is covered or its longest repeat is too long. Covered words are in repeated windows of three words
+too, of which the base rule allows 50 %, so ``max_covered`` decides only well below that.
 
 Nulls, empty texts and texts without words count zero everywhere; they have under 50 words and so fail the base rule.
 Rows are independent: repeated rows and extra columns do no harm.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .arrowtext import RAW, SPACED, Words, buffers, slices, span_hashes, windows
 
-MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 0.5, 150
+MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 0.2, 150
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:

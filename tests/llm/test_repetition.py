@@ -31,3 +31,12 @@ def test_matches_brute_force(spark):
         assert r.base_failed == (n < 50 or 100 * rep > 50 * n)
         assert not (r.kept and r.base_failed)
     assert repetition.quality(docs.limit(0)).count() == 0
+
+
+def test_coverage_alone_fails_a_text(spark):
+    passage = [f"p{k}" for k in range(100)]
+    fresh = [f"f{k}" for k in range(250)]
+    rows = [(1, " ".join(passage + fresh[:150] + passage + fresh[150:])), (2, " ".join(passage[:15] + fresh + passage[:15] + passage[15:]))]
+    twice, little = repetition.quality(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (twice.n_words, twice.covered_words, twice.longest_repeat, twice.base_failed, twice.kept) == (450, 200, 100, False, False)
+    assert (little.covered_words, little.base_failed, little.kept) == (30, False, True)

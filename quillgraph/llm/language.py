@@ -2,7 +2,9 @@
 
 A text is a TF-IDF vector over hashed byte n-grams (1 to 3) of its letters, A-Z lower-cased, all else one space. Each
 language has up to ``clusters`` centroids from spherical k-means; a text takes the language of the centroid with the
-largest cosine and is rejected when even that cosine is below ``min_cosine``.
+largest cosine and is rejected when even that cosine is below ``min_cosine`` or the centroid's own cut-off for texts of
+that length: ``MARGIN`` times the 1 % quantile of the sample's cosines with it, by octaves of n-grams in a text. Where a
+centroid has under ``ENOUGH`` texts of an octave those of all centroids count; without enough, the next shorter octave's.
 
 The centroids and document frequencies are fitted on a bounded sample of labelled rows: ``sample_rows`` in all, shared
 evenly by the languages and chosen by a hash of the id. Nulls and texts without letters are ``und`` with score 0 and
@@ -24,6 +26,7 @@ from ..shipping import ship
 from .arrowtext import buffers, slices
 
 FEATURES, CLUSTERS, SAMPLE_ROWS, MAX_LANGUAGES, MIN_COSINE = 4096, 4, 4000, 400, 0.05
+OCTAVES, ENOUGH, MARGIN = 32, 20, 0.7
 #: Texts whose counts are held at once.
 ROWS = 500
 UNKNOWN = "und"
@@ -75,17 +78,44 @@ class Centroids:
     owner: np.ndarray
     idf: np.ndarray
     centres: np.ndarray
+    least: np.ndarray | None = None
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts.astype(np.float32)) * self.idf
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.where(norm > 0, norm, 1)
 
-    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language (an index) and cosine of the nearest centroid."""
+    def closest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid (an index) and its cosine."""
         cosine = self.vectors(counts) @ self.centres.T
         best = cosine.argmax(1)
-        return self.owner[best], cosine[np.arange(len(best)), best].astype(float)
+        return best, cosine[np.arange(len(best)), best].astype(float)
+
+    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language (an index) and cosine of the nearest centroid, and that centroid's cut-off."""
+        best, cosine = self.closest(counts)
+        return self.owner[best], cosine, self.least[best, _octave(counts)]
+
+
+def _octave(counts: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(counts.sum(1), 1)).astype(int).clip(0, OCTAVES - 1)
+
+
+def _cut_offs(best: np.ndarray, cosine: np.ndarray, octave: np.ndarray, k: int) -> np.ndarray:
+    """Least cosine by centroid and octave."""
+    out = np.zeros((k, OCTAVES))
+    for o in range(OCTAVES):
+        here = octave == o
+        everyone = MARGIN * np.quantile(cosine[here], 0.01) if here.sum() >= ENOUGH else None
+        for c in range(k):
+            own = here & (best == c)
+            if own.sum() >= ENOUGH:
+                out[c, o] = MARGIN * np.quantile(cosine[own], 0.01)
+            elif everyone is not None:
+                out[c, o] = everyone
+            elif o:
+                out[c, o] = out[c, o - 1]
+    return out
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -115,6 +145,8 @@ def fit_counts(counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS)
     centres = [_k_means(x[label == i], clusters) for i in range(len(languages))]
     model.owner = np.repeat(np.arange(len(languages)), [len(c) for c in centres])
     model.centres = np.concatenate(centres).astype(np.float32)
+    best, cosine = model.closest(counts)
+    model.least = _cut_offs(best, cosine, _octave(counts), len(model.owner))
     return model
 
 
@@ -158,12 +190,12 @@ def predict(docs: DataFrame, model: Centroids | None, *, text_col: str = "text",
                 ok = lettered(column)
                 if model is None:
                     ok[:] = False
-                    lang, cosine = [UNKNOWN] * len(ok), np.zeros(len(ok))
+                    lang, cosine, least = [UNKNOWN] * len(ok), np.zeros(len(ok)), 0.0
                 else:
-                    best, cosine = model.nearest(gram_counts(column))
+                    best, cosine, least = model.nearest(gram_counts(column))
                     cosine = np.where(ok, np.clip(cosine, 0, 1), 0.0)
                     lang = [model.languages[i] if k else UNKNOWN for i, k in zip(best, ok)]
-                added = [pa.array(lang, pa.string()), pa.array(cosine, pa.float64()), pa.array(~ok | (cosine < min_cosine))]
+                added = [pa.array(lang, pa.string()), pa.array(cosine, pa.float64()), pa.array(~ok | (cosine < np.maximum(least, min_cosine)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     return docs.mapInArrow(run, schema)

@@ -45,3 +45,15 @@ def test_nothing_to_learn(spark):
     docs = corpus(spark, 4)
     assert language.fit(docs.limit(0)) is None
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
+
+
+def test_gibberish_and_unseen_scripts_are_rejected(spark):
+    rnd = random.Random(8)
+    docs = corpus(spark, 600)
+    model = language.fit(docs.where("doc_id % 4 != 2"))
+    clean = language.predict(docs, model).where("doc_id % 4 = 2").collect()
+    assert sum(r.rejected for r in clean) <= 0.02 * len(clean)
+    letters = ["abcdefghijklmnopqrstuvwxyz ", "bcdfghjklmnpqrstvwxz ", "ABCDEFGHabcdefgh0123456789+/xyzq", "абвгдежзиклмнопрстуфхц ", "αβγδεζηθικλμνξοπρστυφχψω ", [chr(c) for c in range(0x4E00, 0x5E00)]]
+    junk = [(i, "".join(rnd.choice(alphabet) for _ in range(n))) for n in (150, 400, 1500) for i, alphabet in enumerate(letters)]
+    junk = spark.createDataFrame(junk, "doc_id long, text string")
+    assert all(r.rejected for r in language.predict(junk, model).collect())

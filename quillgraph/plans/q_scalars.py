@@ -7,14 +7,14 @@ from .registry import both
 
 # Strings and hashes.
 both("str_contains_lcase_concat", lambda d: f"SELECT uri, contains(label, 'th') AS has, lower(label) AS low, concat(type, ':', uri) AS joined, substring(label, 2, 5) AS part, {d.length('label')} AS n, replace(label, 'th', 'TH') AS swapped, CASE WHEN contains(label, ' ') THEN substring(label, CAST({d.strpos('label', chr(39) + ' ' + chr(39))} AS INT) + 1, 1000) ELSE '' END AS after FROM elements")
-both("str_escape", lambda d: "SELECT doc_id, replace(replace(replace(substring(text, 1, 1000), '\"', '\\\\\"'), chr(10), '\\\\n'), chr(9), '\\\\t') AS escaped FROM documents WHERE doc_id < 300" if d.name == "spark" else "SELECT doc_id, replace(replace(replace(substring(text, 1, 1000), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t') AS escaped FROM documents WHERE doc_id < 300")
+both("str_escape", lambda d: "SELECT doc_id, replace(replace(replace(substring(text, 1, 1000), '\"', '\\\\\"'), chr(10), '\\\\n'), chr(9), '\\\\t') AS escaped FROM documents" if d.name == "spark" else "SELECT doc_id, replace(replace(replace(substring(text, 1, 1000), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t') AS escaped FROM documents")
 both("str_slug_uri", lambda d: f"SELECT p_partkey, {d.rx_replace(d.rx_replace('lower(p_name)', '[^a-z0-9]+', '-'), '^-+|-+$', '')} AS slug FROM part")
 both("str_hash16", lambda d: f"SELECT doc_id, substring({d.sha256('text')}, 1, 16) AS hash FROM documents")
 both("str_md5_uri", lambda d: "SELECT doc_id, concat('content/', md5(text)) AS uri FROM documents")
 both("str_title", lambda d: f"SELECT doc_id, CASE WHEN length(line) < 100 AND NOT {d.rx('line', '[.!?]$')} THEN line END AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) t")
 both("str_filename", lambda d: f"SELECT page_id, {d.rx_extract('url', '([^/]*)$')} AS name FROM pages")
 both("str_truncate", lambda d: "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS short FROM documents")
-both("str_jaccard_words", lambda d: f"SELECT item_id, other, round(CAST({d.size(d.intersect('wa', 'wb'))} AS DOUBLE) / {d.size(d.union('wa', 'wb'))}, 6) AS jaccard FROM (SELECT a.item_id, b.item_id AS other, {d.distinct(d.rx_split('lower(a.text)', '[ \\t\\n]+'))} AS wa, {d.distinct(d.rx_split('lower(b.text)', '[ \\t\\n]+'))} AS wb FROM (SELECT item_id, text FROM benchmark WHERE item_id < 30) a CROSS JOIN (SELECT item_id, text FROM benchmark WHERE item_id < 30) b) t")
+both("str_jaccard_words", lambda d: f"SELECT item_id, other, round(CAST({d.size(d.intersect('wa', 'wb'))} AS DOUBLE) / {d.size(d.union('wa', 'wb'))}, 6) AS jaccard FROM (SELECT a.item_id, b.item_id AS other, {d.distinct(d.rx_split('lower(a.text)', '[ \\t\\n]+'))} AS wa, {d.distinct(d.rx_split('lower(b.text)', '[ \\t\\n]+'))} AS wb FROM (SELECT item_id, text FROM benchmark) a CROSS JOIN (SELECT item_id, text FROM benchmark) b) t")
 both("str_partial_match", lambda d: f"SELECT doc_id, round({d.total(d.map(d.array(*[chr(39) + w + chr(39) for w in ('the', 'and', 'tion', 'zzz')]), 'x', 'CASE WHEN contains(lower(text), x) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END'))} / 4, 6) AS matched FROM documents")
 _words = lambda d, table, key: f"SELECT {key}, w, CAST(count(*) AS BIGINT) AS n FROM (SELECT {key}, w FROM {table}{d.explode(d.rx_split('lower(text)', '[^a-z0-9]+'), 'w')}) t WHERE length(w) >= 4 AND w NOT IN ('this', 'that', 'with', 'from', 'have', 'they', 'were') GROUP BY {key}, w"
 both("str_keywords", lambda d: f"SELECT doc_id, w AS keyword, n FROM (SELECT doc_id, w, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM ({_words(d, 'documents', 'doc_id')}) k) t WHERE r <= 5")
@@ -24,7 +24,7 @@ both("str_pluralize_expand", lambda d: "SELECT DISTINCT term, CASE WHEN right(te
 both("str_capitalised_entities", lambda d: f"SELECT doc_id, {d.size(d.rx_all('text', '[A-Z][a-z]+( [A-Z][a-z]+)*'))} AS spans, {d.at(d.rx_all('text', '[A-Z][a-z]+( [A-Z][a-z]+)*'), '1')} AS first_span FROM documents")
 both("str_sentence_split", lambda d: f"SELECT doc_id, {d.size(d.keep(d.map(d.rx_split('text', '[.!?]+'), 'x', 'trim(x)'), 'x', 'length(x) > 10'))} AS sentences FROM documents")
 both("str_search_terms", lambda d: f"SELECT item_id, {d.join(d.slice(d.keep(d.rx_split('lower(text)', '[^a-z0-9]+'), 'x', 'length(x) > 2'), '1', '5'), ' ')} AS terms FROM benchmark")
-both("str_html_entities", lambda d: "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS clean FROM pages WHERE page_id % 5 = 0")
+both("str_html_entities", lambda d: "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS clean FROM pages")
 both("str_html_metadata", lambda d: f"SELECT page_id, {d.rx_extract('html', '<title>([^<]*)</title>')} AS title, {d.rx_extract('html', '<html[^>]*lang=.([a-zA-Z-]+)')} AS lang, {d.rx_count('html', '<h[1-6][ >]')} AS headings, {d.rx_count('html', '<p[ >]')} AS paragraphs, {d.rx_count('html', '<a[ >]')} AS links, {d.rx_count('html', '<img[ >]')} AS images FROM pages")
 both("str_html_clean", lambda d: f"SELECT page_id, {d.rx_replace(d.rx_replace(d.rx_replace('html', '(?is)<script.*?</script>', ''), '(?is)<style.*?</style>', ''), '(?s)<!--.*?-->', '')} AS clean FROM pages")
 both("str_html_validate", lambda d: f"SELECT page_id, {d.rx('html', '<[a-zA-Z][^>]*>')} AS has_tags, {d.rx_count('html', '<div')} = {d.rx_count('html', '</div')} AS balanced_divs FROM pages")

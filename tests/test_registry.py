@@ -50,3 +50,9 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_cover_their_tables(spark):
+    rows = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").count()
+    for name, table, power in (("str_html_entities", "pages", 1), ("str_escape", "documents", 1), ("doc_chunks", "conversations", 1), ("str_jaccard_words", "benchmark", 2)):
+        assert registry.QUERIES[name](spark, DATA).count() == rows(table) ** power, name

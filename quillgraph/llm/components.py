@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import done, settled, small
 
 #: Labels up to this number are sent to all tasks; more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -18,12 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = settled(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     label = settled(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
-    sent = F.broadcast if label.count() <= BROADCAST_ROWS else lambda df: df
     while True:
-        far = edges.join(sent(label.toDF("b", "component")), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        near = far.join(sent(label), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = sent(label.toDF("component", "next"))
+        sent = small(label, BROADCAST_ROWS)
+        far = edges.join(sent.toDF("b", "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        near = far.join(sent, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        jump = sent.toDF("component", "next")
         new = settled(near.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
-        if not new.where("old <> component").limit(1).count():
-            return new.select("id", "component")
+        done(label)
         label = new.select("id", "component")
+        label.settled_at = new.settled_at
+        if new.where("old <> component").isEmpty():
+            done(edges)
+            return label

@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    """The shared folder named by spark.checkpoint.dir; one of this machine only in local mode, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster it must be one that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,7 +31,18 @@ def settled(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/quill-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def done(*frames: DataFrame | None) -> None:
+    """Deletes the files of settled frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "settled_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -40,6 +53,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame doesn't have yet, made of the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number to deal keyed blobs to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

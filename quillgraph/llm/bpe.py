@@ -5,9 +5,12 @@ halves are encoded apart, then windows that grow around each join are encoded ag
 first token is one of the left half and their last token one of the right half. Each neighbouring
 pair of tokens then stands in an encoding of its own, so the whole is what one pass would give.
 Texts longer than ``segment`` characters are also cut into rows that separate tasks encode; where a
-cut falls inside a long unsplit run, the same join mends it.
+cut falls inside a long unsplit run, the same join mends it. Which symbols of a segment are the open part of such a run
+says the pre-tokeniser itself: the segment's first or last pre-token.
 
-Nulls and empty texts encode to nothing. Rows are independent: repeated rows and extra columns do no harm.
+Nulls and empty texts encode to nothing. Rows are independent: repeated rows, ties of ids and null ids give a row each;
+an empty table gives an empty one; of extra columns, whatever their names, none is read. A text takes memory for one
+segment at a time while it is encoded, and for its ids when its segments are joined.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-PIECE, SEGMENT, CACHE = 1024, 32_768, 400_000
+#: Words of at most 64 characters whose tokens a task remembers.
+PIECE, SEGMENT, CACHE = 1024, 32_768, 150_000
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _LATIN = [chr(c) for c in range(0x180)]
 _LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
@@ -45,6 +49,11 @@ _SYMBOL = _byte_symbols()
 _AS_SYMBOLS = {b: _SYMBOL[b] for b in range(256)}
 
 
+#: The rules that this module spells out for Latin text; files with other rules are refused.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class BpeCodec:
     """Encodes and decodes as the tokenizers library does with the same file, without special tokens added."""
 
@@ -54,17 +63,23 @@ class BpeCodec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"]["type"] == "Sequence" else {}
+        plain = all(not t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if spec["normalizer"] != _NORMALIZER or split.get("pattern", {}).get("Regex") != _SPLIT or not plain:
+            raise ValueError(f"{path} normalises or splits text by other rules than this codec knows")
         self.tokenizer, self.piece = Tokenizer.from_file(path), piece
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self._last = BPE(vocab=model["vocab"], merges=merges, **({"end_of_word_suffix": self.suffix} if self.suffix else {}))
-        self._inner = BPE(vocab=model["vocab"], merges=merges) if self.suffix else self._last
+        self._last = self._inner = self.tokenizer.model
+        if self.suffix:
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self._inner = BPE(vocab=model["vocab"], merges=merges)
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._split = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
-        self._cache: dict[str, tuple[int, str, str]] = {}
+        self._token = None if spec["decoder"] else {str(i): t for t, i in self.tokenizer.get_vocab(True).items()}
+        self._cache: dict[str, tuple[int, str]] = {}
 
     def leaf(self, symbols: str, last: bool) -> list[tuple[int, str]]:
         return [(t.id, t.value) for t in (self._last if last else self._inner).tokenize(symbols)]
@@ -104,39 +119,50 @@ class BpeCodec:
     def symbols(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_AS_SYMBOLS)
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        """Tokens of a pre-token; after a leading null character it is spelt in byte symbols already."""
-        tokens = self.tree(word[1:] if word[0] == "\0" else self.symbols(word))
-        found = (len(tokens), " ".join([str(i) for i, _ in tokens]), " ".join([t for _, t in tokens]))
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens; after one null character spelt in byte symbols already, after two a special token."""
+        out: list[str] = []
+        for k, part in enumerate(self._split.split(text) if self._split and "<|" in text else (text,)):
+            if k % 2:
+                out.append("\0\0" + part)
+            elif part:
+                out += self._library_words(part) if _BEYOND.search(part) else _WORDS.findall(part.lower())
+        return out
+
+    def spelt(self, word: str) -> str:
+        """A pre-token in byte symbols."""
+        return word[1:] if word[0] == "\0" else self.symbols(word)
+
+    def _word(self, word: str) -> tuple[int, str]:
+        if word[:2] == "\0\0":
+            return 1, str(self._special[word[2:]])
+        tokens = self.tree(self.spelt(word))
+        found = (len(tokens), " ".join([str(i) for i, _ in tokens]))
         if len(word) <= 64:
             if len(self._cache) >= CACHE:
                 self._cache.clear()
             self._cache[word] = found
         return found
 
-    def encode(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, decimal ids and decoded tokens, each joined by one space."""
-        if not text:
-            return 0, "", ""
-        n, ids, tokens = 0, [], []
-        for k, part in enumerate(self._split.split(text) if self._split and "<|" in text else (text,)):
-            if k % 2:
-                found = [(1, str(self._special[part]), part)]
-            elif not part:
-                continue
-            else:
-                words = self._library_words(part) if _BEYOND.search(part) else _WORDS.findall(part.lower())
-                cache = self._cache
-                found = [cache.get(w) or self._word(w) for w in words]
-            for a, b, c in found:
-                n += a
-                ids.append(b)
-                tokens.append(c)
-        return n, " ".join(ids), " ".join(tokens)
+    def encode_words(self, words: list[str]) -> tuple[int, str]:
+        cache = self._cache
+        found = [cache.get(w) or self._word(w) for w in words]
+        return sum([n for n, _ in found]), " ".join([ids for n, ids in found if n])
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library's decode with special tokens kept: without a decoder, tokens joined by one space."""
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+    def encode(self, text: str | None) -> tuple[int, str]:
+        """Number of tokens, and decimal ids joined by one space."""
+        return self.encode_words(self.words(text)) if text else (0, "")
+
+    def decode(self, ids: str) -> str:
+        """The text of decimal ids joined by spaces, as the library's decode with special tokens kept."""
+        if not ids:
+            return ""
+        if self._token is None:
+            return self.tokenizer.decode([int(i) for i in ids.split(" ")], skip_special_tokens=False)
+        return " ".join([self._token[i] for i in ids.split(" ")])
+
+    def forget(self) -> None:
+        self._cache.clear()
 
 
 def cuts(text: str, segment: int) -> list[tuple[int, bool]]:
@@ -174,48 +200,31 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _open_part(c: BpeCodec, text: str, at_end: bool) -> int:
-    """Length of the run of like characters (letters or ASCII punctuation) at one end of a text."""
-    edge = text[-1] if at_end else text[0]
-    like = re.compile(r"[^\W\d_]" if edge.isalpha() else r"[!-/:-@\[-`{-~]")
-    n = 0
-    for ch in reversed(text) if at_end else text:
-        if not like.fullmatch(ch):
-            break
-        n += 1
-    return n
-
-
-def encode_segments(c: BpeCodec, pieces: list[str], hard: list[bool]) -> tuple[int, str, str]:
+def encode_segments(c: BpeCodec, pieces: list[str], hard: list[bool]) -> tuple[int, str]:
     """A text from its segments; hard[i]: the cut after segment i is inside an unsplit run."""
     return merge_segments(c, [encode_segment(c, p, i > 0 and hard[i - 1], i < len(hard) and hard[i]) for i, p in enumerate(pieces)])
 
 
 def encode_segment(c: BpeCodec, text: str, open_start: bool, open_end: bool) -> dict:
-    """One segment: closed tokens, and the runs at its open ends encoded as parts of a longer run."""
-    head = _open_part(c, text, False) if open_start else 0
-    if open_start and open_end and head == len(text):
-        run = c.symbols(text.lower())
-        return {"n": 0, "ids": "", "tokens": "", "head": run, "head_tokens": c.tree(run, False), "tail": "", "tail_tokens": [], "through": True}
-    tail = _open_part(c, text, True) if open_end else 0
-    n, ids, tokens = c.encode(text[head : len(text) - tail])
-    a, b = c.symbols(text[:head].lower()), c.symbols(text[len(text) - tail :].lower()) if tail else ""
-    return {"n": n, "ids": ids, "tokens": tokens, "head": a, "head_tokens": c.tree(a, True) if a else [], "tail": b, "tail_tokens": c.tree(b, False) if b else [], "through": False}
-
-
-def merge_segments(c: BpeCodec, segments: list[dict]) -> tuple[int, str, str]:
+    """One segment: ids of its whole pre-tokens, and the pre-tokens at its open ends encoded as parts of a longer run."""
+    words = c.words(text)
+    if open_start and open_end and len(words) == 1:
+        run = c.spelt(words[0])
+        return {"n": 0, "ids": "", "head": run, "head_tokens": c.tree(run, False), "tail": "", "tail_tokens": [], "through": True}
+    head, tail = c.spelt(words[0]) if open_start else "", c.spelt(words[-1]) if open_end else ""
+    n, ids = c.encode_words(words[bool(head) : len(words) - bool(tail)])
+    return {"n": n, "ids": ids, "head": head, "head_tokens": c.tree(head, True) if head else [], "tail": tail, "tail_tokens": c.tree(tail, False) if tail else [], "through": False}
+
+
+def merge_segments(c: BpeCodec, segments: list[dict]) -> tuple[int, str]:
     """Segments in order joined to one text's encoding."""
-    n, ids, tokens, run, open_tokens = 0, [], [], "", []
+    n, ids, run, open_tokens = 0, [], "", []
 
-    def put(k: int, i: str, t: str) -> None:
+    def put(k: int, i: str) -> None:
         nonlocal n
         if k:
             n += k
             ids.append(i)
-            tokens.append(t)
-
-    def close(done: list) -> None:
-        put(len(done), " ".join(str(i) for i, _ in done), " ".join(t for _, t in done))
 
     for s in segments:
         if s["head"]:
@@ -224,12 +233,10 @@ def merge_segments(c: BpeCodec, segments: list[dict]) -> tuple[int, str, str]:
             if s["through"]:
                 run, open_tokens = whole, joined
                 continue
-            close(joined)
+            put(len(joined), " ".join(str(i) for i, _ in joined))
         run, open_tokens = s["tail"], s["tail_tokens"]
-        put(s["n"], s["ids"], s["tokens"])
-    if run:
-        close(c.leaf(run, True) if len(run) <= c.piece else c.tree(run, True))
-    return n, " ".join(ids), " ".join(tokens)
+        put(s["n"], s["ids"])
+    return n, " ".join(ids)
 
 
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -242,12 +249,13 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
-    def rows(batches, encode_row) -> Iterator[pa.RecordBatch]:
+    def rows(batches, c: BpeCodec, encode_row) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in names]
             for key, *rest in zip(*[col.to_pylist() for col in batch.columns]):
-                n, ids, tokens = encode_row(*rest)
-                for column, value in zip(out, [key, n, _sha(ids), _sha(tokens), ids, tokens]):
+                n, ids = encode_row(*rest)
+                decoded = c.decode(ids)
+                for column, value in zip(out, [key, n, _sha(ids), _sha(decoded), ids, decoded]):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), *[pa.string()] * (len(names) - 2)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
@@ -256,7 +264,8 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
         from .arrowtext import slices
 
         c = codec(path)
-        yield from rows((s for b in batches for s in slices(b, "text")), lambda text: c.encode(text))
+        yield from rows((s for b in batches for s in slices(b, "text")), c, c.encode)
+        c.forget()
 
     def cut(batches):
         for batch in batches:
@@ -274,6 +283,7 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
             d = batch.to_pydict()
             done = [json.dumps(encode_segment(c, t, s, e)) for t, s, e in zip(d["part"], d["open_start"], d["open_end"])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("i"), pa.array(done, pa.string())], names=["doc_id", "row", "i", "done"])
+        c.forget()
 
     def finish(batches):
         c = codec(path)
@@ -284,7 +294,7 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
                 p["head_tokens"], p["tail_tokens"] = [tuple(t) for t in p["head_tokens"]], [tuple(t) for t in p["tail_tokens"]]
             return merge_segments(c, parts)
 
-        yield from rows(batches, merged)
+        yield from rows(batches, c, merged)
 
     is_long = F.length("text") > segment
     long = (

@@ -39,24 +39,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _table(keep, lower: bool) -> np.ndarray:
-    t = np.zeros(256, np.uint8)
-    for b in range(256):
-        if keep(b):
-            t[b] = b
-    if lower:
-        for b in range(65, 91):
-            t[b] = b + 32 if keep(b + 32) else 0
-    return t
-
-
-#: Separators are 0. Words between ASCII white space, as they stand and with A-Z lower-cased.
-SPACED = _table(lambda b: not (b == 32 or 9 <= b <= 13), False)
-SPACED_LOWER = _table(lambda b: not (b == 32 or 9 <= b <= 13), True)
+class Bytes:
+    """Which bytes are in words, and what stands for each in hashes."""
+
+    def __init__(self, keep, lower: bool = False):
+        self.mapped = np.arange(256, dtype=np.uint8)
+        if lower:
+            self.mapped[65:91] += 32
+        self.inside = np.array([keep(int(b)) for b in self.mapped])
+
+
+#: Words between ASCII white space, as they stand and with A-Z lower-cased.
+SPACED = Bytes(lambda b: not (b == 32 or 9 <= b <= 13))
+SPACED_LOWER = Bytes(lambda b: not (b == 32 or 9 <= b <= 13), True)
 #: Lower-cased runs of 0-9, a-z and everything beyond ASCII.
-ALNUM_LOWER = _table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128, True)
-#: All bytes count; lines are cut elsewhere.
-RAW = np.arange(256, dtype=np.uint8)
+ALNUM_LOWER = Bytes(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128, True)
 
 
 def as_binary(column) -> pa.Array:
@@ -98,10 +95,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: in
 class Words:
     """Words of a run of texts. ``start``/``end``: bytes; ``first``: word index at which each text begins (one more: all)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: Bytes):
         self.data, self.offsets = data, offsets
-        self.mapped = mapped = table[data]
-        inside = mapped != 0
+        self.mapped = kind.mapped[data]
+        self.inside = inside = kind.inside[data]
         edge = offsets[(offsets > 0) & (offsets < len(data))]
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]

@@ -7,15 +7,20 @@ is at most a known share of the sizes. By the pigeonhole principle two similar s
 every set that has more filled blocks than that bound shares one with each similar set. Equal blocks give candidates;
 candidates are verified on the shingles.
 
-Blocks that more than ``light`` different sets share ("heavy") pair nothing. A set is still found by all its partners
-while its light blocks outnumber the bound. Sets that this leaves open, as passages that many texts share do, meet again
-by the finest blocks, single shingles, where the bound is lower. What is open even then (members of large groups of near
-copies) is joined by the rarest shingles of each set, of which a quarter and one suffice: first each set with one
-leader, then pair by pair across the components that remain. So groups of near copies are not expanded into all their
-pairs, and no link between different texts is lost as far as components go.
+Groups of copies come first: each set is compared with one leader for each of ``MINS`` least hashes of its shingles, and
+what is verified gives components. From then on only pairs across components matter. Blocks that more than ``light``
+different sets of several components share ("heavy") pair nothing. A set is still found by all its partners while its
+light blocks outnumber the bound. Sets that this leaves open, as passages that many texts share do, meet again by the
+finest blocks, single shingles, where the bound is lower. What is open even then is joined by the rarest shingles of
+each set, of which a quarter and one suffice: first each set with one leader, then pair by pair across the components
+that remain, where the parities of ``PARITY_BITS`` blocks don't set them apart. So groups of near copies are not expanded into all
+their pairs, and no link between different texts is lost as far as components go.
 
 Texts with equal sets are one class from the start. Texts without words are linked with nothing. Rows with a null id
-get the class's component; equal ids with different texts count as one document. Extra columns do no harm.
+get the class's component; equal ids with different texts count as one document. An empty table gives an empty one;
+of extra columns, whatever their names, none is read. A text takes memory for its own shingles. Sets go by 39 bits of
+their hash and blocks by 56 while candidates are sought: sets that collide get each other's candidates, which
+verification sorts out; two that are similar to each other and collide would not meet (one pair in 2^39).
 """
 
 from __future__ import annotations
@@ -30,10 +35,12 @@ from ..shipping import ship
 from .arrowtext import SPACED_LOWER, Words, buffers, mix, shingle_sets, slices
 from .blobs import pack, ranges, unpack
 from .components import components
-from .tables import parts, release, settled, small
+from .tables import done, parts, settled, small
 
 K, LIGHT, FLUSH = 5, 8, 3_000_000
 BROADCAST_ROWS = 200_000
+#: Least hashes that leaders are sought by; bits of the parities that tell sets of one rare shingle apart.
+MINS, PARITY_BITS = 4, 1024
 _U = np.uint64
 #: Bits of a set's hash that stand for it in blobs, and the mark of a key that is heavy already.
 ID_BITS = 40
@@ -110,8 +117,23 @@ def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return shingle_sets(Words(*buffers(batch.column(batch.schema.names.index("text"))), SPACED_LOWER), k)
 
 
+def least_hashes(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """MINS times, the least hash of each set's shingles (0 for empty sets)."""
+    filled = [s for s in sets if len(s)]
+    out = [np.zeros(len(sets), _U) for _ in range(MINS)]
+    if filled:
+        start = np.concatenate([[0], np.cumsum([len(s) for s in filled])[:-1]])
+        whole, where = np.concatenate(filled), [i for i, s in enumerate(sets) if len(s)]
+        for i, least in enumerate(out):
+            least[where] = np.minimum.reduceat(mix(whole + _U(0x9B05688C2B3E6C1F * (i + 1) % (1 << 64))), start)
+    return out
+
+
+_SIGNATURE = ["n", "g", "filled0", "filled1", "bound0", "bound1", *(f"least{i}" for i in range(MINS))]
+
+
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, size of the set, its hash, and for its first and second band how many filled blocks it has, and its bound."""
+    """doc_id, size of the set, its hash, for its first and second band how many filled blocks it has and its bound, and its least hashes."""
 
     def run(batches):
         for whole in batches:
@@ -120,9 +142,10 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                 _, owner, flag = sketch_keys(sets)
                 filled = [np.bincount(owner[flag == f], minlength=len(sets)) for f in (0, 1)]
                 bound = [[d for _, d in bands(len(s))] + [0] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in filled), *(pa.array([d[f] for d in bound], pa.int64()) for f in (0, 1))], names=["doc_id", "n", "g", "filled0", "filled1", "bound0", "bound1"])
+                columns = [[len(s) for s in sets], [set_hash(s) for s in sets], *filled, *([d[f] for d in bound] for f in (0, 1)), *(x.view(np.int64) for x in least_hashes(sets))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", *_SIGNATURE])
 
-    return docs.mapInArrow(run, "doc_id long, n long, g long, filled0 long, filled1 long, bound0 long, bound1 long")
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _SIGNATURE))
 
 
 def _short(g: np.ndarray) -> np.ndarray:
@@ -142,69 +165,106 @@ def _group(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key, who, np.repeat(start, length), np.repeat(length, length)
 
 
+def _mixed(start: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which entries stand in a run of several components. ``start``: the first place of each one's run."""
+    differs = component != component[start]
+    mixed = np.zeros(len(start), bool)
+    mixed[start[differs]] = True
+    return mixed[start]
+
+
 def _deal(batches, k: int, light: int, n_parts: int, sketch):
-    """Requests: keys and short ids by key range. A key that is heavy within a flush travels once, marked."""
-    keys, ids, held = [], [], 0
+    """Requests: keys and short ids by key range, with the components of ids that have one. A key that is heavy within
+    a flush travels once, marked."""
+    keys, ids, components_, held = [], [], [], 0
+
+    def blob(part: int, key: bytes, who: bytes, labelled: bytes = b"", component: bytes = b""):
+        return part, key, who, labelled, component
+
+    def rows(blobs):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*blobs), [pa.int32(), *[pa.binary()] * 4])], names=_BLOB)
 
     def flush():
-        key, who, start, length = _group(np.concatenate(keys), np.concatenate(ids))
-        many = length > light
+        who, component = np.concatenate(ids), np.concatenate(components_)
+        of, first = np.unique(who, return_index=True)
+        of_component = component[first]
+        key, who, start, length = _group(np.concatenate(keys), who)
+        at = np.searchsorted(of, who)
+        many = (length > light) & _mixed(start, np.where(of_component[at] != 0, of_component[at], ~who))
         counted_id, counted_n = np.unique(who[many], return_counts=True)
         keep = ~many | (np.arange(len(key)) == start)
-        who = np.where(many, HEAVY, who)[keep]
+        who, at = np.where(many, HEAVY, who)[keep], at[keep]
         key = key[keep]
         cut = ranges(key, n_parts)
-        blobs = [(pack(key[a:b], True), pack(who[a:b])) for a, b in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_parts), pa.int32()), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], names=["part", "keys", "ids"])
+        blobs = []
+        for part, (a, b) in enumerate(zip(cut, cut[1:])):
+            here = np.unique(at[a:b][who[a:b] != HEAVY])
+            here = here[of_component[here] != 0]
+            blobs.append(blob(part, pack(key[a:b], True), pack(who[a:b]), pack(of[here], True), pack(of_component[here])))
+        yield rows(blobs)
         for at in range(0, len(counted_id), 100_000):
             some = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array([at // 100_000 % n_parts], pa.int32()), pa.array([pack(counted_id[some], True)], pa.binary()), pa.array([b"\0" + pack(counted_n[some].astype(_U))], pa.binary())], names=["part", "keys", "ids"])
+            yield rows([blob(at // 100_000 % n_parts, pack(counted_id[some], True), b"\0" + pack(counted_n[some].astype(_U)))])
 
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = _sets(batch, k)
             key, owner, flag = sketch(sets)
             g = _short(np.array([set_hash(s) for s in sets], np.int64))
+            component = batch.column(2).fill_null(0).to_numpy().astype(np.int64).view(_U)
             keys.append(key >> _U(8) << _U(8))
             ids.append(g[owner] << _U(1) | flag.astype(_U))
+            components_.append(component[owner])
             held += len(key)
             if held >= FLUSH:
                 yield from flush()
-                keys, ids, held = [], [], 0
+                keys, ids, components_, held = [], [], [], 0
     if held:
         yield from flush()
 
 
+_BLOB = ["part", "keys", "ids", "labelled", "components"]
+
+
 def _meet(table: pa.Table, light: int) -> pa.Table:
-    """Pairs of short ids with their number of equal light keys, and for each short id its number of heavy keys here."""
-    keys, ids, other_id, other_n = [], [], [], []
-    for a, b in zip(table.column("keys").to_pylist(), table.column("ids").to_pylist()):
+    """Pairs of short ids across components with their number of equal light keys, and for each short id its number of heavy keys here."""
+    keys, ids, other_id, other_n, labelled, labels = [], [], [], [], [], []
+    for a, b, c, d in zip(*(table.column(n).to_pylist() for n in _BLOB[1:])):
         if b[:1] == b"\0":
             other_id.append(unpack(a, _U, True))
             other_n.append(unpack(b[1:], np.int64))
         else:
             keys.append(unpack(a, _U, True))
             ids.append(unpack(b, _U))
-    key, who, start, length = _group(np.concatenate(keys or [np.zeros(0, _U)]), np.concatenate(ids or [np.zeros(0, _U)]))
-    heavy = length > light
+            labelled.append(unpack(c, _U, True))
+            labels.append(unpack(d, _U))
+    none = [np.zeros(0, _U)]
+    key, who, start, length = _group(np.concatenate(keys or none), np.concatenate(ids or none))
+    of, first = np.unique(np.concatenate(labelled or none), return_index=True)
+    label = np.concatenate([np.concatenate(labels or none)[first], np.zeros(1, _U)])
+    at = np.searchsorted(of, who)
+    known = np.concatenate([of, [HEAVY]])[at] == who
+    component = np.where(known & (who != HEAVY), label[at], ~who)
+    mixed = _mixed(start, component) if len(key) else np.zeros(0, bool)
+    heavy = mixed & (length > light)
     if len(key):
-        last = start + length - 1
-        heavy |= who[last] == HEAVY
+        heavy |= who[start + length - 1] == HEAVY
     member = heavy & (who != HEAVY)
     all_id = np.concatenate([who[member], *other_id])
     all_n = np.concatenate([np.ones(int(member.sum()), np.int64), *other_n])
     found, where = np.unique(all_id, return_inverse=True)
     n = np.bincount(where, all_n, len(found)).astype(np.int64)
     left, right = [], []
-    key, who = key[~heavy], who[~heavy]
+    some = mixed & ~heavy
+    key, who, component = key[some], who[some], component[some]
     for step in range(1, light):
         same = key[step:] == key[:-step]
         if not same.any():
             break
+        same &= component[step:] != component[:-step]
         left.append(who[:-step][same])
         right.append(who[step:][same])
-    a = np.concatenate(left or [np.zeros(0, _U)])
-    b = np.concatenate(right or [np.zeros(0, _U)])
+    a, b = np.concatenate(left or none), np.concatenate(right or none)
     a, b = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -218,15 +278,14 @@ def _meet(table: pa.Table, light: int) -> pa.Table:
 def _round(docs: DataFrame, member: DataFrame, sketch, k: int, threshold: int, light: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) by equal blocks, and the ids of sets that may have partners which no light block shows.
 
-    ``member``: a set in a band with its filled blocks and the most of them that may differ from a similar set's.
+    ``docs``: doc_id, text, component. ``member``: a set in a band with its filled blocks and the most of them that may
+    differ from a similar set's.
     """
-    spark = docs.sparkSession
-    n_parts = parts(spark)
+    n_parts = parts(docs.sparkSession)
     met = settled(
-        docs.mapInArrow(lambda batches: _deal(batches, k, light, n_parts, sketch), "part int, keys binary, ids binary")
+        docs.mapInArrow(lambda batches: _deal(batches, k, light, n_parts, sketch), "part int, " + ", ".join(f"{n} binary" for n in _BLOB[1:]))
         .groupBy("part").applyInArrow(lambda t: _meet(t, light), "pair boolean, a long, b long, many long")
     )
-    release(spark)
     heavy = met.where("not pair").groupBy(F.col("a").alias("who")).agg(F.sum("many").alias("heavy"))
     member = member.withColumn("who", F.shiftleft("short", 1) + F.col("flag"))
     member = settled(member.join(heavy, "who", "left").select("who", "id", "n", "bound", (F.col("filled") - F.coalesce("heavy", F.lit(0))).alias("light")))
@@ -239,7 +298,9 @@ def _round(docs: DataFrame, member: DataFrame, sketch, k: int, threshold: int, l
         .where(f"ida <> idb and 100 * least(na, nb) >= {threshold} * greatest(na, nb) and many >= la - {most.format('ba')} and many >= lb - {most.format('bb')}")
         .select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     )
-    return settled(pairs), settled(member.where("light <= bound").select("id").distinct())
+    pairs, open_sets = settled(pairs), settled(member.where("light <= bound").select("id").distinct())
+    done(met, member)
+    return pairs, open_sets
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
@@ -271,6 +332,40 @@ def _with_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return settled(chosen.mapInArrow(run, "id long, sh binary").dropDuplicates())
 
 
+class _Groups:
+    """Links between sets and their components, growing with each set of candidate pairs that is verified."""
+
+    def __init__(self, docs: DataFrame, k: int, threshold: int):
+        self.docs, self.k, self.threshold = docs, k, threshold
+        self.links = self.label = None
+
+    def add(self, pairs: DataFrame) -> None:
+        """Verifies those of the pairs (a, b) whose ends are not connected yet."""
+        if self.label is not None:
+            label = small(self.label, BROADCAST_ROWS)
+            pairs = pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        pairs = settled(pairs.select("a", "b"))
+        if self.label is not None and pairs.isEmpty():
+            return done(pairs)
+        wanted = settled(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        shingles = _with_shingles(self.docs, wanted, self.k)
+        links = _verified(pairs, shingles, self.threshold)
+        links = settled(self.links.union(links) if self.links is not None else links)
+        done(pairs, wanted, shingles, self.links, self.label)
+        self.links, self.label = links, components(links)
+
+
+def _first(pairs: DataFrame) -> DataFrame:
+    """Of pairs (b, with leader a) one for each b: the leader that it has most often, the smaller of equal ones."""
+    return pairs.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _led(entries: DataFrame, threshold: int) -> DataFrame:
+    """Of sets (key, id, n), each with the smallest id that shares its key, if their sizes allow a link."""
+    leaders = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1").select("key", F.col("lead.id").alias("a"), F.col("lead.n").alias("na"))
+    return entries.join(leaders, "key").where(f"id <> a and 100 * least(n, na) >= {threshold} * greatest(n, na)").select("a", F.col("id").alias("b"))
+
+
 def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: int = 75, light: int = LIGHT) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id that links reach."""
     if threshold < 75:
@@ -280,60 +375,69 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     signature = settled(signatures(docs, k))
     short = F.least(F.shiftrightunsigned("g", 64 - (ID_BITS - 1)), F.lit((1 << (ID_BITS - 1)) - 2))
     classes = settled(
-        signature.where("n > 0 and doc_id is not null").groupBy("g").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "filled0", "filled1", "bound0", "bound1")))
+        signature.where("n > 0 and doc_id is not null").groupBy("g").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _SIGNATURE if c != "g"))
         .withColumn("short", short)
     )
+    known = _Groups(docs, k, threshold)
+    led = settled(_led(classes.select("id", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), f"least{i}") for i in range(MINS)))).alias("key")), threshold))
+    known.add(_first(led))
+    known.add(led.distinct())
+    done(led)
+
+    # From here on, one document of each class, with its component.
+    copies = signature.where("n > 0").join(classes.select("g", "id"), "g").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("id")).alias("one")).where("not one").select("doc_id")
+    marks = settled(known.label.toDF("doc_id", "component").withColumn("one", F.lit(True)).unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("component"), F.lit(False).alias("one"))).groupBy("doc_id").agg(F.max("component").alias("component"), F.min("one").alias("one")))
+    single = docs.where("doc_id is not null").join(small(marks, BROADCAST_ROWS), "doc_id", "left").where("one is null or one").select("doc_id", "text", F.when(F.col("component").isNotNull(), F.xxhash64("component")).alias("component"))
     member = classes.select("short", "id", "n", F.inline(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f"filled{f}").alias("filled"), F.col(f"bound{f}").alias("bound")) for f in (0, 1)]))).where("filled > 0")
-    first, open_sets = _round(docs.where("doc_id is not null"), member, sketch_keys, k, threshold, light)
+    first, open_sets = _round(single, member, sketch_keys, k, threshold, light)
     # What passages that many texts share leave open, by the finest blocks.
     fine = classes.join(small(open_sets, BROADCAST_ROWS), "id", "left_semi").select("short", "id", "n", F.lit(0).alias("flag"), F.col("n").alias("filled"), F.expr("n - ceil(n * %d / 100)" % threshold).alias("bound"))
-    some = docs.join(small(open_sets.withColumnRenamed("id", "doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
-    second, open_sets = _round(some, fine, finest_keys, k, threshold, light)
+    some = single.join(small(open_sets.withColumnRenamed("id", "doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
+    second, still_open = _round(some, fine, finest_keys, k, threshold, light)
     candidates = settled(first.union(second).distinct())
-
-    wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(open_sets).distinct()
-    shingles = _with_shingles(docs, settled(wanted), k)
-
-    release(docs.sparkSession)
-    links, label = _grown(None, candidates.groupBy("b").agg(F.min("a").alias("a")), shingles, threshold)  # each set with its smallest partner
-    links, label = _grown((links, label), candidates, shingles, threshold)
+    known.add(candidates.groupBy("b").agg(F.min("a").alias("a")))  # each set with its smallest partner
+    known.add(candidates)
+    done(first, second, candidates, open_sets)
 
     # The rarest shingles of each open set, so many that similar sets share one: what is common in all of them is left out.
-    every = settled(shingles.join(small(open_sets, BROADCAST_ROWS), "id", "left_semi").mapInArrow(lambda batches: _shingle_rows(batches, threshold), "key long, id long, n long, enough long"))
+    shingles = _with_shingles(docs, still_open, k)
+    every = settled(shingles.mapInArrow(lambda batches: _shingle_rows(batches, threshold), "key long, id long, n long, enough long"))
     seen_in = every.groupBy("key").agg(F.count("*").alias("seen_in"))
     rarest = Window.partitionBy("id").orderBy("seen_in", "key")
     entries = settled(every.join(seen_in, "key").withColumn("place", F.row_number().over(rarest)).where("place <= enough and seen_in > 1").select("key", "id", "n"))
-    release(docs.sparkSession)
-    leaders = entries.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("many")).where("many > 1").select("key", "a")
-    votes = entries.join(leaders, "key").where("id <> a").groupBy(F.col("id").alias("b"), "a").count()
-    links, label = _grown((links, label), votes.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")), shingles, threshold)
-    marked = entries.join(small(label, BROADCAST_ROWS), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    mixed = settled(marked.join(small(settled(mixed), BROADCAST_ROWS), "key"))
-    x, y = mixed.toDF("key", "a", "na", "ca"), mixed.toDF("key", "b", "nb", "cb")
-    residue = x.join(y, "key").where("ca < cb and 100 * least(na, nb) >= %d * greatest(na, nb)" % threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, label = _grown((links, label), residue, shingles, threshold)
-
-    named = classes.select("g", "id").join(label, "id", "left").select("g", F.coalesce("component", "id").alias("component_id"))
-    return signature.join(named, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose ends are not connected yet."""
-    label = small(label, BROADCAST_ROWS)
-    a = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _grown(known, pairs: DataFrame, shingles: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Links and components after verifying those of ``pairs`` whose ends are not connected yet."""
-    pairs = settled(_across(pairs.select("a", "b"), known[1]) if known else pairs.select("a", "b"))
-    if known and not pairs.limit(1).count():
-        return known
-    links = _verified(pairs, shingles, threshold)
-    links = settled(known[0].union(links) if known else links)
-    return links, components(links)
+    known.add(_first(_led(entries, threshold)))
+    marked = entries.join(small(known.label, BROADCAST_ROWS), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = settled(marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
+    mixed_sets = marked.join(small(mixed, BROADCAST_ROWS), "key")
+    sketches = settled(shingles.mapInArrow(_parities, "id long, " + ", ".join(f"{p} long" for p in _PARITIES)))
+    sets = settled(mixed_sets.join(small(sketches, BROADCAST_ROWS), "id"))
+    x, y = (sets.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "c", *_PARITIES))) for side in ("x", "y"))
+    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _PARITIES), F.lit(0))
+    near = F.expr(f"x_c < y_c and 100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n)") & (7 * apart <= F.col("x_n") + F.col("y_n"))
+    known.add(x.join(y, (x.key == y.key) & near).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
+    done(shingles, every, entries, still_open, mixed, sketches, sets, marks)
+
+    named = classes.select("g", "id").join(known.label, "id", "left").select("g", F.coalesce("component", "id").alias("component_id"))
+    named = signature.where("n > 0").join(named, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.unionByName(signature.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+_PARITIES = [f"p{i}" for i in range(PARITY_BITS // 64)]
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set PARITY_BITS bits in words of 64: how many shingles each of as many blocks has, odd or even."""
+    out = np.zeros((len(sets), PARITY_BITS // 64), _U)
+    for i, s in enumerate(sets):
+        odd = np.bincount((mix(s + _U(0x1F83D9ABFB41BD6B)) % _U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1
+        out[i] = np.packbits(odd).view(_U)
+    return out
+
+
+def _parities(batches):
+    for batch in batches:
+        found = parities([unpack(packed, _U, True) for packed in batch.column("sh").to_pylist()]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["id", *_PARITIES])
 
 
 def _shingle_rows(batches, threshold: int):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .arrowtext import RAW, SPACED, Words, buffers, slices, span_hashes, windows
+from .arrowtext import SPACED, Words, buffers, slices, span_hashes, windows
 
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 0.2, 150
 
@@ -136,7 +136,7 @@ def measure(column) -> dict[str, np.ndarray]:
     end = end - ((end > start) & (data[np.maximum(end - 1, 0)] == 10))
     worded = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, at = start[worded], end[worded], at[worded]
-    key = span_hashes(RAW[data] + np.uint8(0), start, end)
+    key = span_hashes(data, start, end)
     order = np.lexsort((key, at))
     again = (at[order][1:] == at[order][:-1]) & (key[order][1:] == key[order][:-1])
     out["n_dup_lines"] = _count_rows(at[order][1:][again], rows)

@@ -5,8 +5,10 @@ there, that some item holds. A run of ``window`` words or more is a hit, as is a
 Texts are searched whole; only stretches in which every word is known to the items are streamed, since no run can
 leave them.
 
-Nulls and texts without words are never hit; items without words are never found. Rows are independent, so
-repeated rows and extra columns do no harm.
+Nulls and texts without words are never hit; items without words are never found. Rows are independent: repeated rows
+do no harm; an empty table of documents gives an empty one, one of items no hits; ties between items don't arise, since
+all are reported. A text takes memory for its own words, whatever its length. Extra columns come back, whatever their
+names; of ``mark`` those named as its own are replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .arrowtext import ALNUM_LOWER, Words, buffers, slices
-from .tables import settled
+from .tables import renamed, settled
 
 WINDOW = 10
-#: Characters of items that one automaton holds; more items are searched block by block.
-BLOCK_CHARS = 20_000_000
+#: Characters of items that one automaton holds (about 90 bytes each in every worker); more items are searched block by block.
+BLOCK_CHARS = 4_000_000
 
 
 @dataclass
@@ -174,24 +176,25 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
         yield [(r.k, r.t) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b).collect()]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with columns hit_n_words, hit_spans (flat word positions: first, one past the last, ...), hit_items and hit_whole (as hit_spans, but of whole items)."""
+def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, then=None, then_schema=None) -> DataFrame:
+    """``docs`` with columns hit_n_words, hit_spans (flat word positions: first, one past the last, ...), hit_items and hit_whole (as hit_spans, but of whole items). ``then``: applied to the marked batches in the same pass."""
     spark = docs.sparkSession
     ship(spark)
     own = ("hit_n_words", "hit_spans", "hit_items", "hit_whole")
     out = docs.drop(*own).select("*", F.lit(0).cast("long").alias(own[0]), F.array().cast("array<int>").alias(own[1]), F.array().cast("array<string>").alias(own[2]), F.array().cast("array<int>").alias(own[3]))
     schema = out.schema
-    for k, items in enumerate(_blocks(benchmark, item_id, item_text, block_chars)):
+    blocks = list(_blocks(benchmark, item_id, item_text, block_chars))
+    for k, items in enumerate(blocks):
+        last = then is not None and k + 1 == len(blocks)
         shared = spark.sparkContext.broadcast(items)
         name = hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
-        def run(batches, shared=shared, name=name):
+        def run(batches, shared=shared, name=name, last=last):
             index = _index(name, shared.value, window)
-            for whole in batches:
-                for batch in slices(whole, text_col):
-                    yield _mark_batch(index, batch, text_col)
+            marked = (_mark_batch(index, batch, text_col) for whole in batches for batch in slices(whole, text_col))
+            yield from then(marked) if last else marked
 
-        out = (settled(out) if k else out).mapInArrow(run, schema)
+        out = (settled(out) if k else out).mapInArrow(run, then_schema if last else schema)
     return out
 
 
@@ -251,39 +254,38 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max
 
     Rows that nothing hits stay as they are, byte for byte.
     """
-    schema = docs.schema
-    marked = mark(docs, benchmark, text_col=text_col, **how)
+    original = docs.columns
+    docs, at = renamed(docs)
+    text_col, wanted, schema = at[text_col], set(docs.columns), docs.schema
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, text_col):
-                names = batch.schema.names
-                column = batch.column(names.index(text_col))
-                total = batch.column(names.index("hit_n_words")).to_pylist()
-                spans, whole_items = (batch.column(names.index(c)).to_pylist() for c in ("hit_spans", "hit_whole"))
-                touched = [i for i, s in enumerate(spans) if s]
-                keep, texts = np.ones(batch.num_rows, bool), None
-                if touched:
-                    texts = column.to_pylist()
-                    some = column.take(pa.array(touched))
-                    data, offsets = buffers(some)
-                    words = Words(data, offsets, ALNUM_LOWER)
-                    raw = data.tobytes()
-                    for k, i in enumerate(touched):
-                        s, f = spans[i], int(words.first[k])
-                        if sum(s[1::2]) - sum(s[::2]) > max_coverage * total[i]:
-                            keep[i] = False
-                            continue
-                        out, at = [], int(offsets[k])
-                        w = whole_items[i]
-                        gone = _merged([(a, b) for a, b in zip(s[::2], s[1::2]) if b - a >= max_span] + [*zip(w[::2], w[1::2])])
-                        for a, b in zip(gone[::2], gone[1::2]):
-                            out.append(raw[at : int(words.start[f + a])])
-                            at = int(words.end[f + b - 1])
-                        out.append(raw[at : int(offsets[k + 1])])
-                        texts[i] = b"".join(out).decode()
-                columns = [pa.array(texts, f.type) if texts is not None and f.name == text_col else batch.column(names.index(f.name)) for f in batch.schema if f.name in wanted]
-                yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n in wanted]).filter(pa.array(keep))
-
-    wanted = set(schema.names)
-    return marked.mapInArrow(run, schema)
+        for batch in batches:
+            names = batch.schema.names
+            column = batch.column(names.index(text_col))
+            total = batch.column(names.index("hit_n_words")).to_pylist()
+            spans, whole_items = (batch.column(names.index(c)).to_pylist() for c in ("hit_spans", "hit_whole"))
+            touched = [i for i, s in enumerate(spans) if s]
+            keep, texts = np.ones(batch.num_rows, bool), None
+            if touched:
+                texts = column.to_pylist()
+                some = column.take(pa.array(touched))
+                data, offsets = buffers(some)
+                words = Words(data, offsets, ALNUM_LOWER)
+                raw = data.tobytes()
+                for k, i in enumerate(touched):
+                    s, f = spans[i], int(words.first[k])
+                    if sum(s[1::2]) - sum(s[::2]) > max_coverage * total[i]:
+                        keep[i] = False
+                        continue
+                    out, at = [], int(offsets[k])
+                    w = whole_items[i]
+                    gone = _merged([(a, b) for a, b in zip(s[::2], s[1::2]) if b - a >= max_span] + [*zip(w[::2], w[1::2])])
+                    for a, b in zip(gone[::2], gone[1::2]):
+                        out.append(raw[at : int(words.start[f + a])])
+                        at = int(words.end[f + b - 1])
+                    out.append(raw[at : int(offsets[k + 1])])
+                    texts[i] = b"".join(out).decode()
+            columns = [pa.array(texts, f.type) if texts is not None and f.name == text_col else batch.column(names.index(f.name)) for f in batch.schema if f.name in wanted]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n in wanted]).filter(pa.array(keep))
+
+    return mark(docs, benchmark, text_col=text_col, then=run, then_schema=schema, **how).toDF(*original)

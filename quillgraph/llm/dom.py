@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import numpy as np
 
@@ -15,12 +17,100 @@ DROPPED = {"script", "style", "noscript", "template", "head", "title", "iframe",
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: An opening tag of the key closes an open element of these, unless one of the limits stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*'|["'])*)>|<[!?][^>]*>|</[^>]*>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLOCK_SCOPE = {"div", "article", "section", "main", "aside", "nav", "header", "footer", "td", "th", "li", "blockquote", "body", "table", "form", "figure", "button", "caption", "dd"}
 
 
+class _Tags:
+    """Finds the tags of a source one after the other, in time that follows its length whatever it holds.
+
+    A tag ends at the first ``>`` outside quoted values or, if there is none up to the end, at the first one at all.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.dead: list[tuple[list[int], list[int]]] = []  # stretches outside quotes of scans that found no end
+        self.open_quote = {}
+
+    def next(self, at: int):
+        """Start, end, whether it closes, name ("" for comments and declarations) and the rest of the next tag, or None."""
+        source = self.source
+        while 0 <= (at := source.find("<", at)) <= self.last or at >= 0 and source.startswith("<!--", at):
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                return at, len(source) if end < 0 else end + 3, "", "", ""
+            m = _NAME.match(source, at)
+            if m is None:
+                if source[at + 1 : at + 2] in ("!", "?", "/"):
+                    return at, source.find(">", at) + 1, "", "", ""
+                at += 1
+                continue
+            end = self._end(m.end())
+            return at, end, m[1], m[2].lower(), source[m.end() : end - 1]
+        return None
+
+    def _closing(self, quote: str, at: int) -> int:
+        """The next such quote, or -1; asked once where there is none."""
+        if at >= self.open_quote.get(quote, len(self.source)):
+            return -1
+        found = self.source.find(quote, at)
+        if found < 0:
+            self.open_quote[quote] = at
+        return found
+
+    def _end(self, at: int) -> int:
+        source, plain, starts, ends = self.source, at, [at], []
+        while True:
+            if any(i and at < e[i - 1] for s, e in self.dead for i in (bisect_right(s, at),)):
+                break
+            stop = _STOP.search(source, at)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                return stop.end()
+            close = self._closing(stop[0], stop.end())
+            at = stop.end() if close < 0 else close + 1
+            if close >= 0:
+                ends.append(stop.end())
+                starts.append(at)
+        ends.append(len(source))
+        self.dead.append((starts, ends))
+        return source.find(">", plain) + 1
+
+
+class _Open:
+    """The open elements, and where in the stack each tag and each block scope stands."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.stack = tags, [0]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+
+    def push(self, e: int) -> None:
+        name = self.tags[e]
+        self.at[name].append(len(self.stack))
+        if name in _BLOCK_SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(e)
+
+    def pop(self) -> int:
+        e = self.stack.pop()
+        self.at[self.tags[e]].pop()
+        if self.tags[e] in _BLOCK_SCOPE:
+            self.scopes.pop()
+        return e
+
+    def top(self, names) -> int:
+        """The highest place of any of the tags, or 0."""
+        return max((self.at[n][-1] for n in names if self.at[n]), default=0)
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+
 class Page:
     """Elements in page order: tag, parent, attribute tokens; texts as (element, text, breaks)."""
 
@@ -37,56 +127,44 @@ class Page:
             self.dropped[i] = self.dropped[p] or self.tag[i] in DROPPED
 
     def _read(self, source: str) -> None:
-        stack, at = [0], 0
-        tags, parents, tokens, notes, pieces = self.tag, self.parent, self.tokens, self.note, self.pieces
+        at, found, tags = 0, _Tags(source), self.tag
+        open_ = _Open(tags)
+        stack, parents, tokens, notes, pieces = open_.stack, self.parent, self.tokens, self.note, self.pieces
 
         def text(s: str) -> None:
             if s:
                 pieces.append((stack[-1], html.unescape(s) if "&" in s else s))
 
         def close_to(i: int) -> None:
-            for e in reversed(stack[i:]):
+            while len(stack) > i:
+                e = open_.pop()
                 if tags[e] not in INLINE:
                     pieces.append((e, ""))
-            del stack[i:]
 
-        lowered = None
-        while m := _TAG.search(source, at):
-            text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+        while tag := found.next(at):
+            text(source[at : tag[0]])
+            _, at, closes, name, rest = tag
+            if not name:
                 continue
-            name = m[2].lower()
-            if m[1]:
-                if name == "p" and "p" not in (tags[e] for e in stack):
-                    continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == name:
-                        close_to(i)
-                        break
-                    if name in INLINE and tags[stack[i]] in _BLOCK_SCOPE:
-                        break
+            if closes:
+                i = open_.top((name,))
+                if i and not (name in INLINE and open_.scope() > i):
+                    close_to(i)
                 continue
-            if name not in INLINE:
-                for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if tags[stack[i]] == "p" and name not in VOID | RAW:
-                        close_to(i)
-                        break
-                    if tags[stack[i]] in _BLOCK_SCOPE:
-                        break
+            if name not in INLINE and name not in VOID | RAW:  # a block ends an open paragraph
+                i = open_.top(("p",))
+                if i > open_.scope():
+                    close_to(i)
             if name in CLOSES:
                 ends, limits = CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] in limits:
-                        break
-                    if tags[stack[i]] in ends:
-                        close_to(i)
-                        break
-            if name == "body" and "head" in [tags[e] for e in stack]:
-                close_to(next(i for i, e in enumerate(stack) if tags[e] == "head"))
+                i = open_.top(ends)
+                if i > open_.top(limits):
+                    close_to(i)
+            if name == "body" and open_.at["head"]:
+                close_to(open_.at["head"][0])
             words, note = [], None
-            if m[3].strip(" /"):
-                for key, value in _ATTR.findall(m[3]):
+            if rest.strip(" /"):
+                for key, value in _ATTR.findall(rest):
                     key, value = key.lower(), value.strip("\"'")
                     if key in ("class", "id", "role", "itemprop", "aria-label", "data-component"):
                         words += [w.lower() for w in _TOKEN.findall(value)]
@@ -101,18 +179,17 @@ class Page:
             e = len(tags) - 1
             if name not in INLINE:
                 pieces.append((e, ""))
-            if name in VOID or m[3].endswith("/") and name in ("svg", "path", "rect"):
+            if name in VOID or rest.endswith("/") and name in ("svg", "path", "rect"):
                 continue
             if name in RAW:
-                lowered = lowered if lowered is not None else source.lower()
-                end = lowered.find("</" + name, at)
-                end = len(source) if end < 0 else end
+                end = re.compile("</" + re.escape(name), re.I).search(source, at)
+                end = end.start() if end else len(source)
                 pieces.append((e, source[at:end]))
                 at = source.find(">", end) + 1 or len(source)
                 if name not in INLINE:
                     pieces.append((e, ""))
                 continue
-            stack.append(e)
+            open_.push(e)
         text(source[at:])
 
     def features(self, odds: dict[str, float]) -> np.ndarray:
@@ -151,7 +228,8 @@ class Page:
             if first[i] >= 0 and (first[p] < 0 or first[i] < first[p]):
                 first[p] = first[i]
         total = max(seen, 1)
-        own = [_score(self.tag[i], self.tokens[i], odds) for i in range(n)]
+        longest = max(map(len, odds), default=0)
+        own = [_score(self.tag[i], self.tokens[i], odds, longest) for i in range(n)]
         low, high = [0.0] * n, [0.0] * n
         children = [0] * n
         place, same, count_of = [0] * n, [0] * n, {}
@@ -183,13 +261,13 @@ class Page:
         ], 1)
 
 
-def _score(tag: str, tokens: tuple, odds: dict[str, float]) -> tuple[float, float]:
+def _score(tag: str, tokens: tuple, odds: dict[str, float], longest: int) -> tuple[float, float]:
     values = [odds.get("<" + tag, 0.0)]
     for t in tokens:
         if t in odds:
             values.append(odds[t])
         else:  # compound words: the strongest known beginning or end
-            parts = [odds[t[:k]] for k in range(3, len(t)) if t[:k] in odds] + [odds[t[k:]] for k in range(1, len(t) - 2) if t[k:] in odds]
+            parts = [odds[t[:k]] for k in range(3, min(len(t), longest + 1)) if t[:k] in odds] + [odds[t[k:]] for k in range(max(1, len(t) - longest), len(t) - 2) if t[k:] in odds]
             if parts:
                 values.append(max(parts, key=abs))
     return min(values), max(values)

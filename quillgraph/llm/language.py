@@ -8,8 +8,10 @@ centroid has under ``ENOUGH`` texts of an octave those of all centroids count; w
 
 The centroids and document frequencies are fitted on a bounded sample of labelled rows: ``sample_rows`` in all, shared
 evenly by the languages and chosen by a hash of the id. Nulls and texts without letters are ``und`` with score 0 and
-count as rejected; without any labelled row nothing is learned and every text is. Rows are independent: repeated rows
-and extra columns do no harm.
+count as rejected; without any labelled row nothing is learned and every text is. More languages than ``sample_rows``
+are refused. Rows are independent: repeated rows do no harm, equal cosines go to the first language by name, an empty
+table gives an empty one, a very long text is one vector like any other. Extra columns come back but for lang_pred,
+score and rejected, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .arrowtext import buffers, slices
 
-FEATURES, CLUSTERS, SAMPLE_ROWS, MAX_LANGUAGES, MIN_COSINE = 4096, 4, 4000, 400, 0.05
+FEATURES, CLUSTERS, SAMPLE_ROWS, MIN_COSINE = 4096, 4, 4000, 0.05
 OCTAVES, ENOUGH, MARGIN = 32, 20, 0.7
 #: Texts whose counts are held at once.
-ROWS = 500
+ROWS, SLICE = 250, 500_000
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -42,11 +44,11 @@ def gram_counts(column) -> np.ndarray:
     data, offsets = buffers(column)
     rows = len(offsets) - 1
     b = _LETTER[data]
-    row = np.repeat(np.arange(rows), np.diff(offsets))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32) | (row[1:] != row[:-1])
     b, row = b[keep].astype(np.uint32), row[keep]
-    counts = np.zeros(rows * FEATURES, np.int64)
+    counts = np.zeros(rows * FEATURES, np.int32)
     gram = np.zeros(len(b), np.uint32)
     for n in (1, 2, 3):
         if len(b) < n:
@@ -54,7 +56,8 @@ def gram_counts(column) -> np.ndarray:
         gram = gram[: len(b) - n + 1] * np.uint32(256) + b[n - 1 :]
         same = row[: len(b) - n + 1] == row[n - 1 :]
         slot = ((gram * np.uint32(2654435761) + np.uint32(n * 40503)) * np.uint32(2246822519)) >> np.uint32(20)
-        counts += np.bincount((row[: len(b) - n + 1] * FEATURES + slot)[same], minlength=rows * FEATURES)
+        at = (row[: len(b) - n + 1] * FEATURES + slot.view(np.int32) if rows < 1 << 18 else row[: len(b) - n + 1] * np.int64(FEATURES) + slot)[same]
+        counts += np.bincount(at, minlength=rows * FEATURES).astype(np.int32)
     return counts.reshape(rows, FEATURES)
 
 
@@ -154,7 +157,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Centroids from a bounded sample of the rows with text and language."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("k is not null and text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(sample_rows + 1).collect()}
+    if len(sizes) > sample_rows:
+        raise ValueError(f"more than {sample_rows} languages: a sample of as many rows can't teach them")
     if not sizes:
         return None
     each = max(1, sample_rows // len(sizes))
@@ -164,7 +169,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def features(batches):
         for whole in batches:
-            for batch in slices(whole, "text", rows=ROWS):
+            for batch in slices(whole, "text", SLICE, ROWS):
                 keep = lettered(batch.column(1))
                 counts = gram_counts(batch.column(1))
                 packed = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts]
@@ -185,7 +190,7 @@ def predict(docs: DataFrame, model: Centroids | None, *, text_col: str = "text",
     def run(batches):
         model = shared.value
         for whole in batches:
-            for batch in slices(whole, text_col, rows=ROWS):
+            for batch in slices(whole, text_col, SLICE, ROWS):
                 column = batch.column(batch.schema.names.index(text_col))
                 ok = lettered(column)
                 if model is None:

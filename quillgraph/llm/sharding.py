@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import settled, small
+from .tables import renamed, settled, small
 
 BITS, LIMIT_BYTES, STEP, BROADCAST_ROWS = 48, 1 << 20, 8, 200_000
 
@@ -46,7 +46,10 @@ def _leaves(sizes: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """``docs`` with n_bytes, shard (the bits of its prefix, ``*`` for none), depth, shard_bytes, shard_rows and oversize, which replace columns of these names."""
     own = ["n_bytes", "shard", "depth", "shard_bytes", "shard_rows", "oversize"]
-    docs = docs.drop(*own, "h_", "cell_")
+    docs = docs.drop(*own)
+    names = docs.columns
+    docs, at = renamed(docs)
+    id_col, text_col = at[id_col], at[text_col]
     rows = docs.select("*", F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(id_col)).alias("h_"))
     sizes_only = rows.select("h_", "n_bytes")
     total = sizes_only.agg(F.sum("n_bytes")).first()[0] or 0
@@ -61,10 +64,10 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", li
         placed = placed.select(*docs.columns, "n_bytes", bits(F.col("depth"), F.col("prefix")).alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows", F.lit(False).alias("oversize"))
         out = placed if out is None else out.unionByName(placed)
         if not over.limit(1).count():
-            return out
+            return out.toDF(*names, *own)
         rest = rest.withColumn("cell_", _prefix("h_", F.lit(high))).join(small(over.withColumnRenamed("cell", "cell_"), BROADCAST_ROWS), "cell_", "left_semi").drop("cell_")
         if high == BITS:
-            return out.unionByName(_overflow(rest, docs.columns, limit))
+            return out.unionByName(_overflow(rest, docs.columns, limit)).toDF(*names, *own)
         low, high = high + 1, min(BITS, high + STEP)
 
 

@@ -65,6 +65,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns c0, c1, ..., which clash with nothing an operator adds, and the new name of each old one."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number to deal keyed blobs to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -77,3 +77,33 @@ def test_odd_tables(spark):
     got = sorted((tuple(r) for r in jaccard.linked(docs).collect()), key=str)
     assert got == sorted([(3, 1, 3), (3, 1, 3), (None, 1, 3), (9, 1, 3), (None, 0, None)], key=str)
     assert jaccard.linked(docs.limit(0)).count() == 0
+
+
+def test_large_groups_of_near_copies(spark):
+    """Hundreds of texts that are near copies of one another, beside texts that only share a passage."""
+    rnd = random.Random(4)
+    base, passage = [f"b{i}" for i in range(200)], [f"p{i}" for i in range(60)]
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for i in range(2, 300):
+        copy = list(base)
+        for at in rnd.sample(range(200), rnd.choice([1, 2, 3])):
+            copy[at] = f"n{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    rows += [(i, " ".join([f"o{i}_{k}" for k in range(50)] + passage)) for i in range(300, 420)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(docs).collect()}
+    assert got == plain(rows)
+
+
+def test_parities_bound_the_symmetric_difference():
+    rng = np.random.default_rng(2)
+    for n in (3, 50, 800):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: 2 * n // 3], rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+        x, y = jaccard.parities([a, b])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_the_null_character_is_a_word_character(spark):
+    docs = spark.createDataFrame([(1, "a\0b c d e f"), (2, "a b c d e f"), (3, "\0")], "doc_id long, text string")
+    assert {r.doc_id: r.n_shingles for r in jaccard.linked(docs).collect()} == {1: 1, 2: 2, 3: 1}

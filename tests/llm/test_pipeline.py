@@ -29,3 +29,30 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
 def test_stages_apply_their_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "decontamination", "bpe"]
     assert all(callable(f) for f in (language.predict, lines.dedup, jaccard.linked, decontaminate.remove, bpe.encode_digests))
+
+
+def test_columns_with_the_operators_own_names_come_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    own = ["score", "lang_pred", "rejected", "gone_lines", "GONE_ID", "hit_spans", "hit_items", "hit_n_words", "hit_whole", "component_id", "component", "n", "g", "c0", "key", "one"]
+    rows = [(i, f"the {w} ships came home from the north with salt and furs and told of {w} winters", "en", "s", 70) for i, w in enumerate(["old", "red", "long", "grim"])]
+    docs = spark.createDataFrame(rows + [(9, rows[0][1], "en", "s", 70), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in own])
+    spark.createDataFrame([(1, "told of grim winters"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert len(got) >= 1
+        for r in got:
+            assert all(r[c] == f"{c}/{'-' if r.doc_id is None else r.doc_id}" for c in own), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 6
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+    some = spark.createDataFrame([(1, "one two three", "en", "s", 13), (1, "one two three", "en", "s", 13)], docs.schema)
+    assert corpus_pipeline.without_benchmark(spark, some, str(tmp_path)).count() == 2

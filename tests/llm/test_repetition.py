@@ -40,3 +40,9 @@ def test_coverage_alone_fails_a_text(spark):
     twice, little = repetition.quality(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert (twice.n_words, twice.covered_words, twice.longest_repeat, twice.base_failed, twice.kept) == (450, 200, 100, False, False)
     assert (little.covered_words, little.base_failed, little.kept) == (30, False, True)
+
+
+def test_the_null_character_is_a_word_character(spark):
+    docs = spark.createDataFrame([(1, "a\0b c")], "doc_id long, text string")
+    r = repetition.quality(docs).first()
+    assert (r.n_words, r.word_chars) == (2, 4)

@@ -3,7 +3,9 @@
 language: documents whose language is rejected go. lines: repeated lines go, and documents that have no words left by
 that. near_duplicates: of each group of linked documents the one with the smallest id stays. decontamination: spans of
 benchmark items go, and documents that are mostly such spans. bpe: the tokens of what is left, as digests.
-All stages but the last return the columns of documents; where a text changes, n_chars follows it.
+All stages but the last return the columns of documents; where a text changes, n_chars follows it. Further columns,
+whatever their names, come back as they were. Repeated rows stay repeated until the stage lines, which takes rows of one
+id as one document; nulls and texts without letters go in the first stage; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, decontaminate, jaccard, language, lines
 from quillgraph.llm.queries import word_bpe
-from quillgraph.llm.tables import settled, small, table
+from quillgraph.llm.tables import renamed, settled, small, table
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,8 +23,9 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.fit(docs)
-    return language.predict(docs, model).where("not rejected").select(docs.columns)
+    plain, at = renamed(docs)
+    model = language.fit(plain, id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"])
+    return language.predict(plain, model, text_col=at["text"]).where("not rejected").select(plain.columns).toDF(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

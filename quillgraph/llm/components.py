@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by smallest labels and pointer jumping."""
+"""Connected components of an edge table, by smallest labels and pointer jumping; and components that grow link by link."""
 
 from __future__ import annotations
 
@@ -30,3 +30,34 @@ def components(links: DataFrame) -> DataFrame:
         if new.where("old <> component").isEmpty():
             done(edges)
             return label
+
+
+class Groups:
+    """Components (``label``: id, component) that grow with each set of links; those already joined are asked no more."""
+
+    def __init__(self):
+        self.label: DataFrame | None = None
+
+    def of(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with the component of the id in ``column``, the id itself where it has no links."""
+        if self.label is None:
+            return df.withColumn(name, F.col(column))
+        label = small(self.label, BROADCAST_ROWS).toDF(column, "of_component")
+        return df.join(label, column, "left").withColumn(name, F.coalesce("of_component", column)).drop("of_component")
+
+    def across(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose ends are not connected yet, with the ends' components (ca, cb)."""
+        return settled(self.of(self.of(pairs.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "ca", "cb"))
+
+    def link(self, links: DataFrame) -> None:
+        """Joins the components ca and cb of each of the links."""
+        links = settled(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        grown = components(links)
+        if self.label is None:
+            self.label = grown
+        else:
+            old = self.label.join(small(grown, BROADCAST_ROWS).toDF("component", "next"), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+            label = settled(old.unionByName(grown.join(self.label.select("id"), "id", "left_anti")))
+            done(grown, self.label)
+            self.label = label
+        done(links)

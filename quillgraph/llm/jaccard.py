@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from ..shipping import ship
 from .arrowtext import SPACED_LOWER, Words, buffers, mix, shingle_sets, slices
 from .blobs import pack, ranges, unpack
-from .components import components
+from .components import Groups
 from .tables import done, parts, settled, small
 
 K, LIGHT, FLUSH = 5, 8, 3_000_000
@@ -304,7 +304,7 @@ def _round(docs: DataFrame, member: DataFrame, sketch, k: int, threshold: int, l
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets intersect in ``threshold`` per cent of their union or more."""
+    """Of pairs (a, b, ca, cb) whose sets intersect in ``threshold`` per cent of their union or more, ca and cb."""
 
     def run(batches):
         for batch in batches:
@@ -313,11 +313,11 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFram
                 x, y = unpack(x, _U, True), unpack(y, _U, True)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 hit.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            yield batch.select(["ca", "cb"]).filter(pa.array(hit, pa.bool_()))
 
     b = shingles.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
     a = shingles.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("ca", "cb", "sa", "sb").mapInArrow(run, "ca long, cb long")
 
 
 def _with_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -332,27 +332,22 @@ def _with_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return settled(chosen.mapInArrow(run, "id long, sh binary").dropDuplicates())
 
 
-class _Groups:
-    """Links between sets and their components, growing with each set of candidate pairs that is verified."""
+class _Sets(Groups):
+    """Components of sets of shingles, growing with each set of candidate pairs that is verified."""
 
     def __init__(self, docs: DataFrame, k: int, threshold: int):
+        super().__init__()
         self.docs, self.k, self.threshold = docs, k, threshold
-        self.links = self.label = None
 
     def add(self, pairs: DataFrame) -> None:
         """Verifies those of the pairs (a, b) whose ends are not connected yet."""
-        if self.label is not None:
-            label = small(self.label, BROADCAST_ROWS)
-            pairs = pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        pairs = settled(pairs.select("a", "b"))
-        if self.label is not None and pairs.isEmpty():
-            return done(pairs)
-        wanted = settled(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        shingles = _with_shingles(self.docs, wanted, self.k)
-        links = _verified(pairs, shingles, self.threshold)
-        links = settled(self.links.union(links) if self.links is not None else links)
-        done(pairs, wanted, shingles, self.links, self.label)
-        self.links, self.label = links, components(links)
+        pairs = self.across(pairs)
+        if self.label is None or not pairs.isEmpty():
+            wanted = settled(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+            shingles = _with_shingles(self.docs, wanted, self.k)
+            self.link(_verified(pairs, shingles, self.threshold))
+            done(wanted, shingles)
+        done(pairs)
 
 
 def _first(pairs: DataFrame) -> DataFrame:
@@ -378,7 +373,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
         signature.where("n > 0 and doc_id is not null").groupBy("g").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _SIGNATURE if c != "g"))
         .withColumn("short", short)
     )
-    known = _Groups(docs, k, threshold)
+    known = _Sets(docs, k, threshold)
     led = settled(_led(classes.select("id", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), f"least{i}") for i in range(MINS)))).alias("key")), threshold))
     known.add(_first(led))
     known.add(led.distinct())
@@ -406,7 +401,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     rarest = Window.partitionBy("id").orderBy("seen_in", "key")
     entries = settled(every.join(seen_in, "key").withColumn("place", F.row_number().over(rarest)).where("place <= enough and seen_in > 1").select("key", "id", "n"))
     known.add(_first(_led(entries, threshold)))
-    marked = entries.join(small(known.label, BROADCAST_ROWS), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    marked = known.of(entries, "id", "c")
     mixed = settled(marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
     mixed_sets = marked.join(small(mixed, BROADCAST_ROWS), "key")
     sketches = settled(shingles.mapInArrow(_parities, "id long, " + ", ".join(f"{p} long" for p in _PARITIES)))
@@ -417,7 +412,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     known.add(x.join(y, (x.key == y.key) & near).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
     done(shingles, every, entries, still_open, mixed, sketches, sets, marks)
 
-    named = classes.select("g", "id").join(known.label, "id", "left").select("g", F.coalesce("component", "id").alias("component_id"))
+    named = known.of(classes.select("g", "id"), "id", "component_id").select("g", "component_id")
     named = signature.where("n > 0").join(named, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return named.unionByName(signature.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -26,21 +26,35 @@ def _ppr_sql(edges: str, start: tuple[str, ...], rounds: int, top: str) -> str:
 
 both("graph_build", lambda d: "SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM kg_edges UNION ALL SELECT dst, 0, 1 FROM kg_edges) t GROUP BY node")
 both("graph_stats", lambda d: "SELECT n, m, round(m / (CAST(n AS DOUBLE) * (n - 1) / 2), 9) AS density, round(mean_degree, 6) AS mean_degree, max_degree, round(total, 3) AS total_weight FROM (SELECT count(*) AS n FROM kg_nodes) a, (SELECT count(*) AS m, sum(weight) AS total FROM kg_edges) b, (SELECT avg(CAST(k AS DOUBLE)) AS mean_degree, max(k) AS max_degree FROM (SELECT a, count(*) AS k FROM kg_adj GROUP BY a) g) c")
-_reach = lambda d, edges: f"WITH RECURSIVE reach(a, b) AS (SELECT src, src FROM {edges} UNION SELECT dst, dst FROM {edges} UNION SELECT r.a, e.b FROM reach r JOIN (SELECT src AS s, dst AS b FROM {edges} UNION SELECT dst, src FROM {edges}) e ON e.s = r.b)"
-frame("graph_components", lambda spark, sf: graph.components(view(spark, sf, "kg_core")), lambda d: f"{_reach(d, 'kg_core')} SELECT a AS node, min(b) AS component FROM reach GROUP BY a")
-frame("graph_connected", lambda spark, sf: graph.components(view(spark, sf, "kg_core")).agg((F.count_distinct("component") == 1).alias("connected")), lambda d: f"{_reach(d, 'kg_core')} SELECT count(DISTINCT component) = 1 AS connected FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) c")
+LABEL_ROUNDS = 12
+
+
+def _labels_sql(edges: str, rounds: int, top: str) -> str:
+    """Smallest labels of neighbours, a round per table expression; enough for paths of as many edges."""
+    steps = [f"two AS (SELECT src AS a, dst AS b FROM {edges} UNION SELECT dst, src FROM {edges})", "l0 AS (SELECT DISTINCT a AS node, a AS label FROM two)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} AS (SELECT l.node, least(l.label, m.label) AS label FROM l{k} l JOIN (SELECT two.a AS node, min(n.label) AS label FROM two JOIN l{k} n ON n.node = two.b GROUP BY two.a) m ON m.node = l.node)")
+    return f"WITH {', '.join(steps)} {top.replace('LAST', f'l{rounds}')}"
+
+
+frame("graph_components", lambda spark, sf: graph.components(view(spark, sf, "kg_edges")), lambda d: _labels_sql("kg_edges", LABEL_ROUNDS, "SELECT node, label AS component FROM LAST"))
+frame(
+    "graph_connected",
+    lambda spark, sf: graph.components(view(spark, sf, "kg_edges")).agg((F.count_distinct("component") == 1).alias("connected")),
+    lambda d: _labels_sql("kg_edges", LABEL_ROUNDS, "SELECT count(DISTINCT label) = 1 AS connected FROM LAST"),
+)
 frame("graph_kcore", lambda spark, sf: graph.k_core(view(spark, sf, "SELECT src, dst, weight FROM kg_edges WHERE type IN ('inRegion', 'basedIn', 'livesIn')")))
-frame("graph_ppr", lambda spark, sf: graph.personalised_pagerank(view(spark, sf, "kg_core"), list(PPR_START), alpha=PPR_ALPHA, rounds=PPR_ROUNDS).select("node", F.round("score", 6).alias("score")), lambda d: _ppr_sql("kg_core", PPR_START, PPR_ROUNDS, "SELECT node, round(score, 6) AS score FROM LAST"))
+frame("graph_ppr", lambda spark, sf: graph.personalised_pagerank(view(spark, sf, "kg_edges"), list(PPR_START), alpha=PPR_ALPHA, rounds=PPR_ROUNDS).select("node", F.round("score", 6).alias("score")), lambda d: _ppr_sql("kg_edges", PPR_START, PPR_ROUNDS, "SELECT node, round(score, 6) AS score FROM LAST"))
 frame(
     "graph_ppr_topk_type",
-    lambda spark, sf: graph.personalised_pagerank(view(spark, sf, "kg_core"), list(PPR_START), alpha=PPR_ALPHA, rounds=PPR_ROUNDS)
+    lambda spark, sf: graph.personalised_pagerank(view(spark, sf, "kg_edges"), list(PPR_START), alpha=PPR_ALPHA, rounds=PPR_ROUNDS)
     .where(~F.col("node").isin(*PPR_START) & (F.col("score") > 0)).join(view(spark, sf, "SELECT uri AS node, type FROM kg_nodes"), "node").groupBy("type").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n")),
-    lambda d: _ppr_sql("kg_core", PPR_START, PPR_ROUNDS, f"SELECT type, round(max(r.score), 6) AS best, count(*) AS n FROM LAST r JOIN kg_nodes k ON k.uri = r.node WHERE r.node NOT IN {PPR_START} AND r.score > 0 GROUP BY type"),
+    lambda d: _ppr_sql("kg_edges", PPR_START, PPR_ROUNDS, f"SELECT type, round(max(r.score), 6) AS best, count(*) AS n FROM LAST r JOIN kg_nodes k ON k.uri = r.node WHERE r.node NOT IN {PPR_START} AND r.score > 0 GROUP BY type"),
 )
 frame(
     "ppr_combine",
-    lambda spark, sf: graph.personalised_pagerank(view(spark, sf, "kg_core"), ["nation/1"], rounds=4).unionByName(graph.personalised_pagerank(view(spark, sf, "kg_core"), ["nation/7"], rounds=4)).groupBy("node").agg(F.round(F.avg("score"), 6).alias("score")),
-    lambda d: f"SELECT node, round(avg(score), 6) AS score FROM (({_ppr_sql('kg_core', ('nation/1',), 4, 'SELECT node, score FROM LAST')}) UNION ALL ({_ppr_sql('kg_core', ('nation/7',), 4, 'SELECT node, score FROM LAST')})) u GROUP BY node",
+    lambda spark, sf: graph.personalised_pagerank(view(spark, sf, "kg_edges"), ["nation/1"], rounds=4).unionByName(graph.personalised_pagerank(view(spark, sf, "kg_edges"), ["nation/7"], rounds=4)).groupBy("node").agg(F.round(F.avg("score"), 6).alias("score")),
+    lambda d: f"SELECT node, round(avg(score), 6) AS score FROM (({_ppr_sql('kg_edges', ('nation/1',), 4, 'SELECT node, score FROM LAST')}) UNION ALL ({_ppr_sql('kg_edges', ('nation/7',), 4, 'SELECT node, score FROM LAST')})) u GROUP BY node",
 )
 frame("graph_betweenness", lambda spark, sf: graph.betweenness(view(spark, sf, "kg_core")).select("node", F.round("score", 6).alias("score")))
 frame("score_entity_importance", lambda spark, sf: graph.importance(view(spark, sf, "kg_core")).select("node", F.round("importance", 6).alias("importance")).orderBy(F.desc("importance"), "node").limit(20))
@@ -50,11 +64,11 @@ frame(
     lambda spark, sf: graph.modularity(view(spark, sf, "kg_core"), view(spark, sf, "SELECT src AS node, dst AS community FROM kg_core WHERE type = 'inRegion' UNION ALL SELECT a.src, b.dst FROM kg_core a JOIN kg_core b ON a.dst = b.src WHERE a.type = 'basedIn' UNION ALL SELECT DISTINCT dst, dst FROM kg_core WHERE type = 'inRegion'")).select(F.round("q", 6).alias("q")),
     lambda d: "WITH member AS (SELECT src AS node, dst AS c FROM kg_core WHERE type = 'inRegion' UNION ALL SELECT a.src, b.dst FROM kg_core a JOIN kg_core b ON a.dst = b.src WHERE a.type = 'basedIn' UNION ALL SELECT DISTINCT dst, dst FROM kg_core WHERE type = 'inRegion'), e AS (SELECT x.c AS cs, y.c AS cd, weight FROM kg_core k JOIN member x ON x.node = k.src JOIN member y ON y.node = k.dst), w AS (SELECT sum(weight) AS whole FROM e), deg AS (SELECT c, sum(weight) AS degree FROM (SELECT cs AS c, weight FROM e UNION ALL SELECT cd, weight FROM e) t GROUP BY c), i AS (SELECT cs AS c, sum(weight) AS inside FROM e WHERE cs = cd GROUP BY cs) SELECT round(sum(coalesce(inside, 0) / whole - power(degree / (2 * whole), 2)), 6) AS q FROM deg LEFT JOIN i ON i.c = deg.c, w",
 )
-frame("graph_traverse", lambda spark, sf: graph.traverse(view(spark, sf, "kg_core"), ["region/2"], depth=2), lambda d: "WITH RECURSIVE walk(node, hops) AS (SELECT 'region/2', 0 UNION SELECT e.b, w.hops + 1 FROM walk w JOIN (SELECT src AS a, dst AS b FROM kg_core UNION SELECT dst, src FROM kg_core) e ON e.a = w.node WHERE w.hops < 2) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY node")
+frame("graph_traverse", lambda spark, sf: graph.traverse(view(spark, sf, "kg_edges"), ["region/2"], depth=2), lambda d: "WITH RECURSIVE walk(node, hops) AS (SELECT 'region/2', 0 UNION SELECT e.b, w.hops + 1 FROM walk w JOIN (SELECT src AS a, dst AS b FROM kg_edges UNION SELECT dst, src FROM kg_edges) e ON e.a = w.node WHERE w.hops < 2) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY node")
 both("graph_induced_edges", lambda d: "SELECT e.src, e.dst, e.type FROM kg_edges e WHERE e.src IN (SELECT uri FROM kg_nodes WHERE score > 0.5) AND e.dst IN (SELECT uri FROM kg_nodes WHERE score > 0.5)")
 both("graph_neighbors", lambda d: "SELECT 'out' AS direction, dst AS node, type, weight FROM kg_edges WHERE src = 'nation/4' UNION ALL SELECT 'in', src, type, weight FROM kg_edges WHERE dst = 'nation/4'")
 both("graph_explore", lambda d: "SELECT s, p, o FROM kg_triples WHERE s = 'supplier/2' UNION SELECT t.s, t.p, t.o FROM kg_triples x JOIN kg_triples t ON t.s = x.o WHERE x.s = 'supplier/2'")
-frame("graph_degree_centrality", lambda spark, sf: graph.degree_centrality(view(spark, sf, "kg_core")).select("node", F.round("centrality", 6).alias("centrality")), lambda d: "SELECT a AS node, round(CAST(count(*) AS DOUBLE) / (max(n) - 1), 6) AS centrality FROM (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM kg_core UNION ALL SELECT dst, src FROM kg_core) u) e, (SELECT count(DISTINCT a) AS n FROM (SELECT src AS a FROM kg_core UNION ALL SELECT dst FROM kg_core) v) c GROUP BY a")
+frame("graph_degree_centrality", lambda spark, sf: graph.degree_centrality(view(spark, sf, "kg_edges")).select("node", F.round("centrality", 6).alias("centrality")), lambda d: "SELECT a AS node, round(CAST(count(*) AS DOUBLE) / (max(n) - 1), 6) AS centrality FROM (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM kg_edges UNION ALL SELECT dst, src FROM kg_edges) u) e, (SELECT count(DISTINCT a) AS n FROM (SELECT src AS a FROM kg_edges UNION ALL SELECT dst FROM kg_edges) v) c GROUP BY a")
 _co = "SELECT a.concept AS src, b.concept AS dst, CAST(count(*) AS DOUBLE) AS weight FROM concepts a JOIN concepts b ON a.item = b.item AND a.concept < b.concept GROUP BY a.concept, b.concept"
 _strong = f"SELECT src, dst, weight FROM ({_co}) c, (SELECT avg(weight) AS mean FROM ({_co}) x) m WHERE weight > mean"
 frame("graph_clustering_coeff", lambda spark, sf: graph.clustering(view(spark, sf, _strong)).select("node", F.round("coefficient", 6).alias("coefficient")), lambda d: f"WITH e AS ({_strong}), adj AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), deg AS (SELECT a, count(*) AS k FROM adj GROUP BY a HAVING count(*) > 1), tri AS (SELECT x.a, count(*) AS t FROM adj x JOIN adj y ON y.a = x.a AND x.b < y.b JOIN adj z ON z.a = x.b AND z.b = y.b GROUP BY x.a) SELECT deg.a AS node, round(2.0 * coalesce(t, 0) / (k * (k - 1)), 6) AS coefficient FROM deg LEFT JOIN tri ON tri.a = deg.a")

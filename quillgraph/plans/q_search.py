@@ -89,7 +89,7 @@ _ZOOMS = {
     "community": "SELECT e.dst AS uri, 'Community' AS type, e.dst AS label, avg(n.score) AS score, CAST(count(*) AS BIGINT) AS freq FROM kg_edges e JOIN kg_nodes n ON n.uri = e.src WHERE e.type <> 'suppliedBy' GROUP BY e.dst",
     "corpus": "SELECT source AS uri, 'Corpus' AS type, source AS label, avg(similarity) AS score, CAST(count(*) AS BIGINT) AS freq FROM elements GROUP BY source",
 }
-_TILTS = {"keywords": "label", "similarity": "round(score, 6) DESC, uri", "frequency": "freq DESC, uri"}
+_TILTS = {"keywords": "label", "similarity": "round(score + 1e-9, 6) DESC, uri", "frequency": "freq DESC, uri"}
 for _zoom, _sql in _ZOOMS.items():
     for _tilt, _order in _TILTS.items():
-        both(f"navigate_{_zoom}_{_tilt}", lambda d, s=_sql, o=_order: f"SELECT uri, type, label, round(score, 6) AS score, freq FROM ({s}) z ORDER BY {o}{', uri' if o == 'label' else ''} LIMIT 100")
+        both(f"navigate_{_zoom}_{_tilt}", lambda d, s=_sql, o=_order: f"SELECT uri, type, label, round(score + 1e-9, 6) AS score, freq FROM ({s}) z ORDER BY {o}{', uri' if o == 'label' else ''} LIMIT 100")

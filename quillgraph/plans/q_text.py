@@ -19,7 +19,7 @@ both("chunk_overlap_merge", lambda d: "SELECT conv_id, turn, length(text) < 80 A
 both("decompose", lambda d: f"SELECT lower(w) AS entity, CAST(count(*) AS BIGINT) AS frequency, count(DISTINCT item_id) AS units FROM (SELECT item_id, w FROM benchmark{d.explode(d.rx_all('text', '[A-Z][a-z]+'), 'w')}) t GROUP BY lower(w)")
 both("extract_relationships", lambda d: "SELECT a.entity AS source, b.entity AS target, CAST(count(*) AS BIGINT) AS weight, min(a.doc_id) AS first_unit FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY a.entity, b.entity")
 both("augment_attributes", lambda d: "SELECT n.uri, concat(n.label, ' is a ', lower(n.type), ' with ', CAST(coalesce(g.k, 0) AS STRING), ' links') AS attribute FROM kg_nodes n LEFT JOIN (SELECT a, count(*) AS k FROM kg_adj GROUP BY a) g ON g.a = n.uri WHERE n.score >= 0.5".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR"))
-frame("enrich_embeddings", lambda spark, sf: text.hash_embeddings(view(spark, sf, "SELECT doc_id, substring(text, 1, 8000) AS text FROM documents")).select("id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 6).alias("lead")))
+frame("enrich_embeddings", lambda spark, sf: text.hash_embeddings(view(spark, sf, "SELECT doc_id, text FROM documents")).select("id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 6).alias("lead")))
 frame("vec_hash_embedding", lambda spark, sf: text.hash_embeddings(view(spark, sf, "benchmark"), 16, id_col="item_id").select("id", F.transform("v", lambda x: F.round(x, 3)).alias("v")))
 both("aggregate_communities", lambda d: f"SELECT e.dst AS community, CAST(count(*) AS BIGINT) AS members, {d.words_joined('n.label', ', ')} AS summary FROM kg_core e JOIN kg_nodes n ON n.uri = e.src WHERE e.type = 'basedIn' GROUP BY e.dst")
 both("corpus_projection_concept", lambda d: "SELECT lower(concept) AS concept, CAST(count(*) AS BIGINT) AS frequency, CAST(count(DISTINCT item) AS BIGINT) AS items FROM concepts GROUP BY lower(concept)")

@@ -10,7 +10,9 @@ it stands, and no task or driver holds the counts of the whole corpus. What reac
 histogram of bounded size for the weights.
 
 Null texts are empty: one end token. Rows are independent but for the counts; repeated rows count each time. With
-nothing to learn from, all words are unknown and every score is 0 (one type, the unknown one).
+nothing to learn from, all words are unknown and every score is 0 (one type, the unknown one). An empty table gives an
+empty one; equal counts need no tie rule; of extra columns, whatever their names, none is read. A batch holds
+``batch_bytes`` of text or one text, if that is longer, and its n-grams in memory.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from .arrowtext import SPACED_LOWER, Words, buffers, mix
 from .blobs import counted, pack, ranges, unpack
 from .tables import parts, release, settled
 
-ORDER, BATCH_BYTES = 2, 8_000_000
+#: Bytes of text in a batch, and of text for each range of keys.
+ORDER, BATCH_BYTES, RANGE_BYTES = 3, 8_000_000, 16_000_000
 _U = np.uint64
 END, BEGIN = _U(0x1F83D9ABFB41BD6B), _U(0x5BE0CD19137E2179)
 #: Context-frequency buckets per order (0, 1, 2, 3-4, 5-8, ...), and octaves of estimates over the uniform share.
@@ -44,7 +47,10 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(token: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the n-grams that end at each token, for n = 1 to order; before a text stand begin marks."""
+    """Keys of the n-grams that end at each token, for n = 1 to order; before a text stand begin marks.
+
+    Keys have 56 bits: among 10^13 different n-grams one in 7,000 shares its key, and count, with another.
+    """
     out, n = [token], len(token)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
     key = token
@@ -52,7 +58,7 @@ def grams(token: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
         before = np.empty(n, _U)
         before[k:] = token[: max(n - k, 0)]
         before[place < k] = BEGIN
-        key = mix(key * _U(0x9E3779B97F4A7C15) + mix(before + _U(k)))
+        key = mix(key * _U(0x9E3779B97F4A7C15) + mix(before + _U(k))) >> _U(8) << _U(8)
         out.append(key)
     return out
 
@@ -189,7 +195,7 @@ def score(docs: DataFrame, train: Column, develop: Column, *, id_col: str = "doc
     size = rows.groupBy("dev").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
     batches = F.create_map(*[x for d in (False, True) for x in (F.lit(d), F.lit(int(max([0, *(r["bytes"] or 0 for r in size if r.dev == d)]) // batch_bytes + 1)))])
     texts = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.element_at(batches, F.col("dev"))) * 2 + F.col("dev").cast("int"))
-    n_parts = parts(spark)
+    n_parts = max(parts(spark), sum(r["bytes"] or 0 for r in size) // RANGE_BYTES)
     asked = texts.groupBy("batch", "dev").applyInArrow(lambda key, t: _request(key, t, order, n_parts), "part int, batch long, dev boolean, blobs array<binary>")
     answered = settled(asked.groupBy("part").applyInArrow(lambda key, t: _answer(key, t, order), "batch long, part int, answers array<binary>, total long, types long, main long"))
     release(spark)

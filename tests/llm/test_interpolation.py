@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -69,13 +70,15 @@ def test_matches_brute_force(spark, order):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-3)
 
 
-def test_probabilities_sum_to_one(spark):
-    """All next words after a context, the unknown one included."""
-    docs = [(i, "a b a c", True) for i in range(1, 6)] + [(6, "b a", True)]
-    asks = [(100 + k, w, False) for k, w in enumerate(["", "a", "b", "c", "zz"])]
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, order):
+    """Over all texts of up to six words, of which longer ones are left a small share."""
+    docs = [(i, t, True) for i, t in enumerate(["a", "b", "a b", "", "a", "b a", "", "a a"])]
+    asks = [(100 + i, " ".join(w), False) for i, w in enumerate(w for n in range(7) for w in itertools.product(["a", "b", "new"], repeat=n))]
     df = spark.createDataFrame(docs + asks, "doc_id long, text string, t boolean")
-    out = {r.doc_id: r.score for r in interpolation.score(df, F.col("t"), F.col("doc_id") == 5).collect()}
-    assert all(v < 0 for v in out.values())
+    scored = interpolation.score(df, F.col("t"), F.col("doc_id") % 2 == 1, order=order).where("not train").collect()
+    total = sum(10**r.score for r in scored)
+    assert len(scored) == len(asks) and 0.97 < total < 1 + 1e-9
 
 
 def test_nothing_to_learn(spark):

@@ -153,10 +153,17 @@ def knapsack(items: list[tuple[int, float, int]], budget: int, by: str = "priori
     return out
 
 
+def hash31(text: str) -> int:
+    """A signed 32-bit rolling hash over UTF-16 code units."""
+    h = 0
+    raw = text.encode("utf-16-le", "surrogatepass")
+    for lo, hi in zip(raw[::2], raw[1::2]):
+        h = (h * 31 + lo + 256 * hi) & 0xFFFFFFFF
+    return h - (1 << 32) if h >> 31 else h
+
+
 def hash_embedding(text: str, dims: int = 64) -> list[float]:
     """The deterministic stand-in for an embedding model: a 32-bit rolling hash, spread over places."""
-    h = 0
-    for c in text:
-        h = (h * 31 + ord(c) + (1 << 31)) % (1 << 32) - (1 << 31)
+    h = hash31(text)
     value = [int(abs(h + 31 * i) % 1000) * (1 if h + 31 * i >= 0 else -1) / 1000 - 0.5 for i in range(dims)]
     return value

@@ -147,20 +147,6 @@ both("set_intersect_minus", lambda d: f"SELECT id, {d.size(d.intersect('domains'
 both("set_minus_stage", lambda d: "SELECT e.uri FROM elements e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.doc_id AND l.quality = 1)")
 both("set_concept_merge", lambda d: "SELECT a.concept, b.concept IS NOT NULL AS known FROM (SELECT DISTINCT lower(p_type) AS concept FROM part) a LEFT JOIN (SELECT DISTINCT lower(p_type) AS concept FROM part WHERE p_partkey % 2 = 0) b ON a.concept = b.concept")
 
-# Maintenance: the state after each change.
-both("dml_insert", lambda d: "SELECT s, p, o FROM kg_triples UNION ALL SELECT 'nation/99', 'rdf:type', 'Nation' UNION ALL SELECT 'nation/99', 'rdfs:label', 'ATLANTIS'")
-both("dml_delete_where", lambda d: "SELECT t.s, t.p, t.o FROM kg_triples t LEFT JOIN (SELECT DISTINCT s FROM kg_triples WHERE p = 'rdf:type' AND o = 'Part') x ON x.s = t.s WHERE x.s IS NULL")
-both("dml_upsert", lambda d: "SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.score, CAST(o.quality AS DOUBLE)) AS score FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) o FULL OUTER JOIN (SELECT doc_id, CAST(doc_id AS DOUBLE) / 10 AS score FROM documents WHERE doc_id % 9 = 0) n ON n.doc_id = o.doc_id")
-both("dml_cascade_delete", lambda d: "WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1), gone_mentions AS (SELECT m.doc_id, m.entity FROM mentions m JOIN (SELECT DISTINCT doc_id FROM gone) g ON m.doc_id = g.doc_id) SELECT 'document' AS kind, CAST(count(*) AS BIGINT) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id) UNION ALL SELECT 'mention', count(*) FROM mentions m WHERE NOT EXISTS (SELECT 1 FROM gone_mentions g WHERE g.doc_id = m.doc_id AND g.entity = m.entity)")
-both("dml_mark", lambda d: "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS processed FROM documents")
-both("dml_prune_edges", lambda d: "SELECT e.src, e.dst, e.type FROM kg_edges e LEFT JOIN (SELECT dst FROM kg_edges GROUP BY dst HAVING count(*) > 100) h ON e.dst = h.dst WHERE h.dst IS NULL")
-both("dml_phantoms", lambda d: "SELECT t.s, t.p, t.o FROM kg_triples t JOIN (SELECT DISTINCT s FROM kg_triples WHERE p <> 'rdf:type' AND p <> 'rdfs:label') x ON x.s = t.s")
-both("dml_expire_sessions", lambda d: "SELECT v.view, v.session FROM nav_views v JOIN (SELECT session FROM nav_views GROUP BY session HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00') s ON v.session = s.session")
-both("dml_clear_drop_copy", lambda d: "SELECT 'copy' AS graph, CAST(count(*) AS BIGINT) AS n FROM kg_triples UNION ALL SELECT 'cleared', count(*) FROM kg_triples WHERE 1 = 0")
-both("dml_purge_bad_vectors", lambda d: f"SELECT vec_id, label FROM vectors WHERE {d.size('v')} = 64")
-both("dml_forget", lambda d: f"SELECT id, CASE WHEN {d.has('domains', "'project:2'")} THEN importance * 0.1 ELSE importance END AS relevance FROM memories")
-both("dml_switch_domain", lambda d: "SELECT session, view, pan AS old_pan, CASE WHEN pan = 'domain:1' THEN 'domain:3' ELSE pan END AS new_pan, pan = 'domain:1' AS faded FROM nav_views WHERE zoom = 'entity'")
-
 # External-knowledge shapes, over the derived graph.
 both("wd_concept_discovery", lambda d: "SELECT uri, max(match) AS match FROM (SELECT uri, 3 AS match FROM kg_nodes WHERE lower(label) LIKE '%nation_1%' UNION ALL SELECT e.src, 2 FROM kg_edges e JOIN kg_nodes n ON e.dst = n.uri WHERE lower(n.label) LIKE '%asia%' UNION ALL SELECT uri, 1 FROM kg_nodes WHERE lower(type) LIKE '%reg%') m GROUP BY uri")
 both("wd_entity_properties", lambda d: "SELECT t.p AS property, t.o AS value, CASE WHEN n.uri IS NULL THEN 'literal' ELSE 'uri' END AS value_type, n.label AS value_label FROM kg_triples t LEFT JOIN kg_nodes n ON n.uri = t.o WHERE t.s = 'supplier/3'")

@@ -42,3 +42,17 @@ frame("sim_links", lambda spark, sf: vectors.links(view(spark, sf, "vectors"), k
 both("html_source", lambda d: f"SELECT page_id, {d.length(d.rx_replace(d.rx_replace(d.rx_replace('html', '(?is)<(script|style)[^>]*>.*?</(script|style)>', ''), '<[^>]*>', ' '), '[ \\n\\t]+', ' '))} AS chars FROM pages")
 both("export_ntriples", lambda d: "SELECT concat('<', s, '> <', p, '> ', CASE WHEN p = 'rdfs:label' THEN concat(chr(34), o, chr(34)) ELSE concat('<', o, '>') END, ' .') AS line FROM kg_triples")
 both("export_graph_api", lambda d: "SELECT s, p, o FROM kg_triples WHERE p <> 'suppliedBy' ORDER BY s, p, o LIMIT 500")
+
+
+def _hash31(spark, sf):
+    """Rolling 31-hash of labels over 32 bits, its size and sign aside in base 36."""
+    units = F.filter(F.split("label", ""), lambda c: c != "")
+    whole = F.aggregate(F.transform(units, F.ascii), F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (1 << 32))
+    signed = F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole)
+    return view(spark, sf, "SELECT uri, label FROM kg_nodes").select("uri", signed.alias("h")).select("uri", "h", F.lower(F.conv(F.abs("h").cast("string"), 10, 36)).alias("name"))
+
+
+frame(
+    "str_hash31", _hash31,
+    lambda d: "SELECT uri, h, lower(to_base(abs(h), 36)) AS name FROM (SELECT uri, CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS h FROM (SELECT uri, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(label, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS w FROM kg_nodes) x) y",
+)

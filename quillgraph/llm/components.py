@@ -9,25 +9,29 @@ from .tables import done, settled, small
 
 #: Labels up to this number are sent to all tasks; more are shuffled.
 BROADCAST_ROWS = 200_000
+#: Labels of labels that a round looks up.
+JUMPS = 2
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every id that ``links`` (a, b) name.
 
-    Each round takes the smallest label among neighbours, then the label of that label; rounds are few as paths halve.
+    Each round takes the smallest label among neighbours, then the label of that label, and its label; so rounds are few.
     """
     edges = settled(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     label = settled(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    rows = label.count()
     while True:
-        sent = small(label, BROADCAST_ROWS)
+        sent = F.broadcast(label) if rows <= BROADCAST_ROWS else label
         far = edges.join(sent.toDF("b", "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        near = far.join(sent, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = sent.toDF("component", "next")
-        new = settled(near.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
+        new = far.join(sent, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        for _ in range(JUMPS):
+            new = new.join(sent.toDF("component", "next"), "component", "left").select("id", "old", F.least("component", F.coalesce("next", "component")).alias("component"))
+        new = settled(new)
         done(label)
         label = new.select("id", "component")
         label.settled_at = new.settled_at
-        if new.where("old <> component").isEmpty():
+        if not new.agg(F.count_if(F.col("old") != F.col("component"))).first()[0]:
             done(edges)
             return label
 

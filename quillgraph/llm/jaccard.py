@@ -390,7 +390,6 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     some = single.join(small(open_sets.withColumnRenamed("id", "doc_id"), BROADCAST_ROWS), "doc_id", "left_semi")
     second, still_open = _round(some, fine, finest_keys, k, threshold, light)
     candidates = settled(first.union(second).distinct())
-    known.add(candidates.groupBy("b").agg(F.min("a").alias("a")))  # each set with its smallest partner
     known.add(candidates)
     done(first, second, candidates, open_sets)
 

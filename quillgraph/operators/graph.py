@@ -147,25 +147,58 @@ def modularity(edges: DataFrame, membership: DataFrame, *, gamma: float = 1.0) -
     return parts.agg(F.sum(F.coalesce("inner", F.lit(0.0)) / F.col("whole") - gamma * (F.col("degree") / (2 * F.col("whole"))) ** 2).alias("q"))
 
 
-def communities(edges: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """node, community: label propagation by weight. Half of the nodes, by a hash, move in each round, so labels settle;
-    ties go to the smaller label, and a node keeps its label unless another is strictly heavier."""
-    steps = settled(transitions(edges).select("a", "b", "p"))
-    label = settled(steps.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community")))
+def _moved(g: DataFrame, gamma: float, rounds: int) -> DataFrame:
+    """node, c: labels after moves by modularity gain. ``g``: a, b, w in both directions, loops once with twice their weight.
+
+    Half of the nodes, another half each time, may move in a round, so that neighbours don't swap labels for ever.
+    """
+    degree = settled(g.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    whole = degree.agg(F.sum("k")).first()[0] or 1.0
+    ties = settled(g.where("a <> b"))
+    label = settled(degree.select("node", F.col("node").alias("c"), "k"))
     for r in range(rounds):
-        votes = steps.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("p").alias("w"))
-        best = votes.groupBy("node").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "c")).alias("best"))
-        own = votes.join(label, "node").where("c = community").select("node", F.col("w").alias("own"))
-        turn = F.pmod(F.xxhash64(F.col("node")), F.lit(2)) == r % 2
-        new = settled(
-            label.join(best, "node").join(own, "node", "left")
-            .select("node", F.col("community").alias("old"), F.when(turn & (-F.col("best.w") > F.round(F.coalesce("own", F.lit(0.0)), 9)), F.col("best.c")).otherwise(F.col("community")).alias("community"))
-        )
-        moved = new.where("old <> community").limit(1).count()
-        label = new.select("node", "community")
-        if not moved and r % 2:
+        total = label.groupBy("c").agg(F.sum("k").alias("total"))
+        links = ties.join(label.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
+        here = label.select("node", F.col("c").alias("own"), "k")
+        asked = links.unionByName(here.select("node", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
+        rest = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+        gains = asked.join(here, "node").join(total, "c").select("node", "c", "own", "k", F.round(F.col("w") - gamma * F.col("k") * rest / whole, 9).alias("gain"))
+        best = gains.groupBy("node").agg(F.first("k").alias("k"), F.first("own").alias("own"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))
+        turn, wants = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0, -F.col("best.loss") > F.col("stay")
+        new = settled(best.select("node", F.when(turn & wants, F.col("best.c")).otherwise(F.col("own")).alias("c"), "k", wants.alias("wants")))
+        label = new.select("node", "c", "k")
+        if new.where("wants").isEmpty():
+            break
+    return label.select("node", "c")
+
+
+def communities(edges: DataFrame, *, gamma: float = 1.0, levels: int = 5, rounds: int = 16) -> DataFrame:
+    """node, community (its smallest node): nodes move by modularity gain, communities that fall apart are split into
+    connected parts, parts become the nodes of a smaller graph, and so on while modularity rises.
+
+    Ties go to the smaller label. ``levels`` and ``rounds`` bound the work; parallel edges count with the sum of weights.
+    """
+    one = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    g = settled(one.unionAll(one.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    member = settled(g.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community")))
+    quality = None
+    for _ in range(levels):
+        label = settled(_moved(g, gamma, rounds))
+        inside = g.where("a <> b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca = cb")
+        part = components(inside.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        part = settled(label.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+        smaller = settled(g.join(part.toDF("a", "pa"), "a").join(part.toDF("b", "pb"), "b").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w")))
+        row = smaller.groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))).alias("inner")).agg(F.sum("k").alias("whole"), F.sum("inner").alias("inner"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
+        if not row.whole:
+            break
+        now = (row.inner or 0.0) / row.whole - gamma * row.squares / row.whole**2
+        if quality is not None and now <= quality + 1e-9:
             break
-    return label
+        quality = now
+        member = settled(member.join(part.toDF("community", "part"), "community").select("node", F.col("part").alias("community")))
+        g = smaller
+    smallest = member.groupBy("community").agg(F.min("node").alias("name"))
+    return member.join(smallest, "community").select("node", F.col("name").alias("community"))
 
 
 def traverse(edges: DataFrame, start: list, *, depth: int = 2, direction: str = "both", types: list | None = None) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder of this machine, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster it must be one that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

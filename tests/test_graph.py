@@ -75,6 +75,31 @@ def test_traverse_and_rank(spark, edges):
     assert graph.personalised_pagerank(edges, ["nobody"]).count() == 0
 
 
+def test_communities_by_modularity_gain(spark):
+    """A ring of cliques, and a graph small enough to try every partition."""
+    ring = [(10 * c + i, 10 * c + j, "t", 1.0) for c in range(6) for i in range(5) for j in range(i)] + [(10 * c, 10 * ((c + 1) % 6) + 1, "t", 1.0) for c in range(6)]
+    e = spark.createDataFrame(ring, "src long, dst long, type string, weight double")
+    found = {}
+    for r in graph.communities(e).collect():
+        found.setdefault(r.community, set()).add(r.node // 10)
+    assert len(found) == 6 and all(len(c) == 1 for c in found.values())
+    small = [(1, 2, 3.0), (2, 3, 2.0), (1, 3, 2.0), (3, 4, 1.0), (4, 5, 3.0), (5, 6, 2.0), (4, 6, 2.0), (6, 7, 1.0)]
+    e = spark.createDataFrame([(a, b, "t", w) for a, b, w in small], "src long, dst long, type string, weight double")
+    whole = sum(w for *_, w in small)
+
+    def q(label):
+        degree = {}
+        for a, b, w in small:
+            for n in (a, b):
+                degree[label[n]] = degree.get(label[n], 0) + w
+        return sum(w for a, b, w in small if label[a] == label[b]) / whole - sum((d / (2 * whole)) ** 2 for d in degree.values())
+
+    best = max(q(dict(zip(range(1, 8), p))) for p in itertools.product(range(3), repeat=7))
+    got = {r.node: r.community for r in graph.communities(e).collect()}
+    assert q(got) >= best - 0.03 and len(got) == 7
+    assert graph.communities(e.limit(0)).count() == 0
+
+
 def test_communities_and_modularity(spark):
     cliques = [(f"{c}{i}", f"{c}{j}", "t", 1.0) for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", "t", 0.1)]
     e = spark.createDataFrame(cliques, "src string, dst string, type string, weight double")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .memory import lean
 
 #: Words of at most 64 characters whose tokens a task remembers.
 PIECE, SEGMENT, CACHE = 1024, 32_768, 150_000
@@ -299,15 +300,15 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     is_long = F.length("text") > segment
     long = (
         docs.where(is_long)
-        .mapInArrow(cut, "doc_id long, row string, i int, a long, b long, part string, open_start boolean, open_end boolean")
+        .mapInArrow(lean(cut), "doc_id long, row string, i int, a long, b long, part string, open_start boolean, open_end boolean")
         .repartition("row", "i")
-        .mapInArrow(encode_parts, "doc_id long, row string, i int, done string")
+        .mapInArrow(lean(encode_parts), "doc_id long, row string, i int, done string")
     )
     # Repeated rows give the same segments again: they are counted, joined once and then repeated.
     whole = (
         long.groupBy("doc_id", "row", "i").agg(F.first("done").alias("done"), F.count("*").alias("copies"))
         .groupBy("doc_id", "row").agg(F.collect_list(F.struct("i", "done")).alias("parts"), F.first("copies").alias("copies"))
         .select("doc_id", "parts", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
-        .mapInArrow(finish, schema)
+        .mapInArrow(lean(finish), schema)
     )
-    return docs.where(~is_long | F.col("text").isNull()).mapInArrow(short, schema).unionByName(whole)
+    return docs.where(~is_long | F.col("text").isNull()).mapInArrow(lean(short), schema).unionByName(whole)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .arrowtext import ALNUM_LOWER, Words, buffers, slices
+from .memory import lean
 from .tables import renamed, settled
 
 WINDOW = 10
@@ -194,7 +195,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
             marked = (_mark_batch(index, batch, text_col) for whole in batches for batch in slices(whole, text_col))
             yield from then(marked) if last else marked
 
-        out = (settled(out) if k else out).mapInArrow(run, then_schema if last else schema)
+        out = (settled(out) if k else out).mapInArrow(lean(run), then_schema if last else schema)
     return out
 
 

@@ -35,9 +35,10 @@ from ..shipping import ship
 from .arrowtext import SPACED_LOWER, Words, buffers, mix, shingle_sets, slices
 from .blobs import pack, ranges, unpack
 from .components import Groups
+from .memory import lean, lean_group
 from .tables import done, parts, settled, small
 
-K, LIGHT, FLUSH = 5, 8, 3_000_000
+K, LIGHT, FLUSH = 5, 8, 1_500_000
 BROADCAST_ROWS = 200_000
 #: Least hashes that leaders are sought by; bits of the parities that tell sets of one rare shingle apart.
 MINS, PARITY_BITS = 4, 1024
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                 columns = [[len(s) for s in sets], [set_hash(s) for s in sets], *filled, *([d[f] for d in bound] for f in (0, 1)), *(x.view(np.int64) for x in least_hashes(sets))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", *_SIGNATURE])
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _SIGNATURE))
+    return docs.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{c} long" for c in _SIGNATURE))
 
 
 def _short(g: np.ndarray) -> np.ndarray:
@@ -283,8 +284,8 @@ def _round(docs: DataFrame, member: DataFrame, sketch, k: int, threshold: int, l
     """
     n_parts = parts(docs.sparkSession)
     met = settled(
-        docs.mapInArrow(lambda batches: _deal(batches, k, light, n_parts, sketch), "part int, " + ", ".join(f"{n} binary" for n in _BLOB[1:]))
-        .groupBy("part").applyInArrow(lambda t: _meet(t, light), "pair boolean, a long, b long, many long")
+        docs.mapInArrow(lean(lambda batches: _deal(batches, k, light, n_parts, sketch)), "part int, " + ", ".join(f"{n} binary" for n in _BLOB[1:]))
+        .groupBy("part").applyInArrow(lean_group(lambda t: _meet(t, light)), "pair boolean, a long, b long, many long")
     )
     heavy = met.where("not pair").groupBy(F.col("a").alias("who")).agg(F.sum("many").alias("heavy"))
     member = member.withColumn("who", F.shiftleft("short", 1) + F.col("flag"))
@@ -317,7 +318,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFram
 
     b = shingles.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
     a = shingles.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
-    return pairs.join(b, "b").join(a, "a").select("ca", "cb", "sa", "sb").mapInArrow(run, "ca long, cb long")
+    return pairs.join(b, "b").join(a, "a").select("ca", "cb", "sa", "sb").mapInArrow(lean(run), "ca long, cb long")
 
 
 def _with_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -329,7 +330,7 @@ def _with_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(s, True) for s in _sets(batch, k)], pa.binary())], names=["id", "sh"])
 
     chosen = docs.join(small(ids.select(F.col("id").alias("doc_id")), BROADCAST_ROWS), "doc_id", "left_semi")
-    return settled(chosen.mapInArrow(run, "id long, sh binary").dropDuplicates())
+    return settled(chosen.mapInArrow(lean(run), "id long, sh binary").dropDuplicates())
 
 
 class _Sets(Groups):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .arrowtext import buffers, slices
+from .memory import lean
 
 FEATURES, CLUSTERS, SAMPLE_ROWS, MIN_COSINE = 4096, 4, 4000, 0.05
 OCTAVES, ENOUGH, MARGIN = 32, 20, 0.7
@@ -175,7 +176,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 packed = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["k", "counts", "lang"]).filter(pa.array(keep))
 
-    got = sorted((r.k, r.lang, bytes(r.counts)) for r in sample.mapInArrow(features, "k string, counts binary, lang string").collect())
+    got = sorted((r.k, r.lang, bytes(r.counts)) for r in sample.mapInArrow(lean(features), "k string, counts binary, lang string").collect())
     return fit_counts(np.stack([np.frombuffer(zlib.decompress(c), np.uint32) for _, _, c in got]), [x for _, x, _ in got], clusters) if got else None
 
 
@@ -203,4 +204,4 @@ def predict(docs: DataFrame, model: Centroids | None, *, text_col: str = "text",
                 added = [pa.array(lang, pa.string()), pa.array(cosine, pa.float64()), pa.array(~ok | (cosine < np.maximum(least, min_cosine)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

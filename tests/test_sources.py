@@ -5,7 +5,7 @@ import pytest
 
 from quillgraph.engine import Engine
 from quillgraph.operators import navigate, som
-from quillgraph.sources import files, lookup, ntriples
+from quillgraph.sources import files, lookup, ntriples, turtle
 from quillgraph.sources.store import Store
 
 
@@ -103,3 +103,29 @@ def test_streaming(spark, tmp_path):
         query.awaitTermination(120)
         n = spark.table(name).count()
         assert n == want or name == "s" and n <= want
+
+
+def test_turtle(spark, tmp_path):
+    text = """@prefix ex: <http://e/> . PREFIX foaf: <http://f/>
+@base <http://b/dir/> .
+ex:a a ex:Person ; foaf:name "Ann \\"A.\\""@en , 'x' ; ex:age 5, 1.5, 2e3 ; ex:ok true . # a comment
+<rel> ex:knows [ foaf:name \"\"\"two
+lines\"\"\" ; ex:at _:z ] , _:z .
+[] ex:p "1"^^ex:int .
+"""
+    (tmp_path / "one.ttl").write_text(text)
+    (tmp_path / "two.ttl").write_text("<http://e/a> <http://e/p> _:z .")
+    got = {(r.s.split(".")[-1] if r.s.startswith("_:") else r.s, r.p, r.o.split(".")[-1] if r.o_type == "blank" else r.o, r.o_type, r.lang, r.datatype) for r in turtle.read(spark, str(tmp_path)).collect()}
+    xsd, e, f = "http://www.w3.org/2001/XMLSchema#", "http://e/", "http://f/"
+    assert got == {
+        (e + "a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", e + "Person", "uri", None, None), (e + "a", f + "name", 'Ann "A."', "literal", "en", None), (e + "a", f + "name", "x", "literal", None, None),
+        (e + "a", e + "age", "5", "literal", None, xsd + "integer"), (e + "a", e + "age", "1.5", "literal", None, xsd + "decimal"), (e + "a", e + "age", "2e3", "literal", None, xsd + "double"), (e + "a", e + "ok", "true", "literal", None, xsd + "boolean"),
+        ("b1", f + "name", "two\nlines", "literal", None, None), ("b1", e + "at", "z", "blank", None, None), ("http://b/dir/rel", e + "knows", "b1", "blank", None, None), ("http://b/dir/rel", e + "knows", "z", "blank", None, None),
+        ("b2", e + "p", "1", "literal", None, e + "int"), (e + "a", e + "p", "z", "blank", None, None),
+    }
+    blanks = {r.o for r in turtle.read(spark, str(tmp_path)).where("o_type = 'blank' and o like '%z'").collect()}
+    assert len(blanks) == 2  # blank nodes of different files are different
+    ntriples.write(spark.createDataFrame([("http://e/a", "http://e/p", "v\n", "literal")], "s string, p string, o string, o_type string"), str(tmp_path / "out"))
+    assert [tuple(r)[:3] for r in turtle.read(spark, str(tmp_path / "out")).collect()] == [("http://e/a", "http://e/p", "v\n")]
+    with pytest.raises(ValueError):
+        list(turtle.triples("<a> <b> (1 2) ."))

@@ -8,7 +8,8 @@ fraction of its words is covered or its longest repeat is too long. Covered word
 too, of which the base rule allows 50 %, so ``max_covered`` decides only well below that.
 
 Nulls, empty texts and texts without words count zero everywhere; they have under 50 words and so fail the base rule.
-Rows are independent: repeated rows and extra columns do no harm.
+Rows are independent: repeated rows do no harm, no ties arise, an empty table gives an empty one, and of extra columns,
+whatever their names, none is read. Memory follows runs of 2 MB of text, or the longest text if that is longer.
 """
 
 from __future__ import annotations

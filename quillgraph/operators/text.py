@@ -14,6 +14,7 @@ from ..shipping import ship
 
 STRATEGIES: dict[str, Callable[..., list[tuple[int, int]]]] = {
     "fixed": chunking.fixed, "semantic": chunking.semantic, "adaptive": chunking.adaptive, "hierarchical": chunking.hierarchical, "token_aware": chunking.token_aware, "windows": chunking.windows,
+    "balanced": lambda text, size=1000: chunking.balance(chunking.semantic(text, size), size),
 }
 
 

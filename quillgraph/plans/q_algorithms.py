@@ -94,3 +94,19 @@ frame("som_topology", lambda spark, sf: spark.createDataFrame(GRID.neighbours(),
 frame("som_clusters", lambda spark, sf: spark.createDataFrame([(k, c) for k, g in enumerate(som.clusters(_trained(spark, sf)[0], GRID, similarity=0.2)) for c in g], "cluster int, cell int"))
 frame("som_cluster_stats", lambda spark, sf: spark.createDataFrame([(k, c) for k, g in enumerate(som.clusters(_trained(spark, sf)[0], GRID, similarity=0.2)) for c in g], "cluster int, cell int").groupBy("cluster").count().agg(F.count("*").alias("n"), F.avg("count").alias("mean"), F.max("count").alias("largest"), F.min("count").alias("smallest")))
 frame("som_feature_stats", lambda spark, sf: spark.createDataFrame([(i, float(v)) for i, v in enumerate(som.u_matrix(_trained(spark, sf)[0], GRID))], "cell int, distance double"))
+
+
+def _targeted(spark, sf):
+    """Chosen metrics of chosen nodes, a row for each: degree centrality and component of the suppliers."""
+    edges = view(spark, sf, "kg_edges")
+    degree = graph.degree_centrality(edges).where("node like 'supplier/%'").select("node", F.lit("degree").alias("metric"), F.round("centrality", 6).alias("value"), F.lit(None).cast("string").alias("label"))
+    return degree.unionByName(graph.components(edges).where("node like 'supplier/%'").select("node", F.lit("component").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("component").alias("label")))
+
+
+frame(
+    "graph_targeted_analysis", _targeted,
+    lambda d: _labels_sql(
+        "kg_edges", LABEL_ROUNDS,
+        "SELECT node, 'component' AS metric, CAST(NULL AS DOUBLE) AS value, label FROM LAST WHERE node LIKE 'supplier/%' UNION ALL SELECT a, 'degree', round(CAST(count(*) AS DOUBLE) / (max(n) - 1), 6), NULL FROM two, (SELECT count(DISTINCT a) AS n FROM two) c WHERE a LIKE 'supplier/%' GROUP BY a",
+    ),
+)

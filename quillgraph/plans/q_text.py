@@ -56,3 +56,5 @@ frame(
     "str_hash31", _hash31,
     lambda d: "SELECT uri, h, lower(to_base(abs(h), 36)) AS name FROM (SELECT uri, CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS h FROM (SELECT uri, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(label, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS w FROM kg_nodes) x) y",
 )
+
+frame("chunk_balance", lambda spark, sf: text.chunk(view(spark, sf, "documents"), "balanced").select("id", "chunk", "start", "size", "hash"))

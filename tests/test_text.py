@@ -60,3 +60,9 @@ def test_vector_links(spark):
         vectors.BLOCK = old
     top = vectors.nearest(df, [float(x) for x in v[0]], 5, types=[0])
     assert top.first().vec_id == 0 and {r.label for r in top.collect()} == {0}
+
+
+def test_balanced_chunks_cover_the_text(spark):
+    body = "One sentence here. " * 400 + "\n\n" + "word " * 900
+    rows = text.chunk(spark.createDataFrame([(1, body), (2, None), (3, "")], "doc_id long, text string"), "balanced").orderBy("chunk").collect()
+    assert "".join(r.content for r in rows) == body and {r.id for r in rows} == {1} and all(r["size"] <= 1200 for r in rows)

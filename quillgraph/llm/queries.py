@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_main, interpolation, jaccard, language, lines, repetition, sharding, urls
+from . import bpe, decontaminate, html_main, importance, interpolation, jaccard, language, lines, repetition, sharding, substrings, urls, whitening
 from .tables import table
 
 
@@ -67,6 +67,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).drop("text")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.long_form(*whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op2_decontaminate": op2_decontaminate,
@@ -78,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filters": urls.SQL, "op10_sharding": sharding.sql()}
+ORACLE_SQL: dict[str, str] = {"op7_url_filters": urls.SQL, "op10_sharding": sharding.sql(), "op11_substring_dedup": substrings.sql(), "op13_importance_resampling": importance.sql()}

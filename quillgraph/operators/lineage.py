@@ -23,4 +23,15 @@ def settled(df: DataFrame) -> DataFrame:
     """The frame as a written table: later plans start from files that every executor can read."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Deletes the files of settled frames that no later plan reads."""
+    for df in frames:
+        path = getattr(df, "settled_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

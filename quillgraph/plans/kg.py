@@ -31,6 +31,21 @@ VIEWS = {
     "kg_adj": lambda d: """SELECT src AS a, dst AS b FROM kg_edges WHERE src <> dst UNION SELECT dst, src FROM kg_edges WHERE src <> dst""",
     "kg_triples": lambda d: """
         SELECT uri AS s, 'rdf:type' AS p, type AS o FROM kg_nodes UNION ALL SELECT uri, 'rdfs:label', label FROM kg_nodes UNION ALL SELECT src, type, dst FROM kg_edges""",
+    # Everything as triples: the graph, text elements with what is known of them, and interactions.
+    "facts": lambda d: f"""
+        SELECT s, p, o FROM kg_triples
+        UNION ALL SELECT uri, 'rdf:type', type FROM elements
+        UNION ALL SELECT uri, 'rdfs:label', label FROM elements WHERE label IS NOT NULL
+        UNION ALL SELECT uri, 'dc:source', source FROM elements WHERE source IS NOT NULL
+        UNION ALL SELECT uri, 'dc:language', lang FROM elements WHERE lang IS NOT NULL
+        UNION ALL SELECT uri, 'dc:created', concat('', {d.seconds('created')}) FROM elements
+        UNION ALL SELECT uri, 'dc:modified', concat('', {d.seconds('modified')}) FROM elements WHERE modified IS NOT NULL
+        UNION ALL SELECT uri, 'quill:accessCount', concat('', access_count) FROM elements WHERE access_count IS NOT NULL
+        UNION ALL SELECT uri, 'quill:quality', concat('', quality) FROM elements WHERE quality IS NOT NULL
+        UNION ALL SELECT concat('doc/', doc_id), 'quill:mentions', entity FROM mentions
+        UNION ALL SELECT concat('interaction/', id), 'rdf:type', 'Interaction' FROM interactions
+        UNION ALL SELECT concat('interaction/', id), 'quill:partOf', concat('conversation/', conv_id) FROM interactions
+        UNION ALL SELECT concat('interaction/', id), 'quill:concept', c FROM interactions{d.explode('concepts', 'c')}""",
     # Text elements with the optional properties that ranking looks at.
     "elements": lambda d: f"""
         SELECT concat('doc/', d.doc_id) AS uri, d.doc_id, {d.at(d.array("'Entity'", "'Unit'", "'TextElement'", "'CommunityElement'", "'Attribute'"), 'CAST(d.doc_id % 5 + 1 AS INT)')} AS type,

@@ -43,4 +43,4 @@ def frame(name: str, build: Callable[[SparkSession, str], DataFrame], sql: Calla
         ORACLE_SQL[name] = kg.statement(sql(_DUCK), _DUCK, None)
 
 
-from . import q_algorithms, q_relational, q_scalars, q_search, q_text, q_writes  # noqa: E402, F401
+from . import q_algorithms, q_patterns, q_relational, q_scalars, q_search, q_text, q_writes  # noqa: E402, F401

@@ -6,14 +6,14 @@ cost one round at most. Nothing is collected but counts and convergence figures.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .lineage import settled
+from .closure import closure
+from .lineage import dropped, settled
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -39,9 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = label.join(far, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         jump = label.toDF("component", "next")
         new = settled(near.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
-        if not new.where("old <> component").limit(1).count():
+        dropped(label)
+        if new.where("old <> component").isEmpty():
+            dropped(pairs)
             return new.select("node", "component")
         label = new.select("node", "component")
+        label.settled_at = new.settled_at
 
 
 def personalised_pagerank(edges: DataFrame, entries: list, *, alpha: float = 0.15, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
@@ -62,79 +65,152 @@ def personalised_pagerank(edges: DataFrame, entries: list, *, alpha: float = 0.1
         moved = score.join(steps, score.node == steps.a).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("in"))
         new = settled(score.join(moved, "node", "left").select("node", "home", F.col("score").alias("old"), (alpha * F.col("home") + (1 - alpha) * F.coalesce("in", F.lit(0.0))).alias("score")))
         moved_most = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] if tolerance is not None else None
+        dropped(score)
         score = new.select("node", "home", "score")
+        score.settled_at = new.settled_at
         if moved_most is not None and moved_most < tolerance:
             break
+    dropped(steps)
     return score.select("node", "score")
 
 
+def _two_core(pairs: DataFrame) -> DataFrame:
+    """node: those on cycles or between cycles, by rake and compress.
+
+    A round takes all leaves away and puts one edge in place of some nodes of degree two (no two of them neighbours), so
+    chains shrink by a share of their nodes each round, however long they are; what is left in the end, with the nodes
+    on the chains that its edges stand for, is the 2-core. ``pairs``: a, b in both directions.
+    """
+    edges = settled(pairs.where("a < b").select(F.concat_ws("\u0001", "a", "b").alias("e"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
+    stands: list[DataFrame] = []
+    while True:
+        ends = edges.select("e", F.explode(F.array("a", "b")).alias("node"))
+        degree = settled(ends.groupBy("node").agg(F.count("*").alias("d"), F.min("e").alias("e1"), F.max("e").alias("e2")))
+        leaf = degree.where("d = 1").select(F.col("e1").alias("e")).distinct()
+        if leaf.isEmpty():
+            dropped(degree)
+            break
+        raked = edges.join(leaf, "e", "left_anti")
+        # A node of degree two goes if its two edges stay and no neighbour of degree two has a smaller hash.
+        two = degree.where("d = 2 and e1 <> e2").select("node", "e1", "e2", F.xxhash64("node", F.lit(len(stands))).alias("h"))
+        beside = raked.join(two.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left").join(two.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left")
+        beside = settled(beside.select("e", "a", "b", F.coalesce("ha", F.lit(2**63 - 1)).alias("ha"), F.coalesce("hb", F.lit(2**63 - 1)).alias("hb")))
+        wins = beside.select("e", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("far"), (F.struct("ha", "a") < F.struct(F.col("hb").alias("ha"), F.col("b").alias("a"))).alias("first")), F.struct(F.col("b").alias("node"), F.col("a").alias("far"), (F.struct(F.col("hb").alias("ha"), F.col("b").alias("a")) < F.struct("ha", "a")).alias("first")))).alias("x")).select("e", "x.*")
+        gone = wins.join(two.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("d"), F.every("first").alias("first"), F.min("e").alias("e1"), F.max("e").alias("e2"), F.min_by("far", "e").alias("a"), F.max_by("far", "e").alias("b")).where("d = 2 and first and e1 <> e2")
+        gone = settled(gone.select("node", "e1", "e2", F.concat(F.lit("\u0002"), F.col("node"), F.lit(f"\u0002{len(stands)}")).alias("e"), "a", "b"))
+        stands.append(gone)
+        old = gone.select(F.explode(F.array("e1", "e2")).alias("e"))
+        new = settled(raked.join(old, "e", "left_anti").unionByName(gone.select("e", "a", "b")))
+        dropped(edges, degree, beside)
+        edges = new
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    if stands:
+        all_gone = settled(reduce(DataFrame.unionByName, stands))
+        dropped(*stands)
+        stands = [all_gone]
+        inside = closure(all_gone.select(F.col("e").alias("a"), F.explode(F.array("e1", "e2")).alias("b")), starts=edges.select(F.col("e").alias("a")), least=0)
+        nodes = nodes.unionByName(all_gone.join(inside.select(F.col("b").alias("e")).distinct(), "e", "left_semi").select("node"))
+    out = settled(nodes.distinct())
+    dropped(edges, *stands)
+    return out
+
+
 def k_core(edges: DataFrame) -> DataFrame:
-    """node, core: peeling; in a round all nodes of degree k or less go together, k never falls."""
+    """node, core: the largest k such that the node is in a part where all have k neighbours or more.
+
+    Trees that hang on the graph have 1; the rest starts from its degrees, and each node takes the h-index of what its
+    neighbours have (the largest h such that h of them have h or more) until nothing changes. Only neighbours of nodes
+    that changed are asked again, and a node's neighbours count by value, so a hub is as many rows as there are values.
+    """
     pairs = settled(undirected(edges))
-    out, k = None, 0
+    kind = pairs.schema["a"].dataType
+    inside = settled(_two_core(pairs).select(F.col("node").cast(kind).alias("node")))
+    kept = settled(pairs.join(inside.toDF("a"), "a", "left_semi").join(inside.toDF("b"), "b", "left_semi"))
+    core = settled(kept.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("core")))
+    asked = core.select("node")
     while True:
-        degree = settled(pairs.groupBy(F.col("a").alias("node")).count())
-        least = degree.agg(F.min("count")).first()[0]
-        if least is None:
+        near = kept.join(asked.toDF("a"), "a", "left_semi").join(core.toDF("b", "theirs"), "b").join(core.toDF("a", "own"), "a")
+        counts = near.groupBy(F.col("a").alias("node"), "own", F.least("own", "theirs").alias("v")).agg(F.count("*").alias("n"))
+        reach = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("v")))
+        index = counts.select("node", "own", F.least("v", reach).alias("h")).groupBy("node", "own").agg(F.max("h").alias("core"))
+        changed = settled(index.where("core < own").select("node", "core"))
+        if changed.isEmpty():
+            dropped(changed)
             break
-        k = max(k, least)
-        gone = degree.where(F.col("count") <= k).select("node")
-        step = gone.select("node", F.lit(k).cast("long").alias("core"))
-        out = step if out is None else out.unionByName(step)
-        left = settled(pairs.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b"))
-        # Nodes whose last neighbours went are left with degree 0 and go at the same k.
-        alone = degree.join(gone, "node", "left_anti").join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(k).cast("long").alias("core"))
-        out = settled(out.unionByName(alone))
-        pairs = left
-    return out if out is not None else pairs.select(F.col("a").alias("node"), F.lit(0).cast("long").alias("core"))
+        new = settled(core.join(changed.withColumnRenamed("core", "new"), "node", "left").select("node", F.coalesce("new", "core").alias("core")))
+        asked = settled(kept.join(changed.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct())
+        dropped(core, changed)
+        core = new
+    nodes = pairs.select(F.col("a").alias("node")).distinct()
+    out = settled(nodes.join(core, "node", "left").select("node", F.coalesce("core", F.lit(1)).cast("long").alias("core")))
+    dropped(pairs, inside, kept, core)
+    return out
 
 
-#: Edges of a graph that may be sent to every task for per-source searches.
-LOCAL_EDGES = 200_000
+#: Sources of betweenness that one pass searches from.
+SOURCES = 256
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+def sources_for(nodes: int, error: float, failure: float = 0.05) -> int:
+    """Sources after which, by Hoeffding's bound, no score is off by more than ``error`` (of scores in 0 to 1), but with that chance."""
+    return math.ceil((math.log(max(nodes, 2)) + math.log(2 / failure)) / (2 * error**2))
+
+
+def betweenness(edges: DataFrame, *, error: float | None = None, at_once: int = SOURCES) -> DataFrame:
     """node, score: shortest-path betweenness, unweighted, over ordered pairs times 2 / ((n - 1)(n - 2)).
 
-    Each source is searched on its own, so sources are dealt to tasks and only the adjacency goes to all of them; that
-    is refused beyond LOCAL_EDGES edges, where exact betweenness is out of reach anyway.
+    Searches go level by level from ``at_once`` sources together: a level is a table (source, node, shortest paths), and
+    the next one is a join with the edges, less the two levels before. Then shares go back from the last level to the
+    first by the same joins. With ``error``, only as many sources are searched as bound every node's error by that much
+    of 2 (see ``sources_for``), in the order of a hash of their names; without, all are.
     """
     pairs = settled(undirected(edges))
-    if pairs.count() > 2 * LOCAL_EDGES:
-        raise ValueError("exact betweenness is meant for graphs of at most LOCAL_EDGES edges")
-    spark = edges.sparkSession
-    ship(spark)
-    adjacency: dict = {}
-    for r in pairs.collect():
-        adjacency.setdefault(r.a, []).append(r.b)
-    shared = spark.sparkContext.broadcast(adjacency)
-    nodes = pairs.select(F.col("a").alias("node")).distinct().repartition("node")
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, total = shared.value, {}
-        for frame in frames:
-            for source in frame["node"]:
-                distance, paths, order, back = {source: 0}, {source: 1}, [source], {}
-                for v in order:
-                    for w in near[v]:
-                        if w not in distance:
-                            distance[w] = distance[v] + 1
-                            paths[w] = 0
-                            order.append(w)
-                        if distance[w] == distance[v] + 1:
-                            paths[w] += paths[v]
-                            back.setdefault(w, []).append(v)
-                owed = dict.fromkeys(order, 0.0)
-                for w in reversed(order[1:]):
-                    for v in back[w]:
-                        owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                    total[w] = total.get(w, 0.0) + owed[w]
-        yield pd.DataFrame({"node": list(total), "part": list(total.values())})
-
-    n = len(adjacency)
+    nodes = settled(pairs.select(F.col("a").alias("node")).distinct())
+    n = nodes.count()
+    wanted = n if error is None else min(n, sources_for(n, error))
+    place = F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 13), 16, 10).cast("long")
+    rounds = max(1, -(-wanted // at_once))
+    if wanted == n:
+        chosen = settled(nodes.select("node", F.pmod(place, F.lit(rounds)).alias("round")))
+    else:
+        chosen = settled(nodes.orderBy(F.md5(F.col("node").cast("string"))).limit(wanted).select("node", F.pmod(place, F.lit(rounds)).alias("round")))
+    total = None
+    for r in range(rounds):
+        part = _owed(pairs, chosen.where(F.col("round") == r).select("node"))
+        if part is not None:
+            new = settled(part if total is None else total.unionByName(part).groupBy("node").agg(F.sum("owed").alias("owed")))
+            dropped(total)
+            total = new
     scale = 2.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = nodes.mapInPandas(search, f"node {nodes.schema['node'].dataType.simpleString()}, part double").groupBy("node").agg(F.sum("part").alias("part"))
-    return nodes.join(sums, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("score"))
+    if total is None:
+        return nodes.select("node", F.lit(0.0).alias("score"))
+    return nodes.join(total, "node", "left").select("node", (F.coalesce("owed", F.lit(0.0)) * scale * n / wanted).alias("score"))
+
+
+def _owed(pairs: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """node, owed: over these sources, the sum of shares of shortest paths that pass each other node."""
+    levels = [settled(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    steps = pairs.toDF("node", "next")
+    while True:
+        reached = levels[-1].join(steps, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        for before in levels[-2:]:
+            reached = reached.join(before.select("source", "node"), ["source", "node"], "left_anti")
+        level = settled(reached)
+        if level.isEmpty():
+            dropped(level)
+            break
+        levels.append(level)
+    owed = [settled(levels[-1].select("source", "node", "paths", F.lit(0.0).alias("owed")))]
+    for level in reversed(levels[1:-1]):
+        back = owed[-1].select("source", F.col("node").alias("next"), ((1 + F.col("owed")) / F.col("paths")).alias("share"))
+        shares = back.join(pairs.toDF("next", "node"), "next").groupBy("source", "node").agg(F.sum("share").alias("share"))
+        owed.append(settled(level.join(shares, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("owed"))))
+    if len(levels) == 1:
+        dropped(*levels, *owed)
+        return None
+    out = settled(reduce(DataFrame.unionByName, [o.select("node", "owed") for o in owed]).groupBy("node").agg(F.sum("owed").alias("owed")))
+    dropped(*levels, *owed)
+    return out
 
 
 def modularity(edges: DataFrame, membership: DataFrame, *, gamma: float = 1.0) -> DataFrame:
@@ -232,10 +308,10 @@ def clustering(edges: DataFrame) -> DataFrame:
     return degree.join(closed, "node", "left").select("node", (2 * F.coalesce("triangles", F.lit(0)) / (F.col("count") * (F.col("count") - 1))).alias("coefficient"))
 
 
-def importance(edges: DataFrame) -> DataFrame:
-    """node, importance: 0.4 degree + 0.4 core + 0.2 betweenness, each over its maximum."""
+def importance(edges: DataFrame, *, error: float | None = None) -> DataFrame:
+    """node, importance: 0.4 degree + 0.4 core + 0.2 betweenness (to ``error``), each over its maximum."""
     d = degree_centrality(edges)
-    parts = d.join(k_core(edges), "node").join(betweenness(edges), "node")
+    parts = settled(d.join(k_core(edges), "node").join(betweenness(edges, error=error), "node"))
     top = parts.agg(F.max("centrality").alias("d"), F.max("core").alias("c"), F.max("score").alias("b"))
     share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
     return parts.crossJoin(F.broadcast(top)).select("node", (0.4 * share("centrality", "d") + 0.4 * share("core", "c") + 0.2 * share("score", "b")).alias("importance"))

@@ -50,7 +50,58 @@ def test_k_core(edges):
     assert {r.node: r.core for r in graph.k_core(edges).collect()} == core
 
 
+def peeled(pairs):
+    """Core numbers by the definition: whatever has fewer than k neighbours goes, for k = 1, 2, ..."""
+    left, out, k = {v: {w for e in pairs if v in e for w in e if w != v} for v in {x for e in pairs for x in e}}, {}, 1
+    while left:
+        low = [v for v, w in left.items() if len(w) < k]
+        if not low:
+            out |= dict.fromkeys(left, k)
+            k += 1
+        for v in low:
+            for w in left.pop(v):
+                if w in left:
+                    left[w].discard(v)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_k_core_of_chains_trees_and_random_graphs(spark, seed, monkeypatch):
+    rnd = random.Random(seed)
+    pairs = {tuple(sorted(rnd.sample(range(40), 2))) for _ in range((30, 60, 90, 45)[seed])}
+    pairs |= {(100 + k, 101 + k) for k in range(60)} | {(100, 3), (160, 7)} if seed % 2 else {(100 + k, 101 + k) for k in range(60)}  # a chain between nodes, or on its own
+    pairs |= {(200, 201 + k) for k in range(12)} | {(300, 301), (301, 302), (300, 302), (302, 303)}
+    rounds = []
+    real = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: rounds.append(1) or real(df))
+    got = {r.node: r.core for r in graph.k_core(spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "src int, dst int, weight double")).collect()}
+    assert got == peeled(pairs)
+    assert len(rounds) < 90  # four tables a round; a chain of 60 peeled from its ends would take 30 rounds
+
+
+def test_k_core_of_nothing(spark):
+    e = spark.createDataFrame([("a", "a", 1.0)], "src string, dst string, weight double")
+    assert graph.k_core(e).count() == 0 and graph.betweenness(e).count() == 0
+
+
 def test_betweenness(edges):
+    check_betweenness(edges, {})
+    check_betweenness(edges, {"at_once": 3})
+    check_betweenness(edges, {"error": 1e-4})  # all sources, as the bound asks for more than there are
+
+
+def test_sampled_betweenness_keeps_its_bound(spark):
+    rnd = random.Random(9)
+    ring = [(k, (k + d) % 60, 1.0) for k in range(60) for d in (1, 2)] + [(60, rnd.randrange(60), 1.0) for _ in range(9)]
+    e = spark.createDataFrame(ring, "src int, dst int, weight double")
+    exact = {r.node: r.score for r in graph.betweenness(e).collect()}
+    near = {r.node: r.score for r in graph.betweenness(e, error=0.4).collect()}
+    assert graph.sources_for(61, 0.4) < 61 and set(near) == set(exact)
+    assert max(abs(near[v] - exact[v]) for v in exact) <= 2 * 0.4
+    assert near != exact
+
+
+def check_betweenness(edges, how):
     adj = near(edges)
     n, want = len(adj), dict.fromkeys(adj, 0.0)
     for s, t in itertools.permutations(adj, 2):
@@ -62,7 +113,7 @@ def test_betweenness(edges):
             for p in paths:
                 for v in p[1:-1]:
                     want[v] += 1 / len(paths)
-    got = {r.node: r.score for r in graph.betweenness(edges).collect()}
+    got = {r.node: r.score for r in graph.betweenness(edges, **how).collect()}
     assert got == pytest.approx({v: x * 2 / ((n - 1) * (n - 2)) for v, x in want.items()})
 
 

@@ -26,8 +26,6 @@ VIEWS = {
         UNION ALL SELECT concat('customer/', c_custkey), concat('nation/', c_nationkey), 'livesIn', CAST(1.0 AS DOUBLE) FROM customer
         UNION ALL SELECT concat('supplier/', s_suppkey), concat('nation/', s_nationkey), 'basedIn', CAST(1.0 AS DOUBLE) FROM supplier
         UNION ALL SELECT concat('part/', l_partkey), concat('supplier/', l_suppkey), 'suppliedBy', sum(l_quantity) FROM lineitem GROUP BY l_partkey, l_suppkey""",
-    # Places and suppliers: the hierarchy that transitive queries walk, and the graph of those algorithms that take many rounds.
-    "kg_core": lambda d: """SELECT src, dst, type, weight FROM kg_edges WHERE type IN ('inRegion', 'basedIn')""",
     "kg_adj": lambda d: """SELECT src AS a, dst AS b FROM kg_edges WHERE src <> dst UNION SELECT dst, src FROM kg_edges WHERE src <> dst""",
     "kg_triples": lambda d: """
         SELECT uri AS s, 'rdf:type' AS p, type AS o FROM kg_nodes UNION ALL SELECT uri, 'rdfs:label', label FROM kg_nodes UNION ALL SELECT src, type, dst FROM kg_edges""",
@@ -68,10 +66,11 @@ VIEWS = {
     "concepts": lambda d: """SELECT DISTINCT concat('order/', l.l_orderkey) AS item, p.p_brand AS concept FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
     "places": lambda d: """SELECT concat('nation/', n_nationkey) AS uri, n_name AS label, CAST(n_nationkey * 7 % 180 - 90 AS DOUBLE) AS lat, CAST(n_nationkey * 29 % 360 - 180 AS DOUBLE) AS lon, concat('region/', n_regionkey) AS admin FROM nation""",
     "vectors": lambda d: """SELECT vec_id, embedding AS v, label FROM embeddings""",
+    # What three searches found: by vector, by words, and by what the graph links to two entities.
     "results": lambda d: """
-        SELECT uri, type, content, similarity AS score, 'vector' AS origin FROM elements WHERE doc_id % 7 = 0
-        UNION ALL SELECT uri, type, content, similarity / 2 + 0.3, 'exact' FROM elements WHERE doc_id % 11 = 0
-        UNION ALL SELECT uri, type, content, 0.9 - similarity / 3, 'graph' FROM elements WHERE doc_id % 13 = 0""",
+        SELECT uri, type, content, similarity AS score, 'vector' AS origin FROM elements WHERE similarity >= 0.8
+        UNION ALL SELECT uri, type, content, similarity / 2 + 0.3, 'exact' FROM elements WHERE contains(lower(label), 'in')
+        UNION ALL SELECT uri, type, content, 0.9 - similarity / 3, 'graph' FROM elements WHERE doc_id IN (SELECT doc_id FROM mentions WHERE entity IN ('nation/7', 'supplier/3'))""",
 }
 
 

@@ -39,7 +39,6 @@ both("filter_topic_semantic", lambda d: "WITH synonyms AS (SELECT 'and' AS term
 both("filter_topic_hierarchical", lambda d: "SELECT e.uri, e.type FROM elements e JOIN (SELECT 'Entity' AS type UNION ALL SELECT 'Unit') h ON e.type = h.type")
 both("filter_entity_direct", lambda d: "SELECT doc_id, entity FROM mentions WHERE entity IN ('nation/3', 'nation/4', 'supplier/8')")
 both("filter_entity_related", lambda d: "SELECT DISTINCT uri FROM (SELECT dst AS uri FROM kg_edges WHERE src = 'nation/3' UNION ALL SELECT src FROM kg_edges WHERE dst = 'nation/3') n")
-both("filter_entity_transitive", lambda d: "WITH RECURSIVE reach(uri, hops) AS (SELECT 'region/1' AS uri, 0 AS hops UNION ALL SELECT e.src, r.hops + 1 FROM reach r JOIN kg_core e ON e.dst = r.uri WHERE r.hops < 3) SELECT DISTINCT uri FROM reach")
 both("filter_entity_typed", lambda d: "SELECT m.doc_id, m.entity FROM mentions m JOIN kg_nodes n ON m.entity = n.uri WHERE n.type IN ('Supplier')")
 both("filter_concept_direct", lambda d: f"SELECT id FROM interactions WHERE {d.has('concepts', "'topic3'")} OR {d.has('concepts', "'lang1'")}")
 both("filter_concept_categorical", lambda d: "SELECT DISTINCT c.item FROM concepts c JOIN (SELECT DISTINCT p_brand FROM part WHERE p_size > 45) p ON c.concept = p.p_brand")
@@ -77,7 +76,6 @@ both("join_self_neq", lambda d: "SELECT a.entity AS one, b.entity AS other, CAST
 both("join_same_source", lambda d: "SELECT a.uri, CAST(count(*) AS BIGINT) AS siblings FROM elements a JOIN elements b ON a.source = b.source AND a.uri <> b.uri AND a.lang = b.lang GROUP BY a.uri")
 both("join_two_hop", lambda d: "SELECT DISTINCT a.src AS start, b.dst AS goal FROM kg_edges a JOIN kg_edges b ON a.dst = b.src WHERE a.src <> b.dst AND a.type = 'basedIn'")
 both("join_theta_next", lambda d: "SELECT id, ts, min(ts) OVER (PARTITION BY conv_id ORDER BY ts RANGE BETWEEN INTERVAL '1' SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ts FROM interactions")
-both("join_path_transitive", lambda d: "WITH RECURSIVE walk(start, uri, hops) AS (SELECT src AS start, dst AS uri, 1 AS hops FROM kg_core WHERE type = 'basedIn' UNION ALL SELECT w.start, e.dst, w.hops + 1 FROM walk w JOIN kg_core e ON e.src = w.uri WHERE w.hops < 4) SELECT start, uri, min(hops) AS hops FROM walk GROUP BY start, uri")
 both("join_path_alternation_inverse", lambda d: "SELECT a, CAST(count(*) AS BIGINT) AS degree FROM kg_adj GROUP BY a")
 both("join_federated_service", lambda d: "SELECT e.src, e.dst, l.label AS dst_label FROM kg_edges e LEFT JOIN kg_nodes l ON l.uri = e.dst WHERE e.type IN ('inRegion', 'basedIn')")
 both("join_values_inline", lambda d: "SELECT v.view, z.rank FROM nav_views v JOIN (SELECT 'entity' AS zoom, 1 AS rank UNION ALL SELECT 'unit', 2 UNION ALL SELECT 'text', 3 UNION ALL SELECT 'community', 4 UNION ALL SELECT 'corpus', 5) z ON v.zoom = z.zoom")
@@ -145,7 +143,7 @@ both("set_distinct", lambda d: "SELECT DISTINCT type, lang, source FROM elements
 both("set_dedup_uri", lambda d: "SELECT uri, origin, score FROM (SELECT uri, origin, score, row_number() OVER (PARTITION BY uri ORDER BY score DESC, origin) AS r FROM results) t WHERE r = 1")
 both("set_intersect_minus", lambda d: f"SELECT id, {d.size(d.intersect('domains', d.array("'project:1'", "'user:0'")))} AS common, {d.size(d.union('domains', d.array("'project:1'", "'user:0'")))} AS every FROM memories")
 both("set_minus_stage", lambda d: "SELECT e.uri FROM elements e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.doc_id AND l.quality = 1)")
-both("set_concept_merge", lambda d: "SELECT a.concept, b.concept IS NOT NULL AS known FROM (SELECT DISTINCT lower(p_type) AS concept FROM part) a LEFT JOIN (SELECT DISTINCT lower(p_type) AS concept FROM part WHERE p_partkey % 2 = 0) b ON a.concept = b.concept")
+both("set_concept_merge", lambda d: "SELECT a.concept, b.concept IS NOT NULL AS known FROM (SELECT DISTINCT lower(p_type) AS concept FROM part) a LEFT JOIN (SELECT DISTINCT lower(p_type) AS concept FROM part JOIN lineitem ON l_partkey = p_partkey) b ON a.concept = b.concept")
 
 # External-knowledge shapes, over the derived graph.
 both("wd_concept_discovery", lambda d: "SELECT uri, max(match) AS match FROM (SELECT uri, 3 AS match FROM kg_nodes WHERE lower(label) LIKE '%nation_1%' UNION ALL SELECT e.src, 2 FROM kg_edges e JOIN kg_nodes n ON e.dst = n.uri WHERE lower(n.label) LIKE '%asia%' UNION ALL SELECT uri, 1 FROM kg_nodes WHERE lower(type) LIKE '%reg%') m GROUP BY uri")
@@ -153,12 +151,10 @@ both("wd_entity_properties", lambda d: "SELECT t.p AS property, t.o AS value, CA
 both("wd_entity_relationships", lambda d: "SELECT 'outgoing' AS direction, type, dst AS related FROM kg_edges WHERE src = 'supplier/3' UNION ALL SELECT 'incoming', type, src FROM kg_edges WHERE dst = 'supplier/3'")
 both("wd_entity_search", lambda d: "SELECT uri, label, CASE WHEN lower(label) = 'asia' THEN 1.0 WHEN lower(label) LIKE 'a%' THEN 0.7 ELSE 0.4 END * 1e0 AS score FROM kg_nodes WHERE type IN ('Nation', 'Region') AND contains(lower(label), 'i')")
 both("wd_geospatial", lambda d: "SELECT uri AS entity, lat, lon, 'own' AS location_type FROM places UNION ALL SELECT e.src, p.lat, p.lon, 'container' FROM kg_edges e JOIN places p ON e.dst = p.uri WHERE e.type = 'basedIn' UNION ALL SELECT p.admin, p.lat, p.lon, 'contained' FROM places p")
-both("wd_hierarchy", lambda d: "WITH RECURSIVE up(start, uri, level) AS (SELECT src AS start, dst AS uri, 1 AS level FROM kg_core UNION ALL SELECT u.start, e.dst, u.level + 1 FROM up u JOIN kg_core e ON e.src = u.uri WHERE u.level < 5) SELECT DISTINCT start, uri, level FROM up UNION ALL SELECT DISTINCT dst, src, -1 FROM kg_core")
 both("wd_semantic_similarity", lambda d: "SELECT b.s AS similar, count(DISTINCT a.p) AS shared FROM kg_triples a JOIN kg_triples b ON a.p = b.p AND a.o = b.o AND a.s <> b.s WHERE a.s = 'supplier/3' AND b.s LIKE 'supplier/%' GROUP BY b.s")
 both("wd_temporal", lambda d: "SELECT uri AS entity, 'created' AS property, created AS at FROM elements UNION ALL SELECT uri, 'modified', modified FROM elements WHERE modified IS NOT NULL")
 both("wd_wikipedia_mapping", lambda d: "SELECT uri, label, concat('wiki/', replace(label, ' ', '_')) AS title FROM kg_nodes WHERE contains(label, '_2')")
 both("wd_entity_details", lambda d: "SELECT v.uri, n.label, n.type FROM (SELECT 'nation/1' AS uri UNION ALL SELECT 'region/2' UNION ALL SELECT 'ghost/1') v LEFT JOIN kg_nodes n ON n.uri = v.uri")
-both("wd_instance_hierarchy", lambda d: "WITH RECURSIVE below(uri, depth) AS (SELECT 'region/2' AS uri, 0 AS depth UNION ALL SELECT e.src, b.depth + 1 FROM below b JOIN kg_core e ON e.dst = b.uri WHERE b.depth < 5) SELECT n.uri, n.label FROM kg_nodes n WHERE n.uri IN (SELECT uri FROM below) AND n.type = 'Supplier'")
 
 # Remaining analytics.
 both("agg_endpoint_stats", lambda d: "SELECT (SELECT count(*) FROM kg_triples) AS triples, (SELECT count(*) FROM kg_nodes WHERE type LIKE 'S%') AS entities, (SELECT count(*) FROM kg_edges) AS relationships, (SELECT count(DISTINCT session) FROM nav_views) AS sessions, (SELECT count(*) FROM nav_views) AS views, (SELECT count(*) FROM embeddings) AS embedded, (SELECT count(*) FROM memories) AS memory_items")

@@ -32,7 +32,7 @@ both("win_topk_by_type_knn", lambda d: f"SELECT label, vec_id, round(s, 5) AS si
 both("sim_threshold_search", lambda d: f"SELECT vec_id, label, round(s, 5) AS similarity FROM (SELECT vec_id, label, {cosine(d)} AS s FROM vectors, {_Q}) t WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 10")
 both("sim_session_cache", lambda d: f"SELECT vec_id, round(s, 5) AS similarity FROM (SELECT vec_id, {cosine(d)} AS s FROM vectors, {_Q}) t WHERE s >= 0.5")
 both("sim_safe_search", lambda d: "SELECT uri, round(max(score / CASE WHEN most > 1 THEN most ELSE 1 END), 6) AS score FROM results, (SELECT max(score) AS most FROM results) m WHERE NOT contains(content, 'System:') GROUP BY uri")
-both("search_dual", lambda d: f"WITH exact AS (SELECT uri, 1.0 * CASE WHEN lower(label) = 'nation_7' THEN 1.0 ELSE 0.8 END AS s FROM kg_nodes WHERE contains(lower(label), 'ion') AND type IN ('Nation', 'Region')), near AS (SELECT concat('nation/', vec_id % 25) AS uri, max({cosine(d)}) AS s FROM vectors, {_Q} GROUP BY concat('nation/', vec_id % 25)), linked AS (SELECT dst AS uri, 0.5 AS s FROM kg_core WHERE type = 'inRegion' GROUP BY dst) SELECT uri, round(sum(CAST(s AS DOUBLE)), 5) AS score, {d.words_joined('src', ',')} AS sources FROM (SELECT uri, s * 1.0 AS s, 'exact' AS src FROM exact UNION ALL SELECT uri, s * 0.7, 'vector' FROM near UNION ALL SELECT uri, s * 0.5, 'graph' FROM linked) u GROUP BY uri")
+both("search_dual", lambda d: f"WITH exact AS (SELECT uri, 1.0 * CASE WHEN lower(label) = 'nation_7' THEN 1.0 ELSE 0.8 END AS s FROM kg_nodes WHERE contains(lower(label), 'ion') AND type IN ('Nation', 'Region')), near AS (SELECT concat('nation/', vec_id % 25) AS uri, max({cosine(d)}) AS s FROM vectors, {_Q} GROUP BY concat('nation/', vec_id % 25)), linked AS (SELECT dst AS uri, 0.5 AS s FROM kg_edges WHERE type = 'inRegion' GROUP BY dst) SELECT uri, round(sum(CAST(s AS DOUBLE)), 5) AS score, {d.words_joined('src', ',')} AS sources FROM (SELECT uri, s * 1.0 AS s, 'exact' AS src FROM exact UNION ALL SELECT uri, s * 0.7, 'vector' FROM near UNION ALL SELECT uri, s * 0.5, 'graph' FROM linked) u GROUP BY uri")
 both("search_query_confidence", lambda d: f"SELECT item_id, round(CAST(0.4 * least(n / 3.0, 1) + 0.3 + CASE WHEN n > 4 THEN 0.3 ELSE 0 END AS DOUBLE), 6) AS confidence FROM (SELECT item_id, {d.size(d.rx_all('text', '[A-Z][a-z]+'))} AS n FROM benchmark) t")
 both("search_resolve_entities", lambda d: "SELECT q.name, min(n.uri) AS uri FROM (SELECT 'nation_7' AS name UNION ALL SELECT 'asia' UNION ALL SELECT 'nowhere') q LEFT JOIN kg_nodes n ON lower(n.label) = q.name GROUP BY q.name")
 _weight = "CASE type WHEN 'Entity' THEN 1.0 WHEN 'Unit' THEN 0.9 WHEN 'TextElement' THEN 0.8 WHEN 'CommunityElement' THEN 0.7 WHEN 'Attribute' THEN 0.6 ELSE 0.5 END"
@@ -46,9 +46,9 @@ both("score_result_quality", lambda d: f"SELECT uri, round(least(1.0, CAST(0.5 +
 both("score_pan_boosts", lambda d: f"SELECT uri, round(CAST(similarity + 0.15 * {d.rx_count('lower(content)', 'the')} + CASE WHEN {d.rx('content', 'tion')} THEN 0.2 ELSE 0 END AS DOUBLE), 6) AS boosted FROM elements WHERE source IN ('src0', 'src1', 'src2')")
 both("score_threshold", lambda d: "SELECT zoom, tilt, round(greatest(0.1, least(0.8, CASE zoom WHEN 'entity' THEN 0.6 WHEN 'unit' THEN 0.5 WHEN 'text' THEN 0.4 WHEN 'community' THEN 0.35 WHEN 'corpus' THEN 0.3 ELSE 0.5 END + CASE tilt WHEN 'click' THEN 0.05 WHEN 'error' THEN -0.1 ELSE 0 END)) * 1e0, 6) AS threshold, CAST(count(*) AS BIGINT) AS n FROM nav_views GROUP BY zoom, tilt")
 both("score_zpt_selectivity", lambda d: "SELECT pan, zoom, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM nav_views), 6) AS selectivity FROM nav_views GROUP BY pan, zoom")
-both("search_question_mapping", lambda d: "SELECT item_id, method, uri, score * 1e0 AS score FROM (SELECT b.item_id, 'mention' AS method, m.entity AS uri, 0.9 AS score FROM benchmark b JOIN mentions m ON m.doc_id = b.item_id UNION ALL SELECT b.item_id, 'neighbour', e.dst, 0.7 FROM benchmark b JOIN mentions m ON m.doc_id = b.item_id JOIN kg_core e ON e.src = m.entity UNION ALL SELECT b.item_id, 'co-mention', y.entity, 0.5 FROM benchmark b JOIN mentions x ON x.doc_id = b.item_id JOIN mentions y ON y.doc_id = x.doc_id AND y.entity <> x.entity UNION ALL SELECT b.item_id, 'element', e.uri, 0.6 FROM benchmark b JOIN elements e ON e.doc_id = b.item_id UNION ALL SELECT b.item_id, 'view', v.corpuscle, 0.4 FROM benchmark b JOIN nav_views v ON v.view = b.item_id UNION ALL SELECT b.item_id, 'interaction', i.id, 0.3 FROM benchmark b JOIN interactions i ON i.conv_id = b.item_id UNION ALL SELECT b.item_id, 'region', e.dst, 0.2 FROM benchmark b JOIN kg_core e ON e.src = concat('nation/', b.item_id % 25)) t")
-both("search_result_context", lambda d: "SELECT context, value FROM (SELECT 'type' AS context, o AS value FROM kg_triples WHERE s = 'nation/5' AND p = 'rdf:type' UNION ALL SELECT 'label', o FROM kg_triples WHERE s = 'nation/5' AND p = 'rdfs:label' UNION ALL SELECT 'outgoing', dst FROM kg_edges WHERE src = 'nation/5' UNION ALL SELECT 'incoming', src FROM kg_edges WHERE dst = 'nation/5' UNION ALL SELECT 'document', concat('doc/', doc_id) FROM mentions WHERE entity = 'nation/5' UNION ALL SELECT 'viewed', session FROM nav_views WHERE corpuscle = 'nation/5' UNION ALL SELECT 'sibling', b.src FROM kg_core a JOIN kg_core b ON a.dst = b.dst AND b.src <> a.src WHERE a.src = 'nation/5' UNION ALL SELECT 'place', admin FROM places WHERE uri = 'nation/5') t")
-both("search_related_by_uri", lambda d: "SELECT DISTINCT related, relation, weight * 1e0 AS weight FROM (SELECT dst AS related, 'out' AS relation, 1.0 AS weight FROM kg_edges WHERE src = 'supplier/5' UNION ALL SELECT src, 'in', 1.0 FROM kg_edges WHERE dst = 'supplier/5' UNION ALL SELECT b.dst, 'two-hop', 0.5 FROM kg_edges a JOIN kg_edges b ON a.dst = b.src WHERE a.src = 'supplier/5' AND b.dst <> 'supplier/5' UNION ALL SELECT y.entity, 'same-source', 0.4 FROM mentions x JOIN mentions y ON x.doc_id = y.doc_id WHERE x.entity = 'supplier/5' AND y.entity <> 'supplier/5' UNION ALL SELECT b.src, 'same-target', 0.3 FROM kg_core a JOIN kg_core b ON a.dst = b.dst WHERE a.src = 'supplier/5' AND b.src <> a.src) t")
+both("search_question_mapping", lambda d: "SELECT item_id, method, uri, score * 1e0 AS score FROM (SELECT b.item_id, 'mention' AS method, m.entity AS uri, 0.9 AS score FROM benchmark b JOIN mentions m ON m.doc_id = b.item_id UNION ALL SELECT b.item_id, 'neighbour', e.dst, 0.7 FROM benchmark b JOIN mentions m ON m.doc_id = b.item_id JOIN kg_edges e ON e.src = m.entity UNION ALL SELECT b.item_id, 'co-mention', y.entity, 0.5 FROM benchmark b JOIN mentions x ON x.doc_id = b.item_id JOIN mentions y ON y.doc_id = x.doc_id AND y.entity <> x.entity UNION ALL SELECT b.item_id, 'element', e.uri, 0.6 FROM benchmark b JOIN elements e ON e.doc_id = b.item_id UNION ALL SELECT b.item_id, 'view', v.corpuscle, 0.4 FROM benchmark b JOIN nav_views v ON v.view = b.item_id UNION ALL SELECT b.item_id, 'interaction', i.id, 0.3 FROM benchmark b JOIN interactions i ON i.conv_id = b.item_id UNION ALL SELECT b.item_id, 'region', e.dst, 0.2 FROM benchmark b JOIN kg_edges e ON e.src = concat('nation/', b.item_id % 25)) t")
+both("search_result_context", lambda d: "SELECT context, value FROM (SELECT 'type' AS context, o AS value FROM kg_triples WHERE s = 'nation/5' AND p = 'rdf:type' UNION ALL SELECT 'label', o FROM kg_triples WHERE s = 'nation/5' AND p = 'rdfs:label' UNION ALL SELECT 'outgoing', dst FROM kg_edges WHERE src = 'nation/5' UNION ALL SELECT 'incoming', src FROM kg_edges WHERE dst = 'nation/5' UNION ALL SELECT 'document', concat('doc/', doc_id) FROM mentions WHERE entity = 'nation/5' UNION ALL SELECT 'viewed', session FROM nav_views WHERE corpuscle = 'nation/5' UNION ALL SELECT 'sibling', b.src FROM kg_edges a JOIN kg_edges b ON a.dst = b.dst AND b.src <> a.src WHERE a.src = 'nation/5' UNION ALL SELECT 'place', admin FROM places WHERE uri = 'nation/5') t")
+both("search_related_by_uri", lambda d: "SELECT DISTINCT related, relation, weight * 1e0 AS weight FROM (SELECT dst AS related, 'out' AS relation, 1.0 AS weight FROM kg_edges WHERE src = 'supplier/5' UNION ALL SELECT src, 'in', 1.0 FROM kg_edges WHERE dst = 'supplier/5' UNION ALL SELECT b.dst, 'two-hop', 0.5 FROM kg_edges a JOIN kg_edges b ON a.dst = b.src WHERE a.src = 'supplier/5' AND b.dst <> 'supplier/5' UNION ALL SELECT y.entity, 'same-source', 0.4 FROM mentions x JOIN mentions y ON x.doc_id = y.doc_id WHERE x.entity = 'supplier/5' AND y.entity <> 'supplier/5' UNION ALL SELECT b.src, 'same-target', 0.3 FROM kg_edges a JOIN kg_edges b ON a.dst = b.dst WHERE a.src = 'supplier/5' AND b.src <> a.src) t")
 both("search_locations", lambda d: "SELECT e.uri, e.source, m.entity, l.quality FROM elements e LEFT JOIN mentions m ON m.doc_id = e.doc_id AND m.entity LIKE 'nation/%' LEFT JOIN labels l ON l.doc_id = e.doc_id WHERE e.type = 'TextElement' AND (e.modified IS NULL OR e.modified > TIMESTAMP '2024-02-01 00:00:00')")
 both("search_enhancement_semantic", lambda d: "SELECT origin, id FROM (SELECT 'hyde' AS origin, concat('bench/', item_id) AS id, text FROM benchmark UNION ALL SELECT 'wikipedia', concat('doc/', doc_id), text FROM documents UNION ALL SELECT 'wikidata', uri, label FROM kg_nodes WHERE type = 'Nation') t WHERE contains(lower(text), 'an')")
 both("search_unified", lambda d: "SELECT uri, origin, round(CAST(score * CASE origin WHEN 'exact' THEN 1.3 WHEN 'vector' THEN 1.2 ELSE 1.1 END * CASE type WHEN 'Entity' THEN 1.4 WHEN 'Unit' THEN 1.15 ELSE 1.0 END AS DOUBLE), 6) AS final FROM results ORDER BY CAST(score * CASE origin WHEN 'exact' THEN 1.3 WHEN 'vector' THEN 1.2 ELSE 1.1 END * CASE type WHEN 'Entity' THEN 1.4 WHEN 'Unit' THEN 1.15 ELSE 1.0 END AS DOUBLE) DESC, uri, origin LIMIT 50")
@@ -75,8 +75,8 @@ both("mem_recover_hidden", lambda d: f"SELECT id, round(CAST(relevance AS DOUBLE
 both("mem_fade", lambda d: "SELECT id, CASE WHEN id % 10 = 0 THEN importance * 0.1 ELSE importance END AS factor FROM memories")
 both("mem_context_build", lambda d: f"SELECT topic, CAST(count(*) AS BIGINT) AS n, {d.words_joined('id', ',')} AS examples FROM (SELECT {d.at('concepts', '1')} AS topic, id, row_number() OVER (PARTITION BY {d.at('concepts', '1')} ORDER BY ts DESC, id) AS r FROM interactions) t WHERE r <= 5 GROUP BY topic")
 both("rag_context_combine", lambda d: f"SELECT {d.words_joined('piece', ' | ', False, 'section, r')} AS context FROM (SELECT 1 AS section, r, concat('P:', substring(prompt, 1, 40)) AS piece FROM (SELECT prompt, row_number() OVER (PARTITION BY turn ORDER BY ts DESC, id) AS r, turn FROM interactions WHERE turn = 0) a WHERE r <= 3 UNION ALL SELECT 2, r, concat('D:', substring(content, 1, 40)) FROM (SELECT content, row_number() OVER (PARTITION BY type ORDER BY similarity DESC, uri) AS r, type FROM elements WHERE type = 'Unit') b WHERE r <= 3) p")
-both("score_community_cohesion", lambda d: "SELECT c.dst AS community, CAST(count(*) AS BIGINT) AS members, CAST(count(DISTINCT m.doc_id) AS BIGINT) AS documents FROM kg_core c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn' GROUP BY c.dst")
-both("score_community_link", lambda d: "WITH members AS (SELECT c.dst AS community, m.doc_id FROM kg_core c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn' UNION SELECT entity, doc_id FROM mentions WHERE entity LIKE 'nation/%'), sizes AS (SELECT community, count(DISTINCT doc_id) AS n FROM members GROUP BY community) SELECT one, other, round(shared * 1.0 / least(na, nb), 6) AS strength FROM (SELECT a.community AS one, b.community AS other, count(DISTINCT a.doc_id) AS shared, max(x.n) AS na, max(y.n) AS nb FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.community < b.community JOIN sizes x ON x.community = a.community JOIN sizes y ON y.community = b.community GROUP BY a.community, b.community) t WHERE shared * 1.0 / least(na, nb) > 0.01".replace("round(shared * 1.0 / least(na, nb), 6)", "round(CAST(shared AS DOUBLE) / least(na, nb), 6)"))
+both("score_community_cohesion", lambda d: "SELECT c.dst AS community, CAST(count(*) AS BIGINT) AS members, CAST(count(DISTINCT m.doc_id) AS BIGINT) AS documents FROM kg_edges c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn' GROUP BY c.dst")
+both("score_community_link", lambda d: "WITH members AS (SELECT c.dst AS community, m.doc_id FROM kg_edges c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn' UNION SELECT entity, doc_id FROM mentions WHERE entity LIKE 'nation/%'), sizes AS (SELECT community, count(DISTINCT doc_id) AS n FROM members GROUP BY community) SELECT one, other, round(shared * 1.0 / least(na, nb), 6) AS strength FROM (SELECT a.community AS one, b.community AS other, count(DISTINCT a.doc_id) AS shared, max(x.n) AS na, max(y.n) AS nb FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.community < b.community JOIN sizes x ON x.community = a.community JOIN sizes y ON y.community = b.community GROUP BY a.community, b.community) t WHERE shared * 1.0 / least(na, nb) > 0.01".replace("round(shared * 1.0 / least(na, nb), 6)", "round(CAST(shared AS DOUBLE) / least(na, nb), 6)"))
 both("zpt_keyword_ranking", lambda d: f"SELECT uri, {d.rx_count('lower(content)', 'tion|the')} AS hits FROM elements ORDER BY {d.rx_count('lower(content)', 'tion|the')} DESC, uri LIMIT 50")
 both("zpt_graph_ranking", lambda d: "SELECT uri, degree FROM (SELECT a AS uri, CAST(count(*) AS BIGINT) AS degree FROM kg_adj GROUP BY a) g ORDER BY degree DESC, uri LIMIT 50")
 both("zpt_similarity_ranking", lambda d: "SELECT uri, similarity FROM elements ORDER BY similarity DESC, uri LIMIT 50")

@@ -21,7 +21,7 @@ both("extract_relationships", lambda d: "SELECT a.entity AS source, b.entity AS
 both("augment_attributes", lambda d: "SELECT n.uri, concat(n.label, ' is a ', lower(n.type), ' with ', CAST(coalesce(g.k, 0) AS STRING), ' links') AS attribute FROM kg_nodes n LEFT JOIN (SELECT a, count(*) AS k FROM kg_adj GROUP BY a) g ON g.a = n.uri WHERE n.score >= 0.5".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR"))
 frame("enrich_embeddings", lambda spark, sf: text.hash_embeddings(view(spark, sf, "SELECT doc_id, text FROM documents")).select("id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 6).alias("lead")))
 frame("vec_hash_embedding", lambda spark, sf: text.hash_embeddings(view(spark, sf, "benchmark"), 16, id_col="item_id").select("id", F.transform("v", lambda x: F.round(x, 3)).alias("v")))
-both("aggregate_communities", lambda d: f"SELECT e.dst AS community, CAST(count(*) AS BIGINT) AS members, {d.words_joined('n.label', ', ')} AS summary FROM kg_core e JOIN kg_nodes n ON n.uri = e.src WHERE e.type = 'basedIn' GROUP BY e.dst")
+both("aggregate_communities", lambda d: f"SELECT e.dst AS community, CAST(count(*) AS BIGINT) AS members, {d.words_joined('n.label', ', ')} AS summary FROM kg_edges e JOIN kg_nodes n ON n.uri = e.src WHERE e.type = 'basedIn' GROUP BY e.dst")
 both("corpus_projection_concept", lambda d: "SELECT lower(concept) AS concept, CAST(count(*) AS BIGINT) AS frequency, CAST(count(DISTINCT item) AS BIGINT) AS items FROM concepts GROUP BY lower(concept)")
 both("corpus_projection_keywords", lambda d: f"SELECT w AS keyword, CAST(count(*) AS BIGINT) AS n, round(CAST(count(DISTINCT item_id) AS DOUBLE) / (SELECT count(*) FROM benchmark), 6) AS coverage FROM (SELECT item_id, w FROM benchmark{d.explode(d.rx_split('lower(text)', '[^a-z]+'), 'w')}) t WHERE length(w) >= 4 GROUP BY w")
 both("corpus_projection_embedding", lambda d: f"SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(norm), 5) AS mean_norm FROM (SELECT label, sqrt({d.zip_sum('v', 'v', 'CAST(x AS DOUBLE) * CAST(y AS DOUBLE)')}) AS norm FROM vectors) t GROUP BY label")
@@ -31,7 +31,7 @@ both("encode_metadata", lambda d: "SELECT uri, concat('[', type, '|', source, '|
 both("decode_metadata", lambda d: f"SELECT uri, {d.rx_extract('header', '^.([^|]*).')} AS type, split_part(header, '|', 2) AS source FROM (SELECT uri, concat('[', type, '|', source, '|', lang, ']') AS header FROM elements) t")
 both("transform_pipeline", lambda d: f"SELECT doc_id, tokens, CASE WHEN tokens <= 250 THEN 1 ELSE CAST(ceil(tokens / 225.0) AS BIGINT) END AS chunks, concat('<!-- tokens ', CAST(tokens AS STRING), ' -->') AS header FROM (SELECT doc_id, CAST(ceil({d.length('text')} / 4.0) AS BIGINT) AS tokens FROM documents) t".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR"))
 both("label_elements", lambda d: f"SELECT doc_id, {d.least_by('w', 'r')} AS label FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM (SELECT d.doc_id, w, count(*) AS n FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) d{d.explode(d.rx_split('d.low', '[^a-z]+'), 'w')} WHERE length(w) >= 4 GROUP BY d.doc_id, w) k) t WHERE r = 1 GROUP BY doc_id")
-both("create_concepts", lambda d: "SELECT DISTINCT concat('concept/', lower(replace(concept, '#', '-'))) AS uri, concept FROM concepts WHERE concept NOT IN (SELECT p_brand FROM part WHERE p_partkey <= 3)")
+both("create_concepts", lambda d: "SELECT DISTINCT concat('concept/', lower(replace(concept, '#', '-'))) AS uri, concept FROM concepts WHERE concept NOT IN (SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_retailprice) < (SELECT avg(p_retailprice) FROM part))")
 both("normalise_params_complexity", lambda d: "SELECT zoom, tilt, least(10, CASE zoom WHEN 'micro' THEN 5 WHEN 'entity' THEN 4 WHEN 'unit' THEN 3 WHEN 'text' THEN 2 ELSE 1 END + CASE tilt WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 3 END) AS complexity, CAST(count(*) AS BIGINT) AS n FROM nav_views GROUP BY zoom, tilt")
 both("selectivity_rules", lambda d: "SELECT zoom, round(CAST(CASE zoom WHEN 'micro' THEN 0.1 WHEN 'entity' THEN 0.2 WHEN 'unit' THEN 0.3 WHEN 'text' THEN 0.5 ELSE 0.8 END * count(DISTINCT pan) / 10 AS DOUBLE), 6) AS selectivity FROM nav_views GROUP BY zoom")
 both("limit_token_budget", lambda d: "SELECT budget, least(CAST(floor(budget * 0.8 / 50) AS BIGINT), 1000) AS rows FROM (SELECT 4000 AS budget UNION ALL SELECT 100000 UNION ALL SELECT 30) b".replace(" AS rows ", " AS max_rows "))

@@ -1,13 +1,11 @@
-"""Exact vector search in column expressions and block products."""
+"""Exact vector search in column expressions, and links between nearest vectors."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from .vector_index import nearest_join
 
 
 def dot(a: str, b: str) -> Column:
@@ -29,35 +27,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, *, types: list
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-#: Vectors of one block; a product of two blocks is one task's work.
-BLOCK = 2000
-
-
 def links(vectors: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
-    """Unordered pairs (a < b) where either is among the other's k nearest by cosine; ties to smaller ids.
-
-    Vectors are dealt to blocks; each pair of blocks is one matrix product that keeps k per row, merged afterwards. Work
-    is quadratic, as exact nearest neighbours of all are; memory is two blocks.
-    """
-    ship(vectors.sparkSession)
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-    data = vectors.where(f"{vector_col} is not null").select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
-    left = data.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = data.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("block", "x").withColumnRenamed("other", "block").withColumnRenamed("x", "other")
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "near": [], "similarity": []}).astype({"id": "int64", "near": "int64", "similarity": "float64"})
-        unit = lambda f: (m := np.stack(f.v.to_numpy())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        b = b.sort_values("id")
-        s = unit(a) @ unit(b).T
-        s[a.id.to_numpy()[:, None] == b.id.to_numpy()[None]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), top.shape[1])
-        out = pd.DataFrame({"id": a.id.to_numpy()[rows], "near": b.id.to_numpy()[top.ravel()], "similarity": s[rows, top.ravel()]})
-        return out[np.isfinite(out.similarity)]
-
-    near = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(product, "id long, near long, similarity double")
-    best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "near"))), 1, k).alias("best")).select("id", F.inline("best"))
-    return best.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b"), (-F.col("s")).alias("similarity")).dropDuplicates(["a", "b"])
+    """a, b, similarity: unordered pairs (a < b) where either is among the other's k nearest by cosine; ties to smaller ids."""
+    near, _ = nearest_join(vectors, k, id_col=id_col, vector_col=vector_col)
+    return near.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

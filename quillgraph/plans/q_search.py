@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.lineage import shared_folder
+from ..operators.vector_index import VectorIndex
 from .kg import NOW
 from .q_scalars import _Q, cosine
-from .registry import both
+from .registry import both, frame, view
 
 # Ranking weights of the flagship query.
 SEMANTIC, STRUCTURAL, TEMPORAL, RELATIONAL = 0.4, 0.2, 0.2, 0.2
@@ -26,7 +32,29 @@ both("score_doc_relevance", lambda d: f"""
 _L2 = lambda d: f"sqrt({d.zip_sum('v', 'q', '(CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) * (CAST(x AS DOUBLE) - CAST(y AS DOUBLE))')})"
 both("knn_flat_l2", lambda d: f"SELECT vec_id, round({_L2(d)}, 5) AS distance FROM vectors, {_Q} ORDER BY {_L2(d)}, vec_id LIMIT 10")
 both("knn_index_maintain", lambda d: f"SELECT vec_id, label FROM vectors WHERE {d.size('v')} = 64 AND {d.size(d.keep('v', 'x', 'abs(x) > 1e-7'))} > 0")
-both("knn_hnsw_cosine", lambda d: f"SELECT vec_id, label, round({cosine(d)}, 5) AS similarity FROM vectors, {_Q} WHERE label IN (1, 2, 3) ORDER BY {cosine(d)} DESC, vec_id LIMIT 10")
+
+
+def _index(spark, rows) -> VectorIndex:
+    return VectorIndex.build(rows, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+def _index_search(spark, sf):
+    """The exact search over the index, types filtered before the cut."""
+    rows = view(spark, sf, "vectors")
+    found = _index(spark, rows).search(rows.where("vec_id = 0"), 10, probes=None, types=[1, 2, 3])
+    return rows.select("vec_id", "label").join(found.select(F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity")), "vec_id")
+
+
+def _index_batch(spark, sf):
+    """Every vector whose id 50 divides as a query against all others, through an index that got its last fifth later."""
+    rows = view(spark, sf, "vectors")
+    index = _index(spark, rows.where("label <> 3"))
+    index.append(rows.where("label = 3"))
+    return index.search(rows.where("vec_id % 50 = 0"), 10, probes=None).select("query", "id", F.round("similarity", 5).alias("similarity"))
+
+
+frame("knn_hnsw_cosine", _index_search, lambda d: f"SELECT vec_id, label, round({cosine(d)}, 5) AS similarity FROM vectors, {_Q} WHERE label IN (1, 2, 3) ORDER BY {cosine(d)} DESC, vec_id LIMIT 10")
+frame("knn_index_batch", _index_batch, lambda d: "SELECT query, id, round(s, 5) AS similarity FROM (SELECT a.vec_id AS query, b.vec_id AS id, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS r FROM (SELECT x.vec_id, y.vec_id AS other, list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) AS s FROM vectors x, vectors y WHERE x.vec_id % 50 = 0) a JOIN vectors b ON b.vec_id = a.other) t WHERE r <= 10")
 both("knn_similar_nodes", lambda d: f"SELECT vec_id, round({cosine(d)}, 5) AS similarity FROM vectors, {_Q} WHERE vec_id <> 0 ORDER BY {cosine(d)} DESC, vec_id LIMIT 10")
 both("win_topk_by_type_knn", lambda d: f"SELECT label, vec_id, round(s, 5) AS similarity FROM (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM (SELECT label, vec_id, {cosine(d)} AS s FROM vectors, {_Q}) c) t WHERE r <= 3")
 both("sim_threshold_search", lambda d: f"SELECT vec_id, label, round(s, 5) AS similarity FROM (SELECT vec_id, label, {cosine(d)} AS s FROM vectors, {_Q}) t WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 10")

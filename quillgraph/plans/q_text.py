@@ -38,7 +38,9 @@ both("limit_token_budget", lambda d: "SELECT budget, least(CAST(floor(budget * 0
 frame("set_dedup_content", lambda spark, sf: text.dedup_content(view(spark, sf, "documents"), group_col="source", key_col="doc_id", text_col="text", order_col="doc_id"))
 frame("set_dedup_hybrid", lambda spark, sf: text.dedup_content(view(spark, sf, "SELECT source, doc_id, min(text) AS text FROM documents GROUP BY source, doc_id"), group_col="source", key_col="doc_id", text_col="text", order_col="doc_id", threshold=0.9))
 frame("topk_token_knapsack", lambda spark, sf: text.pack_tokens(view(spark, sf, "SELECT type, doc_id, similarity, CAST(ceil(chars / 4.0) AS INT) AS tokens FROM elements"), 2000, group_col="type", key_col="doc_id", priority_col="similarity", tokens_col="tokens"))
-frame("sim_links", lambda spark, sf: vectors.links(view(spark, sf, "vectors"), k=10).select("a", "b", F.round("similarity", 5).alias("similarity")))
+#: All pairs of vectors, each with its place among those of one of them.
+_NEAR = "near AS (SELECT a.vec_id AS one, b.vec_id AS other, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS r FROM (SELECT x.vec_id, y.vec_id AS other, list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) AS s FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id) a JOIN vectors b ON b.vec_id = a.other)"
+frame("sim_links", lambda spark, sf: vectors.links(view(spark, sf, "vectors"), k=10).select("a", "b", F.round("similarity", 5).alias("similarity")), lambda d: f"WITH {_NEAR}, top AS (SELECT one, other, s FROM near WHERE r <= 10) SELECT least(one, other) AS a, greatest(one, other) AS b, round(max(s), 5) AS similarity FROM top GROUP BY least(one, other), greatest(one, other)")
 both("html_source", lambda d: f"SELECT page_id, {d.length(d.rx_replace(d.rx_replace(d.rx_replace('html', '(?is)<(script|style)[^>]*>.*?</(script|style)>', ''), '<[^>]*>', ' '), '[ \\n\\t]+', ' '))} AS chars FROM pages")
 both("export_ntriples", lambda d: "SELECT concat('<', s, '> <', p, '> ', CASE WHEN p = 'rdfs:label' THEN concat(chr(34), o, chr(34)) ELSE concat('<', o, '>') END, ' .') AS line FROM kg_triples")
 both("export_graph_api", lambda d: "SELECT s, p, o FROM kg_triples WHERE p <> 'suppliedBy' ORDER BY s, p, o LIMIT 500")

@@ -44,7 +44,7 @@ def test_operators(spark):
 def test_vector_links(spark):
     import numpy as np
 
-    from quillgraph.operators import vectors
+    from quillgraph.operators import vector_index, vectors
 
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
@@ -53,11 +53,11 @@ def test_vector_links(spark):
     s = unit @ unit.T
     np.fill_diagonal(s, -9)
     want = {tuple(sorted((i, int(j)))) for i in range(60) for j in np.argsort(-s[i])[:4]}
-    old, vectors.BLOCK = vectors.BLOCK, 17
+    old, vector_index.BLOCK = vector_index.BLOCK, 17
     try:
         assert {(r.a, r.b) for r in vectors.links(df, 4).collect()} == want
     finally:
-        vectors.BLOCK = old
+        vector_index.BLOCK = old
     top = vectors.nearest(df, [float(x) for x in v[0]], 5, types=[0])
     assert top.first().vec_id == 0 and {r.label for r in top.collect()} == {0}
 

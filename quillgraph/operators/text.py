@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking
 from ..shipping import ship
+from . import greedy
 
 STRATEGIES: dict[str, Callable[..., list[tuple[int, int]]]] = {
     "fixed": chunking.fixed, "semantic": chunking.semantic, "adaptive": chunking.adaptive, "hierarchical": chunking.hierarchical, "token_aware": chunking.token_aware, "windows": chunking.windows,
@@ -37,33 +38,15 @@ def chunk(docs: DataFrame, strategy: str = "semantic", *, id_col: str = "doc_id"
 
 def dedup_content(results: DataFrame, *, group_col: str, key_col: str, text_col: str, order_col: str, threshold: float = 0.8) -> DataFrame:
     """Per group, rows in order, each dropped if its words' Jaccard similarity with a kept one is ``threshold`` or more."""
-
-    ship(results.sparkSession)
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for i, text in frame.sort_values([order_col, key_col])[text_col].items():
-            words = set((text or "").lower().split())
-            if not any(words and k and len(words & k) / len(words | k) >= threshold for k in kept):
-                kept.append(words)
-                out.append(i)
-        return frame.loc[out, [group_col, key_col]]
-
-    schema = ", ".join(f"{c} {results.schema[c].dataType.simpleString()}" for c in (group_col, key_col))
-    return results.select(*dict.fromkeys([group_col, key_col, text_col, order_col])).groupBy(group_col).applyInPandas(keep, schema)
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)(\S+)"), F.lit(1))
+    return greedy.keep_first(results, group_col=group_col, key_col=key_col, order_col=order_col, words=words, threshold=threshold)
 
 
 def pack_tokens(items: DataFrame, budget: int, *, group_col: str, key_col: str, priority_col: str, tokens_col: str, by: str = "priority") -> DataFrame:
-    """Per group the keys that a greedy choice under a token budget takes."""
-
-    ship(items.sparkSession)
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen = chunking.knapsack(list(zip(frame[key_col], frame[priority_col], frame[tokens_col])), budget, by)
-        return frame[frame[key_col].isin(chosen)][[group_col, key_col]]
-
-    schema = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in (group_col, key_col))
-    return items.select(*dict.fromkeys([group_col, key_col, priority_col, tokens_col])).groupBy(group_col).applyInPandas(pick, schema)
+    """Per group the keys that a greedy choice under a token budget takes: by priority, priority per token, or size."""
+    tokens = F.col(tokens_col)
+    order = {"priority": -F.col(priority_col), "efficiency": -F.col(priority_col) / F.greatest(tokens, F.lit(1)), "size": tokens}[by]
+    return greedy.pack(items, budget, group_col=group_col, key_col=key_col, tokens_col=tokens_col, order=[order])
 
 
 def hash_embeddings(docs: DataFrame, dims: int = 64, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,9 +35,29 @@ both("create_concepts", lambda d: "SELECT DISTINCT concat('concept/', lower(repl
 both("normalise_params_complexity", lambda d: "SELECT zoom, tilt, least(10, CASE zoom WHEN 'micro' THEN 5 WHEN 'entity' THEN 4 WHEN 'unit' THEN 3 WHEN 'text' THEN 2 ELSE 1 END + CASE tilt WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 3 END) AS complexity, CAST(count(*) AS BIGINT) AS n FROM nav_views GROUP BY zoom, tilt")
 both("selectivity_rules", lambda d: "SELECT zoom, round(CAST(CASE zoom WHEN 'micro' THEN 0.1 WHEN 'entity' THEN 0.2 WHEN 'unit' THEN 0.3 WHEN 'text' THEN 0.5 ELSE 0.8 END * count(DISTINCT pan) / 10 AS DOUBLE), 6) AS selectivity FROM nav_views GROUP BY zoom")
 both("limit_token_budget", lambda d: "SELECT budget, least(CAST(floor(budget * 0.8 / 50) AS BIGINT), 1000) AS rows FROM (SELECT 4000 AS budget UNION ALL SELECT 100000 UNION ALL SELECT 30) b".replace(" AS rows ", " AS max_rows "))
-frame("set_dedup_content", lambda spark, sf: text.dedup_content(view(spark, sf, "documents"), group_col="source", key_col="doc_id", text_col="text", order_col="doc_id"))
-frame("set_dedup_hybrid", lambda spark, sf: text.dedup_content(view(spark, sf, "SELECT source, doc_id, min(text) AS text FROM documents GROUP BY source, doc_id"), group_col="source", key_col="doc_id", text_col="text", order_col="doc_id", threshold=0.9))
-frame("topk_token_knapsack", lambda spark, sf: text.pack_tokens(view(spark, sf, "SELECT type, doc_id, similarity, CAST(ceil(chars / 4.0) AS INT) AS tokens FROM elements"), 2000, group_col="type", key_col="doc_id", priority_col="similarity", tokens_col="tokens"))
+
+
+def _first_kept(rows: str, threshold: float) -> str:
+    """One row after the other in each source, with the rows kept so far."""
+    return f"""
+        WITH RECURSIVE w AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(text), '[^\\s]+')) AS ws, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM {rows} r),
+        matched AS (SELECT a.source, a.i AS one, b.i AS other, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) + len(b.ws) AS total FROM w a JOIN w b ON a.source IS NOT DISTINCT FROM b.source AND a.i < b.i AND len(a.ws) >= {threshold} * len(b.ws) AND len(b.ws) >= {threshold} * len(a.ws)),
+        near AS (SELECT source, other AS i, list(one) AS earlier FROM matched WHERE n > 0 AND CAST(n AS DOUBLE) / (total - n) >= {threshold} GROUP BY source, other),
+        walk AS (SELECT source, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT source FROM w) s
+          UNION ALL SELECT k.source, w.i, CASE WHEN list_has_any(k.kept, coalesce(n.earlier, [])) THEN k.kept ELSE list_append(k.kept, w.i) END
+          FROM walk k JOIN w ON w.source IS NOT DISTINCT FROM k.source AND w.i = k.i + 1 LEFT JOIN near n ON n.source IS NOT DISTINCT FROM w.source AND n.i = w.i)
+        SELECT w.source, w.doc_id FROM w JOIN (SELECT source, max_by(kept, i) AS kept FROM walk GROUP BY source) k ON w.source IS NOT DISTINCT FROM k.source AND list_contains(k.kept, w.i)"""
+
+
+#: One element after the other in each type, with what is left of the budget.
+_PACKED = """
+    WITH RECURSIVE items AS (SELECT type, doc_id, CAST(ceil(chars / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY type ORDER BY similarity DESC, doc_id) AS i FROM elements),
+    walk AS (SELECT type, CAST(0 AS BIGINT) AS i, CAST(2000 AS BIGINT) AS rest, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT type FROM items) t
+      UNION ALL SELECT w.type, x.i, CASE WHEN x.tokens <= w.rest THEN w.rest - x.tokens ELSE w.rest END, CASE WHEN x.tokens <= w.rest THEN list_append(w.taken, x.doc_id) ELSE w.taken END FROM walk w JOIN items x ON x.type = w.type AND x.i = w.i + 1)
+    SELECT type, unnest(taken) AS doc_id FROM (SELECT type, max_by(taken, i) AS taken FROM walk GROUP BY type) t"""
+frame("set_dedup_content", lambda spark, sf: text.dedup_content(view(spark, sf, "documents"), group_col="source", key_col="doc_id", text_col="text", order_col="doc_id"), lambda d: _first_kept("documents", 0.8))
+frame("set_dedup_hybrid", lambda spark, sf: text.dedup_content(view(spark, sf, "SELECT source, doc_id, min(text) AS text FROM documents GROUP BY source, doc_id"), group_col="source", key_col="doc_id", text_col="text", order_col="doc_id", threshold=0.9), lambda d: _first_kept("(SELECT source, doc_id, min(text) AS text FROM documents GROUP BY source, doc_id)", 0.9))
+frame("topk_token_knapsack", lambda spark, sf: text.pack_tokens(view(spark, sf, "SELECT type, doc_id, similarity, CAST(ceil(chars / 4.0) AS INT) AS tokens FROM elements"), 2000, group_col="type", key_col="doc_id", priority_col="similarity", tokens_col="tokens"), lambda d: _PACKED)
 #: All pairs of vectors, each with its place among those of one of them.
 _NEAR = "near AS (SELECT a.vec_id AS one, b.vec_id AS other, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS r FROM (SELECT x.vec_id, y.vec_id AS other, list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) AS s FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id) a JOIN vectors b ON b.vec_id = a.other)"
 frame("sim_links", lambda spark, sf: vectors.links(view(spark, sf, "vectors"), k=10).select("a", "b", F.round("similarity", 5).alias("similarity")), lambda d: f"WITH {_NEAR}, top AS (SELECT one, other, s FROM near WHERE r <= 10) SELECT least(one, other) AS a, greatest(one, other) AS b, round(max(s), 5) AS similarity FROM top GROUP BY least(one, other), greatest(one, other)")

@@ -12,9 +12,11 @@ import numpy as np
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What is inside is text of another kind, up to the closing tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
-#: Never part of an article.
-DROPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "object", "form", "button", "select", "option", "textarea", "input", "canvas", "math", "datalist", "dialog"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Never part of an article. A form is one only if it holds no more than half of the page's text: else the page stands in it.
+DROPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "object", "form", "button", "select", "option", "textarea", "input", "canvas", "annotation", "annotation-xml", "datalist", "dialog"}
+#: Formulas stand in their sentence.
+FORMULA = {"math", "semantics", "mrow", "mi", "mn", "mo", "mtext", "mspace", "ms", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mfenced", "mstyle", "mpadded", "mphantom"}
+INLINE = FORMULA | {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: An opening tag of the key closes an open element of these, unless one of the limits stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -119,6 +121,7 @@ class Page:
         self.pieces: list[tuple[int, str]] = []  # a text, or "" with the element that ends or begins a block here
         self._read(source)
         n = len(self.tag)
+        self._open_forms()
         self.depth = [0] * n
         self.dropped = [False] * n
         for i in range(1, n):
@@ -126,6 +129,23 @@ class Page:
             self.depth[i] = self.depth[p] + 1
             self.dropped[i] = self.dropped[p] or self.tag[i] in DROPPED
 
+    def _open_forms(self) -> None:
+        """Forms around most of the page's text, but for what is dropped anyway, become plain blocks."""
+        if "form" not in self.tag:
+            return
+        n = len(self.tag)
+        size, gone = [0] * n, [False] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]] or self.tag[i] in DROPPED - {"form"}
+        for e, text in self.pieces:
+            if not gone[e]:
+                size[e] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        for i in range(1, n):
+            if self.tag[i] == "form" and 2 * size[i] > size[0]:
+                self.tag[i], self.tokens[i] = "div", ()
+
     def _read(self, source: str) -> None:
         at, found, tags = 0, _Tags(source), self.tag
         open_ = _Open(tags)

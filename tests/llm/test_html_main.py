@@ -99,3 +99,18 @@ def test_trees_learn():
     y = (x[:, 0] > 0).astype(int) + (x[:, 0] > 0) * (x[:, 1] > 0.5)
     model = trees.fit(x[:2000], y[:2000], np.ones(2000), 3, rounds=15, depth=3)
     assert (model.log_shares(x[2000:]).argmax(1) == y[2000:]).mean() > 0.95
+
+
+LONG = ["The council met on Tuesday to discuss the new bridge across the river, which has been planned for years.", "Residents said that the plan should go ahead as soon as possible, since the old bridge is closed to lorries."]
+
+
+def test_page_inside_one_form(model):
+    body = "<nav><ul><li><a href='/'>Home</a><li><a href='/s'>Sport</a></ul></nav><div class='content'>" + "".join(f"<p>{p}</p>" for p in LONG) + "</div>"
+    small = "<form class='newsletter'><label>Your e-mail</label><input name='e'><button>Sign up for our newsletter</button></form>"
+    plain, wide = f"<html><body>{body}{small}</body></html>", f"<html><body><form id='aspnetForm' method='post'><input type='hidden' value='x'>{body}</form>{small}</body></html>"
+    assert model.texts([plain, wide]) == [" ".join(LONG)] * 2
+
+
+def test_formulas_stay_in_their_sentence(model):
+    source = f"<html><body><article><p>{LONG[0]}</p><p>The value <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>3</mn></mrow><annotation>x=3</annotation></semantics></math> solves it, as the report says.</p><p>{LONG[1]}</p></article></body></html>"
+    assert model.texts([source]) == [f"{LONG[0]} The value x=3 solves it, as the report says. {LONG[1]}"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import graph, navigate, som, text, vectors
+from .operators.patterns import Graph
+from .operators.vector_index import VectorIndex
 from .plans import registry
 from .sources import files, ntriples
 from .sources.store import Store
@@ -27,6 +29,14 @@ class Engine:
         """SQL over base and derived tables."""
         return registry.view(self.spark, self.data, statement)
 
+    def patterns(self, view: str = "facts") -> Graph:
+        """The triples of a view, for graph patterns, paths, constructions and updates."""
+        return Graph(self.view(view))
+
+    def vector_index(self, path: str, vectors: DataFrame | None = None) -> VectorIndex:
+        """The index in a folder; with ``vectors`` (vec_id, v, label), built from them first."""
+        return VectorIndex(self.spark, path) if vectors is None else VectorIndex.build(vectors, path)
+
     def run(self, name: str) -> DataFrame:
         """A registered query."""
         return registry.QUERIES[name](self.spark, self.data)

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators.overlap import overlap_join
 from .kg import DAY0, NOW
-from .registry import both
+from .registry import both, frame, view
 
 _DOMAIN_TYPE = "split_part(x, ':', 1)"
 
+
+def _shared_properties(spark, sf):
+    """Suppliers that have two properties or more in common, with the same value."""
+    members = view(spark, sf, "SELECT s AS id, concat(p, '=', o) AS m FROM kg_triples WHERE s LIKE 'supplier/%' AND p <> 'suppliedBy'")
+    names = F.array_sort(F.array_distinct(F.transform("shared", lambda m: F.substring_index(m, "=", 1))))
+    pairs = overlap_join(members, 2).select(F.col("a").alias("one"), F.col("b").alias("other"), names.alias("names")).where(F.size("names") >= 2)
+    return pairs.select("one", "other", F.size("names").cast("long").alias("shared"), F.array_join("names", ",").alias("properties"))
+
+
 # Scans and typed reads.
 both("scan_graph", lambda d: "SELECT s, p, o FROM kg_triples")
 both("select_ask_generic", lambda d: "SELECT count(*) > 0 AS answer FROM kg_triples WHERE p = 'inRegion'")
@@ -105,7 +117,7 @@ both("agg_session_summary", lambda d: f"SELECT session, min(ts) AS started, max(
 both("agg_tilt_effectiveness", lambda d: "SELECT tilt, round(avg(score), 6) AS effectiveness, CAST(count(*) AS BIGINT) AS n FROM nav_views GROUP BY tilt")
 both("agg_chunk_count_per_doc", lambda d: "SELECT conv_id AS document, count(DISTINCT turn) AS chunks FROM conversations GROUP BY conv_id")
 both("agg_vsom_relations", lambda d: "SELECT n.uri, CAST(count(e.a) AS BIGINT) AS relations FROM kg_nodes n LEFT JOIN kg_adj e ON e.a = n.uri WHERE n.type IN ('Nation', 'Supplier') GROUP BY n.uri")
-both("agg_shared_properties", lambda d: f"SELECT a.s AS one, b.s AS other, count(DISTINCT a.p) AS shared, {d.words_joined('a.p', ',')} AS properties FROM kg_triples a JOIN kg_triples b ON a.p = b.p AND a.o = b.o AND a.s < b.s WHERE a.s LIKE 'supplier/%' AND b.s LIKE 'supplier/%' AND a.p <> 'suppliedBy' GROUP BY a.s, b.s HAVING count(DISTINCT a.p) >= 2")
+frame("agg_shared_properties", _shared_properties, lambda d: f"SELECT a.s AS one, b.s AS other, count(DISTINCT a.p) AS shared, {d.words_joined('a.p', ',')} AS properties FROM kg_triples a JOIN kg_triples b ON a.p = b.p AND a.o = b.o AND a.s < b.s WHERE a.s LIKE 'supplier/%' AND b.s LIKE 'supplier/%' AND a.p <> 'suppliedBy' GROUP BY a.s, b.s HAVING count(DISTINCT a.p) >= 2")
 both("agg_chunk_stats", lambda d: "SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(chars) AS BIGINT) AS total, round(avg(CAST(chars AS DOUBLE)), 6) AS mean, min(chars) AS least, max(chars) AS most, round(var_pop(CAST(chars AS DOUBLE)), 3) AS variance FROM elements GROUP BY source")
 both("agg_cohesion_size", lambda d: "SELECT source, CASE WHEN count(*) <= 1 THEN 1.0 ELSE round(greatest(0.0, 1 - stddev_pop(CAST(chars AS DOUBLE)) / avg(CAST(chars AS DOUBLE))), 2) END * 1e0 AS cohesion FROM elements GROUP BY source")
 both("agg_centroid", lambda d: f"SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM vectors{d.posexplode('v', 'pos', 'x')} GROUP BY label, pos")

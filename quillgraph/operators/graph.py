@@ -242,27 +242,34 @@ def _moved(g: DataFrame, gamma: float, rounds: int) -> DataFrame:
         best = gains.groupBy("node").agg(F.first("k").alias("k"), F.first("own").alias("own"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))
         turn, wants = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0, -F.col("best.loss") > F.col("stay")
         new = settled(best.select("node", F.when(turn & wants, F.col("best.c")).otherwise(F.col("own")).alias("c"), "k", wants.alias("wants")))
+        dropped(label)
         label = new.select("node", "c", "k")
+        label.settled_at = new.settled_at
         if new.where("wants").isEmpty():
             break
-    return label.select("node", "c")
+    dropped(degree, ties)
+    out = label.select("node", "c")
+    out.settled_at = label.settled_at
+    return out
 
 
-def communities(edges: DataFrame, *, gamma: float = 1.0, levels: int = 5, rounds: int = 16) -> DataFrame:
+def communities(edges: DataFrame, *, gamma: float = 1.0, rounds: int = 16) -> DataFrame:
     """node, community (its smallest node): nodes move by modularity gain, communities that fall apart are split into
     connected parts, parts become the nodes of a smaller graph, and so on while modularity rises.
 
-    Ties go to the smaller label. ``levels`` and ``rounds`` bound the work; parallel edges count with the sum of weights.
+    Ties go to the smaller label. A level ends when no node wants to move, or after ``rounds``: what is left to gain then
+    falls to the next level. Parallel edges count with the sum of weights.
     """
     one = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
     g = settled(one.unionAll(one.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
     member = settled(g.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community")))
     quality = None
-    for _ in range(levels):
-        label = settled(_moved(g, gamma, rounds))
+    while True:
+        label = _moved(g, gamma, rounds)
         inside = g.where("a <> b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca = cb")
         part = components(inside.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         part = settled(label.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+        dropped(label)
         smaller = settled(g.join(part.toDF("a", "pa"), "a").join(part.toDF("b", "pb"), "b").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w")))
         row = smaller.groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))).alias("inner")).agg(F.sum("k").alias("whole"), F.sum("inner").alias("inner"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
         if not row.whole:
@@ -271,8 +278,9 @@ def communities(edges: DataFrame, *, gamma: float = 1.0, levels: int = 5, rounds
         if quality is not None and now <= quality + 1e-9:
             break
         quality = now
-        member = settled(member.join(part.toDF("community", "part"), "community").select("node", F.col("part").alias("community")))
-        g = smaller
+        joined = settled(member.join(part.toDF("community", "part"), "community").select("node", F.col("part").alias("community")))
+        dropped(member, part, g)
+        member, g = joined, smaller
     smallest = member.groupBy("community").agg(F.min("node").alias("name"))
     return member.join(smallest, "community").select("node", F.col("name").alias("community"))
 

@@ -19,8 +19,23 @@ both("chunk_overlap_merge", lambda d: "SELECT conv_id, turn, length(text) < 80 A
 both("decompose", lambda d: f"SELECT lower(w) AS entity, CAST(count(*) AS BIGINT) AS frequency, count(DISTINCT item_id) AS units FROM (SELECT item_id, w FROM benchmark{d.explode(d.rx_all('text', '[A-Z][a-z]+'), 'w')}) t GROUP BY lower(w)")
 both("extract_relationships", lambda d: "SELECT a.entity AS source, b.entity AS target, CAST(count(*) AS BIGINT) AS weight, min(a.doc_id) AS first_unit FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY a.entity, b.entity")
 both("augment_attributes", lambda d: "SELECT n.uri, concat(n.label, ' is a ', lower(n.type), ' with ', CAST(coalesce(g.k, 0) AS STRING), ' links') AS attribute FROM kg_nodes n LEFT JOIN (SELECT a, count(*) AS k FROM kg_adj GROUP BY a) g ON g.a = n.uri WHERE n.score >= 0.5".replace("STRING", "STRING" if d.name == "spark" else "VARCHAR"))
-frame("enrich_embeddings", lambda spark, sf: text.hash_embeddings(view(spark, sf, "SELECT doc_id, text FROM documents")).select("id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 6).alias("lead")))
-frame("vec_hash_embedding", lambda spark, sf: text.hash_embeddings(view(spark, sf, "benchmark"), 16, id_col="item_id").select("id", F.transform("v", lambda x: F.round(x, 3)).alias("v")))
+
+
+def _hashed(table: str, key: str) -> str:
+    """The signed 32-bit rolling hash h = 31 h + unit over UTF-16 units of each text."""
+    code = "unicode(c)"
+    units = f"flatten(list_transform(regexp_extract_all(coalesce(text, ''), '(?s).'), lambda c: CASE WHEN {code} < 65536 THEN [{code}] ELSE [55296 + (({code} - 65536) >> 10), 56320 + (({code} - 65536) & 1023)] END))"
+    return f"SELECT {key}, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM (SELECT {key}, list_reduce(list_transform({units}, lambda c: CAST(c AS BIGINT)), lambda a, c: (a * 31 + c) % 4294967296, CAST(0 AS BIGINT)) AS u FROM {table}) y"
+
+
+def _place(h: str, i: str) -> str:
+    """Entry i of the embedding that stands in for a model's."""
+    at = f"({h} + 31 * {i})"
+    return f"(CASE WHEN {at} >= 0 THEN 1 ELSE -1 END * (abs({at}) % 1000) / 1000e0 - 0.5)"
+
+
+frame("enrich_embeddings", lambda spark, sf: text.hash_embeddings(view(spark, sf, "SELECT doc_id, text FROM documents")).select("id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 6).alias("lead")), lambda d: f"SELECT doc_id AS id, 64 AS dims, round({_place('h', '0')}, 6) AS lead FROM ({_hashed('documents', 'doc_id')}) x")
+frame("vec_hash_embedding", lambda spark, sf: text.hash_embeddings(view(spark, sf, "benchmark"), 16, id_col="item_id").select("id", F.transform("v", lambda x: F.round(x, 3)).alias("v")), lambda d: f"SELECT item_id AS id, list_transform(range(16), lambda i: round({_place('h', 'i')}, 3)) AS v FROM ({_hashed('benchmark', 'item_id')}) x")
 both("aggregate_communities", lambda d: f"SELECT e.dst AS community, CAST(count(*) AS BIGINT) AS members, {d.words_joined('n.label', ', ')} AS summary FROM kg_edges e JOIN kg_nodes n ON n.uri = e.src WHERE e.type = 'basedIn' GROUP BY e.dst")
 both("corpus_projection_concept", lambda d: "SELECT lower(concept) AS concept, CAST(count(*) AS BIGINT) AS frequency, CAST(count(DISTINCT item) AS BIGINT) AS items FROM concepts GROUP BY lower(concept)")
 both("corpus_projection_keywords", lambda d: f"SELECT w AS keyword, CAST(count(*) AS BIGINT) AS n, round(CAST(count(DISTINCT item_id) AS DOUBLE) / (SELECT count(*) FROM benchmark), 6) AS coverage FROM (SELECT item_id, w FROM benchmark{d.explode(d.rx_split('lower(text)', '[^a-z]+'), 'w')}) t WHERE length(w) >= 4 GROUP BY w")

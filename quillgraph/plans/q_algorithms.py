@@ -164,7 +164,16 @@ def _trained(spark, sf):
 frame("som_train", lambda spark, sf: spark.createDataFrame([(i, float(e)) for i, e in enumerate(_trained(spark, sf)[1])], "epoch int, error double"))
 frame("som_bmu", lambda spark, sf: som.assign(view(spark, sf, "vectors"), _trained(spark, sf)[0]))
 frame("som_quality", lambda spark, sf: som.quality(som.assign(view(spark, sf, "vectors"), _trained(spark, sf)[0]), GRID))
-frame("som_topology", lambda spark, sf: spark.createDataFrame(GRID.neighbours(), "cell int, neighbour int"))
+
+
+def _topology(spark, sf):
+    """Cells that vectors fall in, their neighbours on the grid, and the vectors of both."""
+    hits = som.assign(view(spark, sf, "vectors"), _trained(spark, sf)[0]).groupBy("cell").agg(F.count("*").alias("n"))
+    beside = F.broadcast(spark.createDataFrame(GRID.neighbours(), "cell int, neighbour int"))
+    return hits.join(beside, "cell").join(hits.select(F.col("cell").alias("neighbour"), F.col("n").alias("n_neighbour")), "neighbour", "left").select("cell", "neighbour", "n", F.coalesce("n_neighbour", F.lit(0)).alias("n_neighbour"))
+
+
+frame("som_topology", _topology)
 frame("som_clusters", lambda spark, sf: spark.createDataFrame([(k, c) for k, g in enumerate(som.clusters(_trained(spark, sf)[0], GRID, similarity=0.2)) for c in g], "cluster int, cell int"))
 frame("som_cluster_stats", lambda spark, sf: spark.createDataFrame([(k, c) for k, g in enumerate(som.clusters(_trained(spark, sf)[0], GRID, similarity=0.2)) for c in g], "cluster int, cell int").groupBy("cluster").count().agg(F.count("*").alias("n"), F.avg("count").alias("mean"), F.max("count").alias("largest"), F.min("count").alias("smallest")))
 frame("som_feature_stats", lambda spark, sf: spark.createDataFrame([(i, float(v)) for i, v in enumerate(som.u_matrix(_trained(spark, sf)[0], GRID))], "cell int, distance double"))

@@ -43,8 +43,9 @@ both("math_temporal_decay", lambda d: f"SELECT id, round(exp(-greatest({d.second
 both("math_recency_bonus", lambda d: f"SELECT event_id, CASE WHEN age < 3600 THEN round((1 - age / 3600.0) * 0.2, 6) ELSE 0.0 END * 1e0 AS bonus FROM (SELECT event_id, {d.seconds('(SELECT max(ts) FROM events)')} - {d.seconds('ts')} AS age FROM events) t")
 both("math_frequency", lambda d: "SELECT id, round(ln(1 + access_count) / ln(100), 6) AS by_hundred, round(ln(1 + access_count) / 10, 6) AS by_ten FROM memories")
 both("math_yearly_decay", lambda d: f"SELECT uri, round(greatest(0.0, 1 - ({d.seconds(NOW)} - {d.seconds('created')}) / 31536000.0 / 5), 6) AS five_years, round(greatest(0.0, 1 - ({d.seconds(NOW)} - {d.seconds('created')}) / 86400.0 / 365), 6) AS one_year FROM elements")
-both("math_schedule", lambda d: f"SELECT t, round(0.1 * (1 - t / 100.0), 9) AS linear, round(0.1 * exp(-3.0 * t / 100), 9) AS exponential, round(0.1 / (1 + t / 20.0), 9) AS inverse, round(0.1 * power(0.5, floor(t / 25.0)), 9) AS step FROM (SELECT CAST(k AS DOUBLE) AS t FROM (SELECT 1 AS one) o{d.explode(d.sequence('0', '100'), 'k')}) s")
-both("math_neighbourhood", lambda d: f"SELECT x, round(exp(-x * x / (2 * 1.0)), 6) AS gaussian, round((1 - x * x) * exp(-x * x / 2), 6) AS mexican, CASE WHEN x <= 3 THEN 1.0 ELSE 0.0 END * 1e0 AS bubble, greatest(0.0, 1 - x / 3) AS linear FROM (SELECT CAST(k AS DOUBLE) / 4 AS x FROM (SELECT 1 AS one) o{d.explode(d.sequence('0', '20'), 'k')}) s".replace("greatest(0.0, 1 - x / 3)", "round(greatest(0.0, 1 - x / 3), 6)"))
+_Q = "(SELECT v AS q FROM vectors WHERE vec_id = 0) q0"
+both("math_schedule", lambda d: f"SELECT id, t, round(0.1 * (1 - t / 100.0), 9) AS linear, round(0.1 * exp(-3.0 * t / 100), 9) AS exponential, round(0.1 / (1 + t / 20.0), 9) AS inverse, round(0.1 * power(0.5, floor(t / 25.0)), 9) AS step FROM (SELECT id, CAST(access_count AS DOUBLE) AS t FROM memories) s")
+both("math_neighbourhood", lambda d: f"SELECT vec_id, x, round(exp(-x * x / (2 * 1.0)), 6) AS gaussian, round((1 - x * x) * exp(-x * x / 2), 6) AS mexican, CASE WHEN x <= 3 THEN 1.0 ELSE 0.0 END * 1e0 AS bubble, greatest(0.0, 1 - x / 3) AS linear FROM (SELECT vec_id, round(3 * sqrt({d.zip_sum('v', 'q', '(CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) * (CAST(x AS DOUBLE) - CAST(y AS DOUBLE))')}), 4) AS x FROM vectors, {_Q}) s".replace("greatest(0.0, 1 - x / 3)", "round(greatest(0.0, 1 - x / 3), 6)"))
 both("math_geo_area", lambda d: "SELECT admin, round((max(lat) - min(lat)) * (max(lon) - min(lon)), 6) AS box, round(3.141592653589793 * power((max(lat) - min(lat)) / 2, 2), 6) AS circle FROM places GROUP BY admin")
 
 # Dates.
@@ -55,7 +56,6 @@ both("date_relative_parse", lambda d: f"SELECT e.event_id, u.span FROM events e
 both("date_event_frequency", lambda d: f"SELECT user_id, round(CAST(count(*) AS DOUBLE) / ((max({d.seconds('ts')}) - min({d.seconds('ts')})) / 86400.0), 4) AS per_day FROM events GROUP BY user_id HAVING max({d.seconds('ts')}) > min({d.seconds('ts')})")
 
 # Arrays and vectors, against the vector with the smallest id.
-_Q = "(SELECT v AS q FROM vectors WHERE vec_id = 0) q0"
 _dot = lambda d: d.zip_sum("v", "q", "CAST(x AS DOUBLE) * CAST(y AS DOUBLE)")
 _norm = lambda d, a: f"sqrt({d.zip_sum(a, a, 'CAST(x AS DOUBLE) * CAST(y AS DOUBLE)')})"
 cosine = lambda d: f"{_dot(d)} / nullif({_norm(d, 'v')} * {_norm(d, 'q')}, 0)"

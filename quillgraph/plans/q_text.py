@@ -49,7 +49,7 @@ both("label_elements", lambda d: f"SELECT doc_id, {d.least_by('w', 'r')} AS labe
 both("create_concepts", lambda d: "SELECT DISTINCT concat('concept/', lower(replace(concept, '#', '-'))) AS uri, concept FROM concepts WHERE concept NOT IN (SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_retailprice) < (SELECT avg(p_retailprice) FROM part))")
 both("normalise_params_complexity", lambda d: "SELECT zoom, tilt, least(10, CASE zoom WHEN 'micro' THEN 5 WHEN 'entity' THEN 4 WHEN 'unit' THEN 3 WHEN 'text' THEN 2 ELSE 1 END + CASE tilt WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 3 END) AS complexity, CAST(count(*) AS BIGINT) AS n FROM nav_views GROUP BY zoom, tilt")
 both("selectivity_rules", lambda d: "SELECT zoom, round(CAST(CASE zoom WHEN 'micro' THEN 0.1 WHEN 'entity' THEN 0.2 WHEN 'unit' THEN 0.3 WHEN 'text' THEN 0.5 ELSE 0.8 END * count(DISTINCT pan) / 10 AS DOUBLE), 6) AS selectivity FROM nav_views GROUP BY zoom")
-both("limit_token_budget", lambda d: "SELECT budget, least(CAST(floor(budget * 0.8 / 50) AS BIGINT), 1000) AS rows FROM (SELECT 4000 AS budget UNION ALL SELECT 100000 UNION ALL SELECT 30) b".replace(" AS rows ", " AS max_rows "))
+both("limit_token_budget", lambda d: "SELECT type, source, budget, least(CAST(floor(budget * 0.8 / 50) AS BIGINT), 1000) AS rows FROM (SELECT type, source, CAST(ceil(sum(chars) / 4.0) AS BIGINT) AS budget FROM elements GROUP BY type, source) b".replace(" AS rows ", " AS max_rows "))
 
 
 def _first_kept(rows: str, threshold: float) -> str:

@@ -307,13 +307,19 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """node, coefficient of nodes with two neighbours or more. Each triangle is listed once, from its edge order."""
+    """node, coefficient of nodes with two neighbours or more.
+
+    Edges point to the end of higher degree (of ties, the larger), so a node of any degree has at most about the square
+    root of twice the edges pointing out; each triangle is listed once, from its lowest node.
+    """
     pairs = undirected(edges)
-    up = pairs.where("a < b")
-    wedge = up.toDF("x", "y").join(up.toDF("y", "z"), "y")
-    closed = wedge.join(up.toDF("x", "z"), ["x", "z"]).select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").count().withColumnRenamed("count", "triangles")
-    degree = pairs.groupBy(F.col("a").alias("node")).count().where("count > 1")
-    return degree.join(closed, "node", "left").select("node", (2 * F.coalesce("triangles", F.lit(0)) / (F.col("count") * (F.col("count") - 1))).alias("coefficient"))
+    degree = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("count"))
+    rank = degree.select("node", F.struct("count", "node").alias("rank"))
+    ranked = pairs.join(rank.toDF("a", "ra"), "a").join(rank.toDF("b", "rb"), "b").where("ra < rb")
+    up = settled(ranked.select("a", "b", "rb"))
+    wedge = up.toDF("x", "y", "ry").join(up.toDF("x", "z", "rz"), "x").where("ry < rz")
+    closed = wedge.join(up.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"]).select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    return degree.where("count > 1").join(closed, "node", "left").select("node", (2 * F.coalesce("triangles", F.lit(0)) / (F.col("count") * (F.col("count") - 1))).alias("coefficient"))
 
 
 def importance(edges: DataFrame, *, error: float | None = None) -> DataFrame:

@@ -116,6 +116,12 @@ def check_betweenness(edges, how):
     assert got == pytest.approx({v: x * 2 / ((n - 1) * (n - 2)) for v, x in want.items()})
 
 
+def test_clustering(edges):
+    adj = near(edges)
+    want = {v: sum(b in adj[a] for a, b in itertools.combinations(adj[v], 2)) * 2 / (len(adj[v]) * (len(adj[v]) - 1)) for v in adj if len(adj[v]) > 1}
+    assert {r.node: r.coefficient for r in graph.clustering(edges).collect()} == pytest.approx(want)
+
+
 def test_traverse_and_rank(spark, edges):
     adj = near(edges)
     start = sorted(adj)[0]

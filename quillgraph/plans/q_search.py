@@ -103,6 +103,17 @@ both("mem_recover_hidden", lambda d: f"SELECT id, round(CAST(relevance AS DOUBLE
 both("mem_fade", lambda d: "SELECT id, CASE WHEN id % 10 = 0 THEN importance * 0.1 ELSE importance END AS factor FROM memories")
 both("mem_context_build", lambda d: f"SELECT topic, CAST(count(*) AS BIGINT) AS n, {d.words_joined('id', ',')} AS examples FROM (SELECT {d.at('concepts', '1')} AS topic, id, row_number() OVER (PARTITION BY {d.at('concepts', '1')} ORDER BY ts DESC, id) AS r FROM interactions) t WHERE r <= 5 GROUP BY topic")
 both("rag_context_combine", lambda d: f"SELECT {d.words_joined('piece', ' | ', False, 'section, r')} AS context FROM (SELECT 1 AS section, r, concat('P:', substring(prompt, 1, 40)) AS piece FROM (SELECT prompt, row_number() OVER (PARTITION BY turn ORDER BY ts DESC, id) AS r, turn FROM interactions WHERE turn = 0) a WHERE r <= 3 UNION ALL SELECT 2, r, concat('D:', substring(content, 1, 40)) FROM (SELECT content, row_number() OVER (PARTITION BY type ORDER BY similarity DESC, uri) AS r, type FROM elements WHERE type = 'Unit') b WHERE r <= 3) p")
+both(
+    "score_community_confidence",
+    lambda d: f"""
+    WITH members AS (SELECT dst AS community, src AS member FROM kg_edges WHERE type IN ('basedIn', 'livesIn')),
+    sizes AS (SELECT community, count(*) AS n FROM members GROUP BY community),
+    units AS (SELECT c.community, count(DISTINCT m.doc_id) AS n FROM members c JOIN mentions m ON m.entity = c.member GROUP BY c.community),
+    links AS (SELECT c.community, count(*) AS n FROM members c JOIN (SELECT src AS x FROM kg_edges UNION ALL SELECT dst FROM kg_edges) e ON e.x = c.member GROUP BY c.community),
+    summary AS (SELECT dst AS community, sum({d.length('label')} + 2) AS n FROM kg_edges e JOIN kg_nodes k ON k.uri = e.src WHERE e.type = 'basedIn' GROUP BY dst)
+    SELECT s.community, round(CAST(least(1.0, 0.3 + CASE WHEN s.n > 2 THEN least(s.n * 0.1, 0.3) ELSE 0 END + least(coalesce(u.n, 0) * 0.05, 0.2) + least(coalesce(l.n, 0) * 0.05, 0.15) + CASE WHEN coalesce(t.n, 0) > 100 THEN 0.1 ELSE 0 END) AS DOUBLE), 6) AS confidence
+    FROM sizes s LEFT JOIN units u ON u.community = s.community LEFT JOIN links l ON l.community = s.community LEFT JOIN summary t ON t.community = s.community""",
+)
 both("score_community_cohesion", lambda d: "SELECT c.dst AS community, CAST(count(*) AS BIGINT) AS members, CAST(count(DISTINCT m.doc_id) AS BIGINT) AS documents FROM kg_edges c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn' GROUP BY c.dst")
 both("score_community_link", lambda d: "WITH members AS (SELECT c.dst AS community, m.doc_id FROM kg_edges c JOIN mentions m ON m.entity = c.src WHERE c.type = 'basedIn' UNION SELECT entity, doc_id FROM mentions WHERE entity LIKE 'nation/%'), sizes AS (SELECT community, count(DISTINCT doc_id) AS n FROM members GROUP BY community) SELECT one, other, round(shared * 1.0 / least(na, nb), 6) AS strength FROM (SELECT a.community AS one, b.community AS other, count(DISTINCT a.doc_id) AS shared, max(x.n) AS na, max(y.n) AS nb FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.community < b.community JOIN sizes x ON x.community = a.community JOIN sizes y ON y.community = b.community GROUP BY a.community, b.community) t WHERE shared * 1.0 / least(na, nb) > 0.01".replace("round(shared * 1.0 / least(na, nb), 6)", "round(CAST(shared AS DOUBLE) / least(na, nb), 6)"))
 both("zpt_keyword_ranking", lambda d: f"SELECT uri, {d.rx_count('lower(content)', 'tion|the')} AS hits FROM elements ORDER BY {d.rx_count('lower(content)', 'tion|the')} DESC, uri LIMIT 50")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import shared_folder
+from ..sources import typed
 from ..sources.store import Store
 from .registry import frame, view
 
@@ -140,3 +141,30 @@ written(
     lambda s, read: [s.append("elements", read(f"SELECT uri, type, label FROM elements WHERE type = '{t}'")) for t in ("Unit", "TextElement", "CommunityElement", "Attribute")],
     "SELECT uri, type, label FROM elements",
 )
+
+
+def _typed(store: Store, read: Callable[[str], DataFrame]) -> None:
+    """Nations as entities, benchmark items as units, places' relationships, regions as communities, brands as concepts."""
+    typed.store_entities(store, read("SELECT uri AS id, label, 'Nation' AS sub_type, freq AS frequency, map('code', uri) AS metadata FROM kg_nodes WHERE type = 'Nation'"))
+    typed.store_units(store, read("SELECT concat('item/', b.item_id) AS id, b.text AS content, m.entities FROM benchmark b LEFT JOIN (SELECT doc_id, array_sort(collect_set(entity)) AS entities FROM mentions GROUP BY doc_id) m ON m.doc_id = b.item_id"))
+    typed.store_relationships(store, read("SELECT concat(src, '>', dst) AS id, src AS source, dst AS target, type, type AS label FROM kg_edges WHERE type IN ('inRegion', 'basedIn')"))
+    typed.store_communities(store, read("SELECT dst AS id, dst AS label, array_sort(collect_set(src)) AS members FROM kg_edges WHERE type = 'inRegion' GROUP BY dst"))
+    typed.store_concepts(store, read("SELECT DISTINCT concat('concept/', concept) AS id, concept AS label, CAST(NULL AS STRING) AS category, 'corpus/orders' AS source FROM concepts"))
+
+
+def _typed_sql(d) -> str:
+    each = lambda source, id_, *pairs: [f"SELECT {id_} AS s, '{p}' AS p, {o} AS o FROM {source}" for p, o in pairs]
+    nation, edge = "kg_nodes WHERE type = 'Nation'", "kg_edges WHERE type IN ('inRegion', 'basedIn')"
+    brand, item, region = "(SELECT DISTINCT concept FROM concepts) c", "benchmark", "(SELECT dst, count(DISTINCT src) AS n FROM kg_edges WHERE type = 'inRegion' GROUP BY dst) r"
+    parts = each(nation, "uri", ("rdf:type", "'Entity'"), ("rdfs:label", "label"), ("skos:prefLabel", "label"), ("quill:subType", "'Nation'"), ("quill:frequency", "CAST(freq AS VARCHAR)"), ("quill:centrality", "'0.0'"), ("quill:isEntryPoint", "'false'"), ("quill:code", "uri"))
+    parts += each(item, "concat('item/', item_id)", ("rdf:type", "'SemanticUnit'"), ("quill:content", "coalesce(text, '')"), ("quill:tokenCount", "'0'"))
+    parts += each("benchmark WHERE text IS NOT NULL", "concat('item/', item_id)", ("rdfs:label", "substring(text, 1, 100)"))
+    parts += ["SELECT DISTINCT concat('item/', b.item_id), 'quill:relatedTo', m.entity FROM benchmark b JOIN mentions m ON m.doc_id = b.item_id"]
+    parts += each(edge, "concat(src, '>', dst)", ("rdf:type", "'Relationship'"), ("rdfs:label", "type"), ("quill:source", "src"), ("quill:target", "dst"), ("rdf:type", "type"), ("quill:weight", "'1.0'"), ("quill:confidence", "'1.0'"))
+    parts += each(region, "dst", ("rdf:type", "'Community'"), ("rdfs:label", "dst"), ("quill:size", "CAST(n AS VARCHAR)")) + ["SELECT DISTINCT dst, 'quill:hasMember', src FROM kg_edges WHERE type = 'inRegion'"]
+    parts += each(brand, "concat('concept/', concept)", ("rdf:type", "'Concept'"), ("rdfs:label", "concept"), ("quill:frequency", "'1'"), ("quill:category", "'general'"), ("quill:extractedFrom", "'corpus/orders'"))
+    parts += [f"SELECT 'corpus/orders', 'quill:hasConcept', concat('concept/', concept) FROM {brand}"]
+    return f"SELECT s, p, o FROM ({' UNION ALL '.join(parts)}) t"
+
+
+written("store_typed", {"triples": "SELECT s, p, o FROM kg_triples WHERE p = 'none'"}, _typed, _typed_sql)

@@ -129,3 +129,58 @@ lines\"\"\" ; ex:at _:z ] , _:z .
     assert [tuple(r)[:3] for r in turtle.read(spark, str(tmp_path / "out")).collect()] == [("http://e/a", "http://e/p", "v\n")]
     with pytest.raises(ValueError):
         list(turtle.triples("<a> <b> (1 2) ."))
+
+
+def test_of_two_racing_commits_one_fails(spark, tmp_path):
+    import pytest
+
+    from quillgraph.sources.store import Conflict, Store
+
+    one, other = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    row = lambda k: spark.createDataFrame([(k,)], "k int")
+    one.overwrite("t", row(0))
+    one.begin()
+    other.begin()
+    one.append("t", row(1))
+    other.append("t", row(2))
+    assert sorted(r.k for r in other.read("t").collect()) == [0, 2]  # as it was when it began, and its own
+    one.commit()
+    with pytest.raises(Conflict):
+        other.commit()
+    assert sorted(r.k for r in other.read("t").collect()) == [0, 1]
+    other.append("t", row(2))
+    assert sorted(r.k for r in one.read("t").collect()) == [0, 1, 2]
+
+
+def test_cleaning_keeps_what_is_current(spark, tmp_path):
+    from quillgraph.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    for k in range(3):
+        store.overwrite("t", spark.createDataFrame([(k,)], "k int"))
+    store.append("t", spark.createDataFrame([(9,)], "k int"))
+    store.copy("t", "u")
+    assert store.clean() == 2 and store.clean() == 0
+    assert sorted(r.k for r in store.read("t").collect()) == sorted(r.k for r in store.read("u").collect()) == [2, 9]
+    store.drop("u")
+    store.overwrite("t", spark.createDataFrame([(5,)], "k int"))
+    assert store.clean() == 2 and store.tables() == ["t"] and [r.k for r in store.read("t").collect()] == [5]
+
+
+def test_typed_inserts(spark, tmp_path):
+    import pytest
+
+    from quillgraph.sources import typed
+    from quillgraph.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    typed.store_entities(store, spark.createDataFrame([("e1", "One", None, {"k": "v"}), ("e2", None, 3, None)], "id string, label string, frequency int, metadata map<string,string>"))
+    typed.store_communities(store, spark.createDataFrame([("c1", ["e1", "e2"], 0.5)], "id string, members array<string>, cohesion double"))
+    got = {(r.s, r.p, r.o) for r in store.read("triples").collect()}
+    base = {(e, p, o) for e in ("e1", "e2") for p, o in (("rdf:type", "Entity"), ("quill:subType", "Entity"), ("quill:centrality", "0.0"), ("quill:isEntryPoint", "false"))}
+    assert got == base | {
+        ("e1", "rdfs:label", "One"), ("e1", "skos:prefLabel", "One"), ("e1", "quill:frequency", "1"), ("e1", "quill:k", "v"), ("e2", "rdfs:label", ""), ("e2", "quill:frequency", "3"),
+        ("c1", "rdf:type", "Community"), ("c1", "rdfs:label", ""), ("c1", "quill:cohesion", "0.5"), ("c1", "quill:size", "2"), ("c1", "quill:hasMember", "e1"), ("c1", "quill:hasMember", "e2"),
+    }
+    with pytest.raises(Exception, match="no id"):
+        typed.store_units(store, spark.createDataFrame([(None, "text")], "id string, content string"))

@@ -57,3 +57,25 @@ def test_gibberish_and_unseen_scripts_are_rejected(spark):
     junk = [(i, "".join(rnd.choice(alphabet) for _ in range(n))) for n in (150, 400, 1500) for i, alphabet in enumerate(letters)]
     junk = spark.createDataFrame(junk, "doc_id long, text string")
     assert all(r.rejected for r in language.predict(junk, model).collect())
+
+
+def test_the_model_follows_all_labelled_rows(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    texts = [(" ".join(rnd.choice(WORDS[lang]) for _ in range(rnd.randint(20, 40))) + (" zyx" if i % 7 == 0 else ""), lang) for lang, n in (("aa", 4500), ("bb", 2500)) for i in range(n)]
+    model = language.fit(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(5))
+    counts, label = language.gram_counts(pa.array([t for t, _ in texts])), np.array([lang == "bb" for _, lang in texts]).astype(int)
+    share = ((counts[label == 0] > 0).mean(0) + (counts[label == 1] > 0).mean(0)) / 2
+    assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + len(texts) * share)) + 1, atol=1e-5)
+    x = model.vectors(counts)
+    best, cosine = model.closest(counts)
+    octave = language._octave(counts)
+    for i, owner in enumerate(model.owner):
+        own = x[(label == owner) & (np.where(model.owner == owner, x @ model.centres.T, -1).argmax(1) == i)]
+        mean = own.mean(0) / np.linalg.norm(own.mean(0))
+        assert mean @ model.centres[i] > 0.998  # one step of k-means moves it little
+        for o in set(octave[best == i]):
+            here = cosine[(best == i) & (octave == o)]
+            if len(here) >= language.ENOUGH:
+                assert abs(model.least[i, o] - language.MARGIN * np.quantile(here, 0.01)) <= 2e-4

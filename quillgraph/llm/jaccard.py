@@ -39,6 +39,8 @@ from .memory import lean, lean_group
 from .tables import done, parts, settled, small
 
 K, LIGHT, FLUSH = 5, 8, 1_500_000
+#: Bytes of text whose sketches are made at once: a good part of what a task holds.
+SLICE = 500_000
 BROADCAST_ROWS = 200_000
 #: Least hashes that leaders are sought by; bits of the parities that tell sets of one rare shingle apart.
 MINS, PARITY_BITS = 4, 1024
@@ -138,7 +140,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 sets = _sets(batch, k)
                 _, owner, flag = sketch_keys(sets)
                 filled = [np.bincount(owner[flag == f], minlength=len(sets)) for f in (0, 1)]
@@ -156,13 +158,19 @@ def _short(g: np.ndarray) -> np.ndarray:
 
 def _group(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, who) in order, the first place of each one's run of equal keys, and the length of that run."""
-    order = np.lexsort((who, key))
+    order = np.argsort(key).astype(np.int32)
     key, who = key[order], who[order]
+    del order
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+    new[1:] = key[1:] != key[:-1]
+    tied = ~new
+    tied[:-1] |= tied[1:]
+    tied = np.flatnonzero(tied)  # the others are in order already
+    who[tied] = who[tied][np.lexsort((who[tied], key[tied]))]
+    new[1:] |= who[1:] != who[:-1]
     key, who = key[new], who[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    length = np.diff(np.concatenate([start, [len(key)]]))
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32) if len(key) else np.zeros(0, np.int32)
+    length = np.diff(np.concatenate([start, np.array([len(key)], np.int32)]))
     return key, who, np.repeat(start, length), np.repeat(length, length)
 
 
@@ -177,7 +185,7 @@ def _mixed(start: np.ndarray, component: np.ndarray) -> np.ndarray:
 def _deal(batches, k: int, light: int, n_parts: int, sketch):
     """Requests: keys and short ids by key range, with the components of ids that have one. A key that is heavy within
     a flush travels once, marked."""
-    keys, ids, components_, held = [], [], [], 0
+    keys, owners, ids, components_ = [], [], [], []  # ids and components: for each set two, by band
 
     def blob(part: int, key: bytes, who: bytes, labelled: bytes = b"", component: bytes = b""):
         return part, key, who, labelled, component
@@ -186,41 +194,47 @@ def _deal(batches, k: int, light: int, n_parts: int, sketch):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*blobs), [pa.int32(), *[pa.binary()] * 4])], names=_BLOB)
 
     def flush():
-        who, component = np.concatenate(ids), np.concatenate(components_)
-        of, first = np.unique(who, return_index=True)
-        of_component = component[first]
-        key, who, start, length = _group(np.concatenate(keys), who)
-        at = np.searchsorted(of, who)
-        many = (length > light) & _mixed(start, np.where(of_component[at] != 0, of_component[at], ~who))
-        counted_id, counted_n = np.unique(who[many], return_counts=True)
-        keep = ~many | (np.arange(len(key)) == start)
-        who, at = np.where(many, HEAVY, who)[keep], at[keep]
-        key = key[keep]
+        of, first, at = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+        of_component = np.concatenate(components_)[first]
+        at = at.astype(np.int32)[np.concatenate(owners)]
+        key = np.concatenate(keys)
+        for held in (keys, owners, ids, components_):
+            held.clear()
+        key, at, start, length = _group(key, at)
+        many = np.flatnonzero(length > light)
+        label = of_component[at[many]]
+        many = many[_mixed(np.searchsorted(many, start[many]), np.where(label != 0, label, ~of[at[many]]))]
+        counted_id, counted_n = np.unique(of[at[many]], return_counts=True)
+        heavy, keep = np.zeros(len(key), bool), np.ones(len(key), bool)
+        heavy[many], keep[many] = True, many == start[many]
+        del start, length
+        key, at, heavy = key[keep], at[keep], heavy[keep]
         cut = ranges(key, n_parts)
         blobs = []
         for part, (a, b) in enumerate(zip(cut, cut[1:])):
-            here = np.unique(at[a:b][who[a:b] != HEAVY])
+            here = np.unique(at[a:b][~heavy[a:b]])
             here = here[of_component[here] != 0]
-            blobs.append(blob(part, pack(key[a:b], True), pack(who[a:b]), pack(of[here], True), pack(of_component[here])))
+            blobs.append(blob(part, pack(key[a:b], True), pack(np.where(heavy[a:b], HEAVY, of[at[a:b]])), pack(of[here], True), pack(of_component[here])))
+        del key, at, heavy, keep
         yield rows(blobs)
         for at in range(0, len(counted_id), 100_000):
             some = slice(at, at + 100_000)
             yield rows([blob(at // 100_000 % n_parts, pack(counted_id[some], True), b"\0" + pack(counted_n[some].astype(_U)))])
 
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             sets = _sets(batch, k)
             key, owner, flag = sketch(sets)
             g = _short(np.array([set_hash(s) for s in sets], np.int64))
             component = batch.column(2).fill_null(0).to_numpy().astype(np.int64).view(_U)
             keys.append(key >> _U(8) << _U(8))
-            ids.append(g[owner] << _U(1) | flag.astype(_U))
-            components_.append(component[owner])
-            held += len(key)
-            if held >= FLUSH:
+            owners.append((sum(map(len, ids)) + 2 * owner + flag).astype(np.int32))
+            ids.append((g[:, None] << _U(1) | np.arange(2, dtype=_U)).ravel())
+            components_.append(np.repeat(component, 2))
+            del sets, key, owner, flag
+            if sum(map(len, keys)) >= FLUSH:
                 yield from flush()
-                keys, ids, components_, held = [], [], [], 0
-    if held:
+    if sum(map(len, keys)):
         yield from flush()
 
 
@@ -240,7 +254,13 @@ def _meet(table: pa.Table, light: int) -> pa.Table:
             labelled.append(unpack(c, _U, True))
             labels.append(unpack(d, _U))
     none = [np.zeros(0, _U)]
-    key, who, start, length = _group(np.concatenate(keys or none), np.concatenate(ids or none))
+    all_keys, all_ids = np.concatenate(keys or none), np.concatenate(ids or none)
+    del keys, ids
+    key, who, start, length = _group(all_keys, all_ids)
+    del all_keys, all_ids
+    shared = length > 1  # what stands alone meets nothing
+    key, who, start, length = key[shared], who[shared], (np.cumsum(shared, dtype=np.int32) - 1)[start[shared]], length[shared]
+    del shared
     of, first = np.unique(np.concatenate(labelled or none), return_index=True)
     label = np.concatenate([np.concatenate(labels or none)[first], np.zeros(1, _U)])
     at = np.searchsorted(of, who)

@@ -107,3 +107,22 @@ def test_parities_bound_the_symmetric_difference():
 def test_the_null_character_is_a_word_character(spark):
     docs = spark.createDataFrame([(1, "a\0b c d e f"), (2, "a b c d e f"), (3, "\0")], "doc_id long, text string")
     assert {r.doc_id: r.n_shingles for r in jaccard.linked(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_task_holds_little_while_it_deals_out_its_keys():
+    """Near two flushes of keys: under 120 MB at the peak (over 200 when each key carried its set's hash and component)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    word = np.array([f"w{i}" for i in range(50_000)])
+    texts = [" ".join(row) for row in word[rng.integers(0, len(word), (6000, 320))]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.nulls(len(texts), pa.int64())], names=["doc_id", "text", "component"])
+    tracemalloc.start()
+    keys = 0
+    for out in jaccard._deal(iter([batch]), 5, 8, 12, jaccard.sketch_keys):
+        keys += sum(len(jaccard.unpack(b, np.uint64, True)) for b in out.column("keys").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert keys > jaccard.FLUSH and peak < 120, (keys, peak)

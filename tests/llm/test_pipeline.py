@@ -56,3 +56,19 @@ def test_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0, name
     some = spark.createDataFrame([(1, "one two three", "en", "s", 13), (1, "one two three", "en", "s", 13)], docs.schema)
     assert corpus_pipeline.without_benchmark(spark, some, str(tmp_path)).count() == 2
+
+
+def test_workers_get_texts_in_batches_of_bounded_size(spark):
+    """30 MB of texts in one partition: no batch is much over 8 MB (one of 30 MB before); a size that the session names stays."""
+    import pyarrow as pa
+
+    from quillgraph import shipping
+
+    shipping.ship(spark)
+    docs = spark.range(3000, numPartitions=1).selectExpr("id", "repeat(cast(id % 10 as string), 10000) as text")
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) < 1.1 * shipping.BATCH_BYTES and sum(r.n for r in sizes) > 30_000_000
+    other = spark.newSession()
+    other.conf.set(shipping._BATCH, "123456")
+    shipping.ship(other)
+    assert other.conf.get(shipping._BATCH).startswith("123456")

@@ -35,12 +35,12 @@ from ..shipping import ship
 from .arrowtext import SPACED_LOWER, Words, buffers, mix, shingle_sets, slices
 from .blobs import pack, ranges, unpack
 from .components import Groups
-from .memory import lean, lean_group
+from .memory import lean, lean_group, trim
 from .tables import done, parts, settled, small
 
 K, LIGHT, FLUSH = 5, 8, 1_500_000
-#: Bytes of text whose sketches are made at once: a good part of what a task holds.
-SLICE = 500_000
+#: Bytes of text whose sketches are made at once: a good part of what a task holds; of keys that go to the JVM at once.
+SLICE, SENT = 500_000, 1 << 20
 BROADCAST_ROWS = 200_000
 #: Least hashes that leaders are sought by; bits of the parities that tell sets of one rare shingle apart.
 MINS, PARITY_BITS = 4, 1024
@@ -156,8 +156,13 @@ def _short(g: np.ndarray) -> np.ndarray:
     return np.minimum(g.view(_U) >> _U(64 - (ID_BITS - 1)), _U((1 << (ID_BITS - 1)) - 2))
 
 
-def _group(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, who) in order, the first place of each one's run of equal keys, and the length of that run."""
+def _group(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, who) in order, the first place of each one's run of equal keys, and the length of that run.
+
+    Empties the list of the two columns, so that they are let go once they are sorted.
+    """
+    key, who = columns
+    columns.clear()
     order = np.argsort(key).astype(np.int32)
     key, who = key[order], who[order]
     del order
@@ -167,6 +172,7 @@ def _group(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     tied[:-1] |= tied[1:]
     tied = np.flatnonzero(tied)  # the others are in order already
     who[tied] = who[tied][np.lexsort((who[tied], key[tied]))]
+    del tied
     new[1:] |= who[1:] != who[:-1]
     key, who = key[new], who[new]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32) if len(key) else np.zeros(0, np.int32)
@@ -196,11 +202,12 @@ def _deal(batches, k: int, light: int, n_parts: int, sketch):
     def flush():
         of, first, at = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
         of_component = np.concatenate(components_)[first]
-        at = at.astype(np.int32)[np.concatenate(owners)]
-        key = np.concatenate(keys)
-        for held in (keys, owners, ids, components_):
+        columns = [np.concatenate(keys)]
+        keys.clear()
+        columns.append(at.astype(np.int32)[np.concatenate(owners)])
+        for held in (owners, ids, components_):
             held.clear()
-        key, at, start, length = _group(key, at)
+        key, at, start, length = _group(columns)
         many = np.flatnonzero(length > light)
         label = of_component[at[many]]
         many = many[_mixed(np.searchsorted(many, start[many]), np.where(label != 0, label, ~of[at[many]]))]
@@ -210,16 +217,23 @@ def _deal(batches, k: int, light: int, n_parts: int, sketch):
         del start, length
         key, at, heavy = key[keep], at[keep], heavy[keep]
         cut = ranges(key, n_parts)
-        blobs = []
+        blobs, size = [], 0
         for part, (a, b) in enumerate(zip(cut, cut[1:])):
             here = np.unique(at[a:b][~heavy[a:b]])
             here = here[of_component[here] != 0]
             blobs.append(blob(part, pack(key[a:b], True), pack(np.where(heavy[a:b], HEAVY, of[at[a:b]])), pack(of[here], True), pack(of_component[here])))
-        del key, at, heavy, keep
-        yield rows(blobs)
+            size += sum(map(len, blobs[-1][1:]))
+            if size >= SENT:
+                yield rows(blobs)
+                blobs, size = [], 0
+        del key, at, heavy, keep, here
+        if blobs:
+            yield rows(blobs)
+            del blobs
         for at in range(0, len(counted_id), 100_000):
             some = slice(at, at + 100_000)
             yield rows([blob(at // 100_000 % n_parts, pack(counted_id[some], True), b"\0" + pack(counted_n[some].astype(_U)))])
+        trim()
 
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
@@ -254,10 +268,9 @@ def _meet(table: pa.Table, light: int) -> pa.Table:
             labelled.append(unpack(c, _U, True))
             labels.append(unpack(d, _U))
     none = [np.zeros(0, _U)]
-    all_keys, all_ids = np.concatenate(keys or none), np.concatenate(ids or none)
+    columns = [np.concatenate(keys or none), np.concatenate(ids or none)]
     del keys, ids
-    key, who, start, length = _group(all_keys, all_ids)
-    del all_keys, all_ids
+    key, who, start, length = _group(columns)
     shared = length > 1  # what stands alone meets nothing
     key, who, start, length = key[shared], who[shared], (np.cumsum(shared, dtype=np.int32) - 1)[start[shared]], length[shared]
     del shared

@@ -72,3 +72,30 @@ def test_workers_get_texts_in_batches_of_bounded_size(spark):
     other.conf.set(shipping._BATCH, "123456")
     shipping.ship(other)
     assert other.conf.get(shipping._BATCH).startswith("123456")
+
+
+def test_keys_leave_workers_in_small_batches(monkeypatch):
+    """A flush of keys of jaccard or lines, dealt to 51 ranges: no batch of 3 MB (about 14 and 20 MB when a flush was one), and the same keys for any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    word = np.array([f"w{i}" for i in range(50_000)])
+    texts = ["\n".join(" ".join(line) for line in text) for text in word[rng.integers(0, len(word), (6000, 16, 20))]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.nulls(len(texts), pa.int64())], names=["doc_id", "text", "component"])
+    rarity = {size: np.zeros(lines.SLOTS, np.uint8) for size in (lines._size(lines.SIMILARITY), lines.RARE_GRAM)}
+    deals = {
+        (jaccard, "keys"): lambda: jaccard._deal(iter([batch]), 5, 8, 51, jaccard.sketch_keys),
+        (lines, "buckets"): lambda: lines._deal(iter([batch]), 51, lines.MIN_WORDS, rarity, lines.SIMILARITY),
+    }
+    for (module, keys), deal in deals.items():
+        found, largest = [], []
+        for sent in (module.SENT, 1 << 40):
+            monkeypatch.setattr(module, "SENT", sent)
+            out = list(deal())
+            largest.append(max(b.nbytes for b in out))
+            got = [np.stack([np.full(len(k), part, np.uint64), k], 1) for b in out for part, packed in zip(b.column("part").to_pylist(), b.column(keys).to_pylist()) for k in [jaccard.unpack(packed, np.uint64, True)]]
+            got = np.concatenate(got)
+            found.append(got[np.lexsort(got.T)])
+        assert largest[0] < 3_000_000 < largest[1], (module.__name__, largest)
+        assert len(found[0]) > module.FLUSH and np.array_equal(*found), module.__name__
